@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lumenframe.plans import anomalies
+
+FAMILIES = (anomalies,)
+QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+SQL = {name: text for family in FAMILIES for name, text in family.SQL.items()}
