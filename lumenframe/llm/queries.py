@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import caps, clusters, links, neighbours, paths, survivors
-from lumenframe.session import table
+from lumenframe.llm import caps, clusters, links, mixing, neighbours, packing, paths, survivors, tokens
+from lumenframe.session import Written, table
 
 DIM, MIN_COS, MAX_BITS = 96, 0.75, 8
 K_NEAREST, NEAR_COS = 5, 0.85
 CAP = 40
+CONTAINER = 2048
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +91,27 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return survivors.best_records(_grouped_clips(spark, d), ["folder", "duplicate_group"], full, _order(), "clip_id").select("folder", "duplicate_group", "clip_id", F.col("completeness").cast("bigint").alias("completeness"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records)}
+def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return Written(tokens.with_token_counts(table(spark, d, "documents").select("doc_id", *columns, "text"), "text"), "tokens").df
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sized(spark, d), "doc_id", "tokens", CONTAINER).withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack(_sized(spark, d), "doc_id", "tokens", CONTAINER), CONTAINER)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    mixed, _ = mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")
+    return mixed.withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p8_mix, p8_shares)}
 
 SQL: dict[str, str] = {}
