@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def equal_signatures(rows: DataFrame, key: str, signature: str) -> DataFrame:
 
 
 def _unit(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    length = pa.compute.fill_null(pa.compute.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
     mask = pa.array((length == dim) & ids.is_valid().to_numpy(zero_copy_only=False))
     x = vectors.filter(mask).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     norm = np.linalg.norm(x, axis=1)
