@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from lumenframe.llm.vectors import VectorSet, cells_of, matrix, packed
 
 #: Columns per block, and how many standard errors a partial distance may exceed the limit before it is abandoned.
 BLOCK, DOUBT = 24, 3.0
+#: Rows aimed at per list. A visitor's columns travel as 16-bit numbers of this scale (cosines within about 1e-5).
+LIST_ROWS, SHORT = 400, 32767
 #: Rows of a list, and of queries, that are compared at once.
 LIST_CHUNK, QUERY_CHUNK = 2048, 512
 
@@ -82,7 +85,7 @@ def scan_list(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray
     return ids[a[top]], ids[b[top]], cos[top]
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, margin: float = 0.06, probes: int = 16, query_step: int = 1) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, margin: float = 0.08, probes: int = 16, query_step: int = 1) -> DataFrame:
     """``(id, other, cosine, rank)``: the k most similar other vectors of every vector, those of cosine ``min_cos`` or more.
 
     The vectors are rotated and divided into cells (a bisecting tree fitted on a bounded sample; every vector is
@@ -92,7 +95,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
     or a usable vector are neither queries nor results; repeated rows count once; an empty input gives no rows.
     ``query_step`` > 1 asks only for the ids divisible by it, against all rows.
     """
-    data = VectorSet(df, id_col, vector_col, dim, rotate=True)
+    data = VectorSet(df, id_col, vector_col, dim, rotate=True, cell_rows=LIST_ROWS)
     centres = data.centres
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +106,18 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
             home, row, cell = cells_of(x, centres, margin, probes)
             asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             row, cell = row[asks[row]], cell[asks[row]]
-            order = np.r_[np.arange(len(ids)), row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[home, cell].astype(np.int32)), pa.array(np.r_[np.ones(len(ids), bool), np.zeros(len(row), bool)]), pa.array(asks[order]), pa.array(ids[order]), packed(x[order])],
-                ["cell", "home", "ask", "id", "vec"],
-            )
+            fields = ["cell", "home", "ask", "id", "vec"]
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.ones(len(ids), bool)), pa.array(asks), pa.array(ids), packed(x)], fields)
+            short = np.rint(x[row] * SHORT).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(row), bool)), pa.array(asks[row]), pa.array(ids[row]), packed(short)], fields)
 
     def scan(t: pa.Table) -> pa.Table:
-        ids, home, x = t["id"].to_numpy(), t["home"].to_numpy(), matrix(t["vec"])
+        own, guests = t.filter(t["home"]), t.filter(pc.invert(t["home"]))
+        t, x = pa.concat_tables([own, guests]), matrix(own["vec"])
+        x = np.concatenate([x.reshape(-1, dim), matrix(guests["vec"], np.int16).reshape(-1, dim).astype(np.float32) / np.float32(SHORT)])
+        ids, home = t["id"].to_numpy(), t["home"].to_numpy().astype(bool)
         _, once = np.unique(np.stack([ids, home.astype(np.int64)]), axis=1, return_index=True)
-        ids, home, x, asks = ids[once], home[once].astype(bool), x[once], t["ask"].to_numpy()[once].astype(bool)
+        ids, home, x, asks = ids[once], home[once], x[once], t["ask"].to_numpy()[once].astype(bool)
         a, b, c = scan_list(ids, x, home, asks, k, min_cos, both=query_step == 1)
         return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
 

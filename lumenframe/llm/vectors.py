@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def packed(rows: np.ndarray) -> pa.Array:
 
 def unit_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and unit float64 rows of the usable vectors: ``dim`` finite numbers that aren't all zero, with an id."""
-    length = pa.compute.fill_null(pa.compute.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
     right = (length == dim) & ids.is_valid().to_numpy(zero_copy_only=False)
     mask = pa.array(right)
     x = vectors.filter(mask).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -125,9 +126,9 @@ def bisecting_centres(x: np.ndarray, leaves: int) -> np.ndarray:
     return (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, total: int, dim: int) -> np.ndarray:
+def fit_cells(rows: DataFrame, total: int, dim: int, cell_rows: int = CELL_ROWS) -> np.ndarray:
     """Centres of the cells: a bisecting tree over a hash sample of at most ``TREE_SAMPLE`` rows of ``(id, vec)``."""
-    cells = int(min(MAX_CELLS, max(1, total // CELL_ROWS)))
+    cells = int(min(MAX_CELLS, max(1, total // cell_rows)))
     if cells == 1:
         return np.zeros((1, dim), np.float32)
     wanted = min(TREE_SAMPLE, SAMPLE_PER_CELL * cells)
@@ -157,10 +158,10 @@ def cells_of(x: np.ndarray, centres: np.ndarray, margin: float, probes: int) ->
 class VectorSet:
     """Usable vectors written once to the shared folder, their exact copies, and the fitted cells."""
 
-    def __init__(self, df: DataFrame, id_col: str, vector_col: str, dim: int, rotate: bool = False):
+    def __init__(self, df: DataFrame, id_col: str, vector_col: str, dim: int, rotate: bool = False, cell_rows: int = CELL_ROWS):
         self.dim = dim
         self.rows = Written(usable(df, id_col, vector_col, dim, rotate), "vectors").df
         self.copies = Written(copies(self.rows), "copies").df
         self.total = self.rows.count()
         self.distinct = without(self.rows, self.copies)
-        self.centres = fit_cells(self.rows, max(1, self.total), dim)
+        self.centres = fit_cells(self.rows, max(1, self.total), dim, cell_rows)
