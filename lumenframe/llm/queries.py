@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import caps, clusters, links, mixing, neighbours, packing, paths, survivors, tokens
+from lumenframe.llm import caps, clusters, links, mixing, neighbours, packing, paths, pii, survivors, tokens
 from lumenframe.session import Written, table
 
 DIM, MIN_COS, MAX_BITS = 96, 0.75, 8
@@ -112,6 +112,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {}
