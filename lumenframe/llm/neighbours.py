@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.vectors import VectorSet, cells_of, matrix, packed
+from lumenframe.llm.vectors import VectorSet, cells_of, margin_for, matrix, packed
 
 #: Columns per block, and how many standard errors a partial distance may exceed the limit before it is abandoned.
 BLOCK, DOUBT = 24, 3.0
@@ -85,18 +85,19 @@ def scan_list(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray
     return ids[a[top]], ids[b[top]], cos[top]
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, margin: float = 0.08, probes: int = 16, query_step: int = 1) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, visits: float = 4.0, probes: int = 64, query_step: int = 1) -> DataFrame:
     """``(id, other, cosine, rank)``: the k most similar other vectors of every vector, those of cosine ``min_cos`` or more.
 
     The vectors are rotated and divided into cells (a bisecting tree fitted on a bounded sample; every vector is
-    indexed). Each list is scanned for its own vectors and for visitors whose similarity to the list's centre is within
-    ``margin`` of that to their own, the nearest ``probes`` lists. Equal cosines prefer the smaller id. Bytewise equal
+    indexed). Each list is scanned for its own vectors and for visitors: a vector visits the lists whose centre is nearly as
+    similar as its own, by a margin at which a vector makes ``visits`` visits on average, the nearest ``probes`` at most. Equal cosines prefer the smaller id. Bytewise equal
     vectors are searched once and expanded by their k + 1 smallest ids, which is exact for a top k. Rows without an id
     or a usable vector are neither queries nor results; repeated rows count once; an empty input gives no rows.
     ``query_step`` > 1 asks only for the ids divisible by it, against all rows.
     """
     data = VectorSet(df, id_col, vector_col, dim, rotate=True, cell_rows=LIST_ROWS)
     centres = data.centres
+    margin = margin_for(data.sample, centres, visits)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

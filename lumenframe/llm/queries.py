@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import caps, clusters, links, mixing, neighbours, packing, paths, pii, survivors, tokens
+from lumenframe.llm import caps, clusters, links, mixing, neighbours, oracle, packing, paths, pii, survivors, tokens
 from lumenframe.session import Written, table
 
 DIM, MIN_COS, MAX_BITS = 96, 0.75, 8
@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every clip whose id is divisible by 50, against all clips, however similar."""
-    return neighbours.nearest(table(spark, d, "clips"), "clip_id", "embedding", DIM, K_NEAREST, margin=0.2, probes=48, query_step=50)
+    return neighbours.nearest(table(spark, d, "clips"), "clip_id", "embedding", DIM, K_NEAREST, visits=24.0, query_step=50)
 
 
 def _clip_files(spark: SparkSession, d: str) -> DataFrame:
@@ -122,4 +122,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
 
-SQL: dict[str, str] = {}
+SQL = oracle.SQL

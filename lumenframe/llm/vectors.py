@@ -19,6 +19,8 @@ TREE_SAMPLE = 262_144
 MAX_CELLS = 8192
 #: Sampled rows per cell and rows aimed at per cell.
 SAMPLE_PER_CELL, CELL_ROWS = 64, 800
+#: Up to this many rows are compared as one cell.
+ONE_CELL = 4_000
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float32) -> np.ndarray:
@@ -126,16 +128,28 @@ def bisecting_centres(x: np.ndarray, leaves: int) -> np.ndarray:
     return (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, total: int, dim: int, cell_rows: int = CELL_ROWS) -> np.ndarray:
-    """Centres of the cells: a bisecting tree over a hash sample of at most ``TREE_SAMPLE`` rows of ``(id, vec)``."""
-    cells = int(min(MAX_CELLS, max(1, total // cell_rows)))
+def fit_cells(rows: DataFrame, total: int, dim: int, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of the cells, by a bisecting tree over a hash sample of at most ``TREE_SAMPLE`` rows of ``(id, vec)``, and the sample.
+
+    A collection of up to ``ONE_CELL`` rows is one cell.
+    """
+    cells = int(min(MAX_CELLS, max(1, total // cell_rows))) if total > ONE_CELL else 1
     if cells == 1:
-        return np.zeros((1, dim), np.float32)
+        return np.zeros((1, dim), np.float32), np.zeros((0, dim), np.float32)
     wanted = min(TREE_SAMPLE, SAMPLE_PER_CELL * cells)
     share = min(1.0, 1.05 * wanted / total)
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(TREE_SAMPLE).toArrow()
     x = np.unique(matrix(sample.column(0)), axis=0)
-    return bisecting_centres(x, cells) if len(x) else np.zeros((1, dim), np.float32)
+    return (bisecting_centres(x, cells), x) if len(x) else (np.zeros((1, dim), np.float32), np.zeros((0, dim), np.float32))
+
+
+def margin_for(sample: np.ndarray, centres: np.ndarray, visits: float) -> float:
+    """The margin at which a row visits ``visits`` cells besides its own on average, measured on up to 2,000 sampled rows."""
+    if len(centres) <= visits + 1 or not len(sample):
+        return 2.0
+    sim = sample[:: max(1, len(sample) // 2000)] @ centres.T
+    gap = np.sort(sim.max(1, keepdims=True) - sim, axis=1)[:, 1:].ravel()
+    return float(np.partition(gap, int(visits * len(sim)))[int(visits * len(sim))])
 
 
 def cells_of(x: np.ndarray, centres: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,4 +178,4 @@ class VectorSet:
         self.copies = Written(copies(self.rows), "copies").df
         self.total = self.rows.count()
         self.distinct = without(self.rows, self.copies)
-        self.centres = fit_cells(self.rows, max(1, self.total), dim, cell_rows)
+        self.centres, self.sample = fit_cells(self.rows, max(1, self.total), dim, cell_rows)
