@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.vectors import VectorSet, cells_of, margin_for, matrix, packed
+from lumenframe.llm.vectors import SHORT, VectorSet, cells_of, margin_for, matrix, packed
 
 #: Columns per block, and how many standard errors a partial distance may exceed the limit before it is abandoned.
 BLOCK, DOUBT = 24, 3.0
-#: Rows aimed at per list. A visitor's columns travel as 16-bit numbers of this scale (cosines within about 1e-5).
-LIST_ROWS, SHORT = 400, 32767
+#: Rows aimed at per list.
+LIST_ROWS = 400
 #: Rows of a list, and of queries, that are compared at once.
 LIST_CHUNK, QUERY_CHUNK = 2048, 512
 

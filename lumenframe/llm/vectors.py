@@ -21,6 +21,8 @@ MAX_CELLS = 8192
 SAMPLE_PER_CELL, CELL_ROWS = 64, 800
 #: Up to this many rows are compared as one cell.
 ONE_CELL = 4_000
+#: Scale of the 16-bit numbers in which a visitor's columns travel (cosines within about 1e-5).
+SHORT = 32767
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float32) -> np.ndarray:
