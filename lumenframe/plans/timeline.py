@@ -13,7 +13,11 @@ from lumenframe.session import table
 
 SLOTS, SLOT_S, PER_SOURCE = 240, 0.5, 3
 _LINES = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1"
-_PLACE = F.expr(_LINES)
+
+
+def _place():
+    return F.expr(_LINES)
+
 
 
 def plan_topk_per_source(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +86,7 @@ def chronological_trailer(spark: SparkSession, d: str) -> DataFrame:
 
 def stretch_timeline(spark: SparkSession, d: str) -> DataFrame:
     """The lines of an order as entries of a tenth of their quantity in seconds, towards 20 s."""
-    x = table(spark, d, "lineitem").select("l_orderkey", _PLACE.alias("pos"), (F.col("l_quantity") / 10).alias("dur"), F.lit(20.0).alias("goal"))
+    x = table(spark, d, "lineitem").select("l_orderkey", _place().alias("pos"), (F.col("l_quantity") / 10).alias("dur"), F.lit(20.0).alias("goal"))
     s = timeline.stretch(x, "l_orderkey", "pos", "dur", "goal")
     return s.select("l_orderkey", F.col("pos").cast("bigint").alias("pos"), F.round("out_s", 6).alias("out_s"), F.round("start_s", 6).alias("start_s"), "fade_s")
 
@@ -146,7 +150,7 @@ def audio_interest(spark: SparkSession, d: str) -> DataFrame:
 
 def plan_edits(spark: SparkSession, d: str) -> DataFrame:
     """On every order as a plan: drop a supplier, set the second line's speed, swap the first line with the best other, pin the last."""
-    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan"), _PLACE.alias("pos"), F.col("l_suppkey").alias("source"), F.col("l_extendedprice").alias("score"), F.lit(0.0).alias("start_s"), F.col("l_quantity").alias("end_s"), F.lit(1.0).alias("speed"))
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan"), _place().alias("pos"), F.col("l_suppkey").alias("source"), F.col("l_extendedprice").alias("score"), F.lit(0.0).alias("start_s"), F.col("l_quantity").alias("end_s"), F.lit(1.0).alias("speed"))
     ops = [("exclude_source", {"source": 7}), ("set", {"pos": 1, "field": "speed", "value": 0.5}), ("swap", {"pos": 0, "rank": 1}), ("pin", {"pos": 0, "source": 1, "start_s": 2.0, "end_s": 3.0})]
     return edits.apply(x, ops).select("plan", F.col("pos").cast("bigint").alias("pos"), "source", "score", "start_s", "end_s", "speed")
 

@@ -86,7 +86,10 @@ class HighlightTags:
 
 
 class FolderSource(DataSource):
-    """``spark.read.format("folder").option("path", dir)``: files as ``(path, captured_at, bytes)``; ranges of captured_at are pushed to the listing."""
+    """``spark.read.format("folder").option("path", dir)``: files as ``(path, captured_at, bytes)``; ranges of captured_at are pushed to the listing.
+
+    Needs ``spark.sql.python.filterPushdown.enabled``. One partition per folder.
+    """
 
     @classmethod
     def name(cls) -> str:
