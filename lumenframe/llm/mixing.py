@@ -35,9 +35,17 @@ def repetition_rates(sizes: dict[str, int], targets: dict[str, tuple[float, floa
     return {s: full.get(s, 0.0) / sizes[s] for s in live}
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, budget: float | None = None, seed: int = 13) -> tuple[DataFrame, DataFrame]:
+def exact_budget(sizes: dict[str, int], targets: dict[str, tuple[float, float]]) -> float:
+    """The largest mix in which every source that has documents reaches its share without more than its most repeats."""
+    live = {s: (w, r) for s, (w, r) in targets.items() if sizes.get(s, 0) > 0 and w > 0}
+    weight = sum(w for w, _ in live.values())
+    return min((sizes[s] * r * weight / w for s, (w, r) in live.items()), default=0.0)
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, budget: float | str | None = None, seed: int = 13) -> tuple[DataFrame, DataFrame]:
     """The mix ``(id, source, copy, size)`` and its report, one row per target source.
 
+    The budget is a number of tokens, by default that of all listed sources; "exact" takes the largest at which no limit binds.
     A document of a source with rate r is given floor(r) times and once more with probability r - floor(r), decided by
     a hash of its id and the seed, so every run gives the same mix and no copy exceeds the most repeats. Repeated
     ids count once; documents without an id, a listed source or a positive size aren't used. Target rows of one source
@@ -49,7 +57,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: st
     goal = {r["source"]: (float(r["share"]), float(r["most"])) for r in wanted.collect()}
     named = clean.where(F.col("source").isin(list(goal))) if goal else clean.where("false")
     sizes = {r[0]: int(r[1]) for r in named.groupBy("source").agg(F.sum("size")).collect()}
-    rates = repetition_rates(sizes, goal, budget)
+    rates = repetition_rates(sizes, goal, exact_budget(sizes, goal) if budget == "exact" else budget)
     rows = [(s, w, int(r), sizes.get(s, 0), rates.get(s, 0.0)) for s, (w, r) in sorted(goal.items())]
     plan = spark.createDataFrame(rows, T.StructType([T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.LongType()), T.StructField("source_tokens", T.LongType()), T.StructField("rate", T.DoubleType())]))
     chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))

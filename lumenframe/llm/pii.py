@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import spread
+
 KINDS = ("name", "email", "phone", "id_number", "address")
 #: Tags: 0 outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
@@ -257,7 +259,7 @@ def personal_spans(docs: DataFrame, id_col: str, text_col: str, model: dict[str,
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.string()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["id", "pii_type", "start_pos", "end_pos"])
 
     texts = docs.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tag, "id bigint, pii_type string, start_pos int, end_pos int").distinct()
+    return spread(texts, "id").mapInArrow(tag, "id bigint, pii_type string, start_pos int, end_pos int").distinct()
 
 
 def redacted(docs: DataFrame, id_col: str, text_col: str, model: dict[str, np.ndarray] | None = None) -> DataFrame:
@@ -276,7 +278,7 @@ def redacted(docs: DataFrame, id_col: str, text_col: str, model: dict[str, np.nd
             columns = [pa.array(new, b.column(at).type) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*names, "pii_count"])
 
-    return docs.mapInArrow(mask, docs.withColumn("pii_count", F.lit(0)).schema)
+    return spread(docs, id_col).mapInArrow(mask, docs.withColumn("pii_count", F.lit(0)).schema)
 
 
 def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:

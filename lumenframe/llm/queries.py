@@ -112,6 +112,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")[1]
 
 
+def p8_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mix that meets every share."""
+    return mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens", budget="exact")[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -120,6 +125,6 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p8_mix, p8_shares, p8_exact_shares, p9_found, p9_redacted)}
 
 SQL = oracle.SQL

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import spread
+
 #: Folder of the public vocabulary files, described in its README.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -29,7 +31,7 @@ def encoder(folder: str = TOKENIZER_DIR, file: str = "byte_bpe_multi_50k.tiktoke
 
 
 def with_token_counts(docs: DataFrame, text_col: str, out_col: str = "tokens", folder: str = TOKENIZER_DIR, file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """``docs`` without the text, with its size in tokens; a null or empty text has 0 tokens. The vocabulary is loaded once per task."""
+    """``docs`` without the text, with its size in tokens; a null or empty text has 0 tokens. The first other column spreads the rows over tasks. The vocabulary is loaded once per task."""
     kept = [c for c in docs.columns if c != text_col]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,4 +47,4 @@ def with_token_counts(docs: DataFrame, text_col: str, out_col: str = "tokens", f
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(sizes, pa.int64())], [*kept, out_col])
 
     schema = docs.select(*kept, F.lit(0).cast("bigint").alias(out_col)).schema
-    return docs.select(*kept, text_col).mapInArrow(count, schema)
+    return spread(docs.select(*kept, text_col), kept[0]).mapInArrow(count, schema)

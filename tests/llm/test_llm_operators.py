@@ -226,6 +226,14 @@ def test_rates():
     assert mixing.repetition_rates({"a": 10}, {"a": (1.0, 2)}, 1000) == {"a": 2}
 
 
+def test_exact_budget():
+    sizes, goal = {"a": 100, "b": 10}, {"a": (0.5, 2), "b": (0.4, 3), "c": (0.1, 5)}
+    budget = mixing.exact_budget(sizes, goal)
+    rates = mixing.repetition_rates(sizes, goal, budget)
+    assert rates["b"] == pytest.approx(3) and rates["a"] * 100 / budget == pytest.approx(5 / 9)
+    assert mixing.exact_budget({}, goal) == 0
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "Big-one" if i % 10 else " small", 10) for i in range(3000)], "i bigint, s string, n bigint")
     targets = spark.createDataFrame([("big_one", 0.6, 1), ("small", 0.4, 5), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
