@@ -14,30 +14,49 @@ from lumenframe.llm.vectors import SHORT, VectorSet, cells_of, margin_for, matri
 
 #: Columns per block, and how many standard errors a partial distance may exceed the limit before it is abandoned.
 BLOCK, DOUBT = 24, 3.0
+#: Share of pairs above which the next block is computed for all.
+CROWDED = 0.05
 #: Rows aimed at per list.
 LIST_ROWS = 400
 #: Rows of a list, and of queries, that are compared at once.
 LIST_CHUNK, QUERY_CHUNK = 2048, 512
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least(part: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """The k-th smallest value along an axis, infinite when there are fewer."""
+    if part.shape[axis] <= k:
+        return np.full([1 if d == axis else n for d, n in enumerate(part.shape)], np.inf, part.dtype)
+    return np.take(np.partition(part, k - 1, axis=axis), [k - 1], axis=axis)
+
+
+def adaptive_scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, k: int, both: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, row, cosine) that an adaptive scan of rotated unit vectors doesn't abandon.
 
     ``limit`` is each query's largest squared distance of interest. The columns are read in blocks; after d of D columns a pair
     is abandoned when its partial squared distance is above ``limit * d/D * (1 + DOUBT/sqrt(d))^2``, that is when the
-    hypothesis that its whole distance is within the limit is rejected.
+    hypothesis that its whole distance is within the limit is rejected. While many pairs are left the next block is a
+    matrix product over all; when few are, it is computed for them alone. Among pairs that were never few (a crowd of
+    near copies) only those that can be among the k nearest of their query, or with ``both`` of their row, are kept.
     """
     dim = q.shape[1]
     q2, x2 = np.square(q), np.square(x)
-    d = min(BLOCK, dim)
-    part = q2[:, :d].sum(1)[:, None] + x2[:, :d].sum(1)[None, :] - 2 * (q[:, :d] @ x[:, :d].T)
-    i, j = np.nonzero(part <= (limit * (d / dim) * (1 + DOUBT / np.sqrt(d)) ** 2)[:, None])
+    part, left, d = np.zeros((len(q), len(x)), np.float32), np.ones((len(q), len(x)), bool), 0
+    while d < dim and (d == 0 or left.mean() > CROWDED):
+        e = min(d + BLOCK, dim)
+        part += q2[:, d:e].sum(1)[:, None] + x2[:, d:e].sum(1)[None, :] - 2 * (q[:, d:e] @ x[:, d:e].T)
+        d = e
+        left &= part <= (limit * (d / dim) * (1 + (DOUBT / np.sqrt(d) if d < dim else 1e-5)) ** 2 + 2e-6)[:, None]
+    if d == dim:
+        part = np.where(left, part, np.inf)
+        near = part <= _least(part, k + 1, 1) + 4e-6
+        left &= near | (part <= _least(part, k + 1, 0) + 4e-6) if both else near
+    i, j = np.nonzero(left)
     part = part[i, j]
     while d < dim and len(i):
         e = min(d + BLOCK, dim)
         part = part + np.square(q[i, d:e] - x[j, d:e]).sum(1)
         d = e
-        keep = part <= limit[i] * (d / dim) * (1 + (DOUBT / np.sqrt(d) if d < dim else 1e-5)) ** 2 + (1e-6 if d == dim else 0)
+        keep = part <= limit[i] * (d / dim) * (1 + (DOUBT / np.sqrt(d) if d < dim else 1e-5)) ** 2 + 2e-6
         i, j, part = i[keep], j[keep], part[keep]
     return i, j, np.einsum("ij,ij->i", q[i].astype(np.float64), x[j].astype(np.float64))
 
@@ -62,10 +81,10 @@ def scan_list(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for t in range(0, len(own), LIST_CHUNK):
                 h = own[t : t + LIST_CHUNK]
-                i, j, cos = adaptive_scan(x[r], x[h], limit)
+                i, j, cos = adaptive_scan(x[r], x[h], limit, k, both and not home[r[0]])
                 keep = (ids[r[i]] != ids[h[j]]) & (cos >= min_cos)
                 i, j, cos = i[keep], h[j[keep]], cos[keep]
-                if both and home[r[0]] == False and len(i):  # noqa: E712
+                if both and not home[r[0]] and len(i):
                     back = asks[j]
                     out.append((j[back], r[i[back]], cos[back]))
                 best = tuple(np.concatenate(z) for z in zip(best, (i, j, cos), strict=True))
