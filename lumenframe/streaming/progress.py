@@ -59,12 +59,13 @@ def monotone_progress_stream(ticks: DataFrame, job: str, value: str) -> DataFram
 
 
 def tumbling_events(events: DataFrame, t: str, kind: str, value: str, width: str = "1 hour", late: str | None = None) -> DataFrame:
-    """Counts and sums per window and kind; with ``late`` (streams) rows later than the watermark are dropped."""
-    x = events.withWatermark(t, late) if late else events
+    """Counts and sums per window and kind; with ``late`` (streams) rows later than the watermark are dropped and
+    zone-less times are taken in the session's zone."""
+    x = events.withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, late) if late else events
     return x.groupBy(F.window(t, width).alias("w"), F.col(kind)).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
 def session_events(events: DataFrame, t: str, key: str, gap: str = "1 hour", late: str | None = None) -> DataFrame:
     """Sessions per key: rows at most ``gap`` apart."""
-    x = events.withWatermark(t, late) if late else events
+    x = events.withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, late) if late else events
     return x.groupBy(F.session_window(t, gap).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("start"), F.max(t).alias("stop")).select(key, "start", "stop", "n")
