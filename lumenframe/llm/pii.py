@@ -170,7 +170,12 @@ _AT = r"(?:\s?@\s?|\s?[(\[](?:at|ät)[)\]]\s?|\s(?:at|ät|arroba|arobase)\s)"
 _DOT = r"(?:\.|\s?[(\[]dot[)\]]\s?|\s(?:dot|punto|punkt|point)\s)"
 _EMAIL = re.compile(rf"[^\W_][\w.+-]*{_AT}[^\W\d_][\w-]*(?:{_DOT}[^\W\d_][\w-]+)+(?![\w@])", re.I)
 _FILE_END = re.compile(r"\.(?:webp|png|jpe?g|gif|heic|mp4|mov|lrv|thm)$", re.I)
-_WORD = re.compile(r"\w")
+# The words for zero to nine in English, German, French and Spanish.
+_DIGIT_WORDS = frozenset(
+    "zero one two three four five six seven eight nine null eins zwei drei vier fünf sechs sieben acht neun "
+    "zéro un deux trois quatre cinq six sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve".split()
+)
+_PLACE_AND_CODE = re.compile(r" [^\W\d_]+ (?:\d{5}|[A-Z]{2}\d \d[A-Z]{2})\b", re.I)
 
 
 def _to_words(t: str, s: int, e: int) -> tuple[int, int]:
@@ -182,6 +187,17 @@ def _to_words(t: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
+def _spoken(t: str, s: int, e: int) -> tuple[int, int]:
+    """A number spoken digit by digit, with the digit words next to it that were left out."""
+    if not all(w in _DIGIT_WORDS for w in t[s:e].lower().split()):
+        return s, e
+    while (m := re.search(r"(\w+) $", t[max(0, s - 12) : s])) and m[1].lower() in _DIGIT_WORDS:
+        s -= len(m[0])
+    while (m := re.match(r" (\w+)", t[e : e + 12])) and m[1].lower() in _DIGIT_WORDS:
+        e += len(m[0])
+    return s, e
+
+
 def settle(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
     """The spans with settled ends, without those that can't be what they were tagged as."""
     t = text.translate(_TO_PLAIN)
@@ -210,7 +226,13 @@ def settle(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int,
                     e += 1
                 if not re.search(r"\d", body) or not re.search(r"[^\W\d]{3}", body):
                     continue
+                if m := _PLACE_AND_CODE.match(t, e):  # a town of two words that was cut before its postcode
+                    e = m.end()
+            elif name in ("phone", "id_number") and s > 1 and t[s - 1] == "." and t[s - 2].isdigit():
+                continue  # the end of a version or another dotted number
             elif name == "phone":
+                s, e = _spoken(t, s, e)
+                body = t[s:e]
                 if body.count("(") > body.count(")"):
                     if body.startswith("("):
                         s += 1

@@ -267,6 +267,17 @@ def test_tagger_on_held_out_forms(spark):
         assert {(k, text[s:e]) for k, s, e in pii.find([text], model)[0]} == want, text
 
 
+def test_settled_ends():
+    settle = lambda text, kind, part: [(k, text[s:e]) for k, s, e in pii.settle(text, [(pii.KINDS.index(kind), text.index(part), text.index(part) + len(part))])]
+    assert settle("Ruf null sieben sieben null null neun null null fünf neun eins an", "phone", "null neun null null fünf neun eins") == [("phone", "null sieben sieben null null neun null null fünf neun eins")]
+    assert settle("to 132-134 Larkmoor St., Port Ellisk 00256. Then", "address", "132-134 Larkmoor St., Port") == [("address", "132-134 Larkmoor St., Port Ellisk 00256")]
+    assert settle("version 4.11.6-5373. Tempo", "id_number", "6-5373") == []
+    assert settle("(+44 (0)20 7946 0921).", "phone", "44 (0)20 7946 0921") == [("phone", "+44 (0)20 7946 0921")]
+    assert settle("Liskistre's take", "name", "Liskistre's") == [("name", "Liskistre")]
+    assert settle("Exported as poster@3x.jpg now", "email", "poster@3x.jpg") == []
+    assert settle("at 9 Brindle St. until", "address", "9 Brindle St") == [("address", "9 Brindle St.")]
+
+
 def test_spans_in_long_texts(spark):
     model = pii.load_model()
     filler = "The light changes halfway; better to mark it as favourite. Tempo is 116 bpm, so the opening frame gets 16 beats. "
