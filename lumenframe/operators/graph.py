@@ -59,8 +59,7 @@ def signature_links(rows: DataFrame, key: str, signature: str, max_bits: int = 8
     q = frames.select(F.col("k").alias("b"), F.col("x").alias("xb"), F.explode(own).alias("e")).select("b", "xb", "e.i", "e.v")
     bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
     hit = p.join(q, ["i", "v"]).where((F.col("a") < F.col("b")) & (bits <= max_bits)).select("a", "b", bits.alias("bits"))
-    back = p.join(q, ["i", "v"]).where((F.col("b") < F.col("a")) & (bits <= max_bits)).select(F.col("b").alias("a"), F.col("a").alias("b"), bits.alias("bits"))
-    return hit.unionByName(back).groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    return hit.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def equal_signatures(rows: DataFrame, key: str, signature: str) -> DataFrame:

@@ -34,7 +34,22 @@ def clip_windows(clips: DataFrame) -> DataFrame:
     one = F.array(F.struct(F.lit(0).alias("start_i"), n.alias("end_i"), F.lit(0.0).alias("start_s"), F.col("duration_s").alias("end_s")))
     many = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - WINDOW_S)), lambda s: F.struct(s.alias("start_i"), (s + WINDOW_S).alias("end_i"), s.cast("double").alias("start_s"), (s + WINDOW_S).cast("double").alias("end_s")))
     ok = F.col("duration_s").isNotNull() & ~F.isnan("duration_s") & (F.col("duration_s") >= MIN_CLIP_S)
-    return clips.where(ok).withColumn("w", F.explode(F.when(F.col("duration_s") <= SHORT_CLIP_S, one).otherwise(many))).select("*", "w.*").drop("w")
+    return clip_statistics(clips.where(ok)).withColumn("w", F.explode(F.when(F.col("duration_s") <= SHORT_CLIP_S, one).otherwise(many))).select("*", "w.*").drop("w")
+
+
+def clip_statistics(clips: DataFrame) -> DataFrame:
+    """``clips`` with what the rules need of whole arrays, computed once per clip and not once per window."""
+    have = set(clips.columns)
+    wanted = {
+        "s_motion_max": ("motion", lambda c: F.array_max(c)),
+        "s_audio_n": ("audio", lambda c: F.size(present(c))),
+        "s_audio_p85": ("audio", lambda c: nearest_rank(c, 0.85)),
+        "s_audio_mean": ("audio", array_mean),
+        "s_gps_max": ("gps", lambda c: F.coalesce(F.array_max(c), F.lit(0.0))),
+        "s_sharp_n": ("sharpness", lambda c: F.size(present(c))),
+        "s_sharp_p30": ("sharpness", lambda c: nearest_rank(c, 0.30)),
+    }
+    return clips.withColumns({k: f(F.col(c)) for k, (c, f) in wanted.items() if c in have})
 
 
 def _part(name: str) -> Column:
@@ -53,16 +68,16 @@ def _top(name: str) -> Column:
 def rules(columns: set[str]) -> list[Rule]:
     """The rules whose signals are among ``columns``, in order."""
     zero = lambda c, v: F.when(F.coalesce(c, F.lit(False)), F.lit(v)).otherwise(0.0)
-    motion, audio, length = _mean("motion"), _mean("audio"), F.size(present(F.col("audio")))
-    loud = (audio > 0.4) & (length >= 4) & (audio >= nearest_rank(F.col("audio"), 0.85)) & (audio >= 1.25 * array_mean(F.col("audio")))
+    motion, audio = _mean("motion"), _mean("audio")
+    loud = (audio > 0.4) & (F.col("s_audio_n") >= 4) & (audio >= F.col("s_audio_p85")) & (audio >= 1.25 * F.col("s_audio_mean"))
     accl, gyro, gps = _top("accl"), _top("gyro"), _top("gps")
-    gps_max = F.coalesce(F.array_max("gps"), F.lit(0.0))
+    gps_max = F.col("s_gps_max")
     tag = F.exists("tags_ms", lambda t: (t >= F.col("start_s") * 1000) & (t <= F.col("end_s") * 1000))
     sharp, light = array_mean(_part("sharpness")), array_mean(_part("exposure"))
-    dull = (F.size(present(F.col("sharpness"))) >= 2) & (sharp <= nearest_rank(F.col("sharpness"), 0.30))
+    dull = (F.col("s_sharp_n") >= 2) & (sharp <= F.col("s_sharp_p30"))
     poor = (light < 0.25) | (light > 0.85)
     out = [
-        Rule("motion", zero(motion > 0, 1.0) * 1.5 * motion, "motion_peak", (motion > 0) & (motion > 0.7 * F.array_max("motion"))),
+        Rule("motion", zero(motion > 0, 1.0) * 1.5 * motion, "motion_peak", (motion > 0) & (motion > 0.7 * F.col("s_motion_max"))),
         Rule("audio", 1.0 * audio, "loud_audio", audio > 0.7),
         Rule("audio_peak", zero(loud, 1.5), "audio_peak", loud),
         Rule("accl_jump", F.when(accl > 15, 3.0).when(accl > 12, 1.5).otherwise(0.0), "high_accel_jump", accl > 15),

@@ -69,3 +69,10 @@ def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
     """``df`` over enough tasks for heavy per-row work: unchanged when its source gives them already, else hashed by ``key``."""
     wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+
+
+def grouped(df: DataFrame, *keys: str, per_core: int = 3):
+    """``df`` grouped by ``keys`` for heavy work per group: over a fixed number of tasks, which AQE doesn't merge by their small size."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys).groupBy(*keys)
