@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.vectors import SHORT, VectorSet, cells_of, margin_for, matrix, packed
+from lumenframe.session import grouped
 
 #: Columns per block, and how many standard errors a partial distance may exceed the limit before it is abandoned.
 BLOCK, DOUBT = 24, 3.0
@@ -146,7 +147,7 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
     if query_step > 1:  # a vector is asked for when any of its copies is
         also = data.copies.where(ask).select(F.col("rep").alias("id"), F.lit(True).alias("also")).distinct()
         rows = rows.join(also, "id", "left").select("id", "vec", (F.col("ask") | F.coalesce("also", F.lit(False))).alias("ask"))
-    found = rows.select("id", "vec", "ask").mapInArrow(route, "cell int, home boolean, ask boolean, id bigint, vec binary").groupBy("cell").applyInArrow(scan, "id bigint, other bigint, cosine double")
+    found = grouped(rows.select("id", "vec", "ask").mapInArrow(route, "cell int, home boolean, ask boolean, id bigint, vec binary"), "cell").applyInArrow(scan, "id bigint, other bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
     found = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     if not data.copies.limit(1).count():
