@@ -21,6 +21,8 @@ CROWDED = 0.05
 LIST_ROWS = 400
 #: Rows of a list, and of queries, that are compared at once.
 LIST_CHUNK, QUERY_CHUNK = 2048, 512
+#: Rows, and queries, per block when the queries are settled against all rows.
+BLOCK_ROWS = 50_000
 
 
 def _least(part: np.ndarray, k: int, axis: int) -> np.ndarray:
@@ -71,14 +73,17 @@ def _first_k(query: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> n
     return order[np.arange(len(s)) - first < k]
 
 
-def scan_list(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray, k: int, min_cos: float, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k candidates within one list: the home rows are searched for every asking row. A visitor's pairs also count for the home row (``both``)."""
+def scan_list(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray, k: int, min_cos: float, both: bool, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top k candidates within one list: the home rows are searched for every asking row. A visitor's pairs also count for the home row (``both``).
+
+    ``known`` is a cosine per row that its k-th nearest is known to reach.
+    """
     own, guests = np.nonzero(home)[0], np.nonzero(~home)[0]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for rows in (own[asks[own]], guests[asks[guests]]):
         for s in range(0, len(rows), QUERY_CHUNK):
             r = rows[s : s + QUERY_CHUNK]
-            limit = np.full(len(r), 2 - 2 * min_cos)
+            limit = 2 - 2 * (np.full(len(r), min_cos) if known is None else np.maximum(known[r], min_cos))
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for t in range(0, len(own), LIST_CHUNK):
                 h = own[t : t + LIST_CHUNK]
@@ -105,7 +110,7 @@ def scan_list(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray
     return ids[a[top]], ids[b[top]], cos[top]
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, visits: float = 4.0, probes: int = 64, query_step: int = 1) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, visits: float = 4.0, probes: int = 64, query_step: int = 1, settle: bool = False) -> DataFrame:
     """``(id, other, cosine, rank)``: the k most similar other vectors of every vector, those of cosine ``min_cos`` or more.
 
     The vectors are rotated and divided into cells (a bisecting tree fitted on a bounded sample; every vector is
@@ -113,7 +118,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
     similar as its own, by a margin at which a vector makes ``visits`` visits on average, the nearest ``probes`` at most. Equal cosines prefer the smaller id. Bytewise equal
     vectors are searched once and expanded by their k + 1 smallest ids, which is exact for a top k. Rows without an id
     or a usable vector are neither queries nor results; repeated rows count once; an empty input gives no rows.
-    ``query_step`` > 1 asks only for the ids divisible by it, against all rows.
+    ``query_step`` > 1 asks only for the ids divisible by it, against all rows. With ``settle`` the lists only give each
+    query a first k-th cosine, and the query then scans all rows for what reaches it: nothing is lost to unvisited lists,
+    at a cost of queries times rows.
     """
     data = VectorSet(df, id_col, vector_col, dim, rotate=True, cell_rows=LIST_ROWS)
     centres = data.centres
@@ -149,6 +156,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
         rows = rows.join(also, "id", "left").select("id", "vec", (F.col("ask") | F.coalesce("also", F.lit(False))).alias("ask"))
     found = grouped(rows.select("id", "vec", "ask").mapInArrow(route, "cell int, home boolean, ask boolean, id bigint, vec binary"), "cell").applyInArrow(scan, "id bigint, other bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
+    if settle and len(centres) > 1:
+        found = _settled(rows, found, data.total, dim, k, min_cos)
     found = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     if not data.copies.limit(1).count():
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -165,6 +174,33 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
     return asked.unionByName(same).where(F.col("cosine") >= min_cos).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _settled(rows: DataFrame, found: DataFrame, total: int, dim: int, k: int, min_cos: float) -> DataFrame:
+    """``(id, other, cosine)`` with the k nearest of every asking row among all ``rows (id, vec, ask)``, given candidates in ``found``.
+
+    Blocks of queries meet blocks of rows; a pair is abandoned when it can't reach the k-th cosine found so far.
+    """
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    nq = rows.where("ask").count()
+    across, down = max(tasks, -(-total // BLOCK_ROWS)), max(1, -(-nq // BLOCK_ROWS))
+    order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
+    kth = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")).withColumn("r", F.row_number().over(order)).where(F.col("r") == k)
+    kth = kth.select("id", (F.col("cosine") - 2 * np.sqrt(dim) / SHORT).alias("known"))  # less what 16-bit visitors may be off
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(17)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = rows.select("id", "vec", F.lit(None).cast("double").alias("known"), F.lit(True).alias("home"), block(across).alias("p"), every(down).alias("q"))
+    asking = rows.where("ask").join(kth, "id", "left").select("id", "vec", F.coalesce("known", F.lit(-1.0)).alias("known"), F.lit(False).alias("home"), block(down).alias("q"), every(across).alias("p"))
+
+    def scan(t: pa.Table) -> pa.Table:
+        ids, home = t["id"].to_numpy(), t["home"].to_numpy().astype(bool)
+        _, once = np.unique(np.stack([ids, home.astype(np.int64)]), axis=1, return_index=True)
+        ids, home, x = ids[once], home[once], matrix(t["vec"])[once]
+        known = pc.fill_null(t["known"], -1.0).to_numpy()[once]
+        a, b, c = scan_list(ids, x, home, ~home, k, min_cos, False, known)
+        return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+    return grouped(own.unionByName(asking), "p", "q").applyInArrow(scan, "id bigint, other bigint, cosine double")
+
+
 def neighbour_pairs(near: DataFrame) -> DataFrame:
     """The distinct undirected pairs of a ``nearest`` result."""
     return near.select(F.least("id", "other").alias("clip_a"), F.greatest("id", "other").alias("clip_b")).distinct()

@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every clip whose id is divisible by 50, against all clips, however similar."""
-    return neighbours.nearest(table(spark, d, "clips"), "clip_id", "embedding", DIM, K_NEAREST, visits=24.0, query_step=50)
+    return neighbours.nearest(table(spark, d, "clips"), "clip_id", "embedding", DIM, K_NEAREST, visits=24.0, query_step=50, settle=True)
 
 
 def _clip_files(spark: SparkSession, d: str) -> DataFrame:

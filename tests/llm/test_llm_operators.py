@@ -147,6 +147,24 @@ def test_nearest_of_a_query_set(spark):
     assert [r.other for r in got if r.id == 100 and r["rank"] == 1] == [53]
 
 
+def test_nearest_settled_beyond_the_visited_lists(spark, monkeypatch):
+    """Rows without near partners, in many more lists than are visited, and copies: all of their nearest are found."""
+    monkeypatch.setattr(vectors, "ONE_CELL", 100)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 20)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((1500, 48))
+    x = np.vstack([x, x[:7], x[10:11], x[10:11]])
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)] + [(0, [float(z) for z in x[0]])], "id bigint, v array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, "id", "v", 48, 5, visits=6.0, query_step=10, settle=True).collect():
+        got[r.id].add(r.other)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = np.round(u @ u.T, 6)
+    want = {i: set(sorted((j for j in range(len(x)) if j != i), key=lambda j: (-cos[i, j], j))[:5]) for i in range(0, len(x), 10)}
+    assert got == want
+
+
 def test_paths():
     same = ["/m/Côte d/a b.MP4", "\\m\\côte d\\A B.mp4", " /m//côte d/./a b.mp4\n", "file:///m/c%C3%B4te%20d/a%20b.mp4", "/m/x/../côte d/a b.mp4", "/M/CÔTE D/A B.MP4"]
     assert len({paths.normal_path(p) for p in same}) == 1
