@@ -317,7 +317,7 @@ def similar_clusters(df: DataFrame, id_col: str, vector_col: str, dim: int, min_
     groups = Written(hash_to_min(links), "groups").df.select(F.col("id").alias("part"), F.col("group_id").alias("group"))
     linked = assigned.join(groups, "part").select("id", "group")
     alone = assigned.where("clean").join(groups, "part", "left_anti").select("id", F.col("part").alias("cluster"), "rows")
-    checked = _verified(linked.join(data.rows, "id").select("group", "id", "vec"), min_cos)
+    checked = _verified(linked.join(data.distinct.dropDuplicates(["id"]), "id").select("group", "id", "vec"), min_cos)
     copies = data.copies
     several = alone.where("rows > 1").select("id", "cluster").unionByName(checked)
     if copies.limit(1).count():

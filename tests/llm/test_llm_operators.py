@@ -100,6 +100,20 @@ def test_groups_in_blocks(spark, monkeypatch):
     assert got == _true_clusters(x, 0.75)
 
 
+def test_repeated_rows_in_blocks(spark, monkeypatch):
+    """Groups cut over several cells that are too large for one task, with rows repeated in full."""
+    monkeypatch.setattr(clusters, "GROUP_ROWS", 20)
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 15)
+    monkeypatch.setattr(vectors, "ONE_CELL", 10)
+    rng = np.random.default_rng(19)
+    x = _groups(rng, [60, 30], spread=0.2, singles=5)
+    rows = [(i, [float(z) for z in v]) for i, v in enumerate(x)]
+    monkeypatch.setattr(clusters, "VectorSet", lambda *a: vectors.VectorSet(*a, cell_rows=8))
+    members, _ = clusters.similar_clusters(spark.createDataFrame(rows + rows[:3] + rows[70:72], "id bigint, v array<double>"), "id", "v", 16, 0.75)
+    want = _true_clusters(x, 0.75)
+    assert len(want) == 90 and {r.id: r.cluster for r in members.collect()} == want
+
+
 def test_near_signatures(spark):
     rng = random.Random(6)
     known = {i: rng.getrandbits(64) for i in range(60)}
