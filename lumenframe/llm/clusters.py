@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.links import hash_to_min
-from lumenframe.llm.vectors import SHORT, VectorSet, cells_of, margin_for, matrix, packed
+from lumenframe.llm.vectors import SHORT, VectorSet, cells_of, matrix, packed
 from lumenframe.session import Written, grouped
 
 #: Cells of up to this many rows are compared at once when their leaves are joined.
 ONE_BLOCK = 4_096
 #: Rows of a linked group that one task compares; larger groups are compared in pairs of blocks.
 GROUP_ROWS, BLOCK_ROWS = 20_000, 5_000
+#: Rows per block when all parts are linked.
+GRID_ROWS = 50_000
 #: Rows compared at once, and rounds of two-means per split.
 CHUNK, ROUNDS = 2_048, 4
 
@@ -214,46 +216,61 @@ def parts_of_cell(x: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray
     return part, clean
 
 
-def _assign(data: VectorSet, min_cos: float, visits: float, probes: int) -> DataFrame:
-    """``(id, part, rows, clean, guest)``: the part of every row, by its smallest id, and for guests of a cell the parts there that they touch.
-
-    Every row goes to its own cell and, in 16 bits a column, to the cells whose centre is nearly as similar.
-    """
-    centres, dim = data.centres, data.dim
-    margin = margin_for(data.sample, centres, visits)
+def _assign(data: VectorSet, min_cos: float) -> DataFrame:
+    """``(id, part, rows, clean, short)``: the part of every row within its own cell, by its smallest id, and the row in 16 bits a column."""
+    centres = data.centres
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = b.column(0), matrix(b.column(1))
-            if not len(x):
-                continue
-            home, row, cell = cells_of(x, centres, margin, probes)
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.zeros(len(x), bool)), ids, b.column(1)], ["cell", "guest", "id", "vec"])
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.ones(len(row), bool)), ids.take(pa.array(row)), packed(np.rint(x[row] * SHORT).astype(np.int16))], ["cell", "guest", "id", "vec"])
+            if b.num_rows:
+                home, _, _ = cells_of(matrix(b.column(1)), centres, 0.0, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(home), b.column(0), b.column(1)], ["cell", "id", "vec"])
 
     def split(t: pa.Table) -> pa.Table:
-        own, guests = t.filter(pc.invert(t["guest"])), t.filter(t["guest"])
-        ids, once = np.unique(own["id"].to_numpy(), return_index=True)
-        fields = ["id", "part", "rows", "clean", "guest"]
-        if not len(ids):
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())], names=fields)
-        x = matrix(own["vec"])[once]
+        ids, once = np.unique(t["id"].to_numpy(), return_index=True)
+        x = matrix(t["vec"])[once]
         part, clean = parts_of_cell(x, min_cos)
         _, first, number, size = np.unique(part, return_index=True, return_inverse=True, return_counts=True)  # ids ascend, so the first is the smallest
-        name = ids[first][number]
-        out = [pa.table([ids, name, size[number].astype(np.int64), clean, np.zeros(len(ids), bool)], names=fields)]
-        guest, once = np.unique(guests["id"].to_numpy(), return_index=True)
-        y = matrix(guests["vec"], np.int16).reshape(-1, dim)[once].astype(np.float32) / np.float32(SHORT)
-        order = np.argsort(name, kind="stable")
-        for s in range(0, len(guest), CHUNK):
-            for o in range(0, len(ids), CHUNK):
-                own_rows = order[o : o + CHUNK]
-                part, starts = np.unique(name[own_rows], return_index=True)
-                i, j = np.nonzero(np.logical_or.reduceat(y[s : s + CHUNK] @ x[own_rows].T >= min_cos - 3e-5, starts, axis=1))
-                out.append(pa.table([guest[i + s], part[j], np.zeros(len(i), np.int64), np.zeros(len(i), bool), np.ones(len(i), bool)], names=fields))
-        return pa.concat_tables(out)
-
-    return grouped(data.distinct.mapInArrow(route, "cell int, guest boolean, id bigint, vec binary"), "cell").applyInArrow(split, "id bigint, part bigint, rows bigint, clean boolean, guest boolean")
+        return pa.table([ids, ids[first][number], size[number].astype(np.int64), clean, packed(np.rint(x * SHORT).astype(np.int16))], names=["id", "part", "rows", "clean", "short"])
+
+    return grouped(data.distinct.mapInArrow(route, "cell int, id bigint, vec binary"), "cell").applyInArrow(split, "id bigint, part bigint, rows bigint, clean boolean, short binary")
+
+
+def _links(table: DataFrame, total: int, dim: int, min_cos: float) -> DataFrame:
+    """``(a, b)``: links that join all parts with a pair of rows of cosine ``min_cos`` or more.
+
+    Every two rows are compared, in pairs of blocks, so that no link depends on which cells lie near each other. What the
+    16 bits may be off is allowed for: a link too many only has its parts compared exactly.
+    """
+    tasks = 3 * table.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-total // GRID_ROWS), int(np.ceil(np.sqrt(2 * tasks + 0.25) - 0.5)))
+    least = min_cos - np.sqrt(dim) / SHORT - 1e-6
+    mine = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(blocks)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q")))
+    spread = table.withColumn("block", mine).select("block", "part", "short", F.explode(pairs).alias("pq")).select("block", "part", "short", "pq.p", "pq.q")
+
+    def compare(t: pa.Table) -> pa.Table:
+        names, first, label = np.unique(t["part"].to_numpy(), return_index=True, return_inverse=True)
+        x, block = matrix(t["short"], np.int16).astype(np.float32) / np.float32(SHORT), t["block"].to_numpy()
+        p, q = np.nonzero(block == t["p"][0].as_py())[0], np.nonzero(block == t["q"][0].as_py())[0]
+        same = t["p"][0].as_py() == t["q"][0].as_py()
+        for s in range(0, len(p), CHUNK):
+            a = p[s : s + CHUNK]
+            for o in range(s if same else 0, len(q), CHUNK):
+                b = q[o : o + CHUNK]
+                hit = x[a] @ x[b].T >= least
+                n = np.count_nonzero(hit)
+                if n > hit.size // 50:
+                    label = merge_hits(label, a, b, hit)
+                elif n:
+                    i, j = np.nonzero(hit)
+                    i, j = label[a[i]], label[b[j]]
+                    if (i != j).any():
+                        label = labels_of_edges(len(label), i, j)[label]
+        root = names[label[first]]
+        return pa.table({"a": names[names != root], "b": root[names != root]})
+
+    return grouped(spread, "p", "q").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _verified(rows: DataFrame, min_cos: float) -> DataFrame:
@@ -301,19 +318,19 @@ def _verified_in_blocks(rows: DataFrame, min_cos: float) -> DataFrame:
     return each.join(bad, "group_id", "left_anti").select("id", F.col("group_id").alias("cluster"))
 
 
-def similar_clusters(df: DataFrame, id_col: str, vector_col: str, dim: int, min_cos: float = 0.75, visits: float = 4.0, probes: int = 64) -> tuple[DataFrame, VectorSet]:
+def similar_clusters(df: DataFrame, id_col: str, vector_col: str, dim: int, min_cos: float = 0.75) -> tuple[DataFrame, VectorSet]:
     """``(id, cluster)``: sets of at least two records that are mutually similar and similar to no record outside.
 
     A bisecting tree divides all rows into cells; in each cell bisecting k-means goes on until every leaf is compact
-    (every two rows have a cosine of ``min_cos`` or more). Leaves that touch, within a cell and, by rows visiting the
-    cells near to them, between cells, are compared row by row, which joins what one group was cut into and rejects
-    what isn't mutually similar. Rows with bytewise equal vectors are represented by the smallest id. Records
+    (every two rows have a cosine of ``min_cos`` or more). Leaves that touch, within a cell and, by comparing all rows in
+    pairs of blocks, between cells, are compared row by row, which joins what one group was cut into and rejects
+    what isn't mutually similar. No link is missed; the cost grows with the square of the rows. Rows with bytewise equal vectors are represented by the smallest id. Records
     without an id or a usable vector, and records similar to none, are in no cluster; an empty input gives no rows.
     """
     data = VectorSet(df, id_col, vector_col, dim)
-    table = Written(_assign(data, min_cos, visits, probes), "parts").df
-    assigned = table.where("not guest").drop("guest")
-    links = table.where("guest").select("id", F.col("part").alias("a")).join(assigned.select("id", F.col("part").alias("b")), "id").select("a", "b")
+    table = Written(_assign(data, min_cos), "parts").df
+    assigned = table.drop("short")
+    links = _links(table if len(data.centres) > 1 else table.where("false"), data.total, dim, min_cos)
     groups = Written(hash_to_min(links), "groups").df.select(F.col("id").alias("part"), F.col("group_id").alias("group"))
     linked = assigned.join(groups, "part").select("id", "group")
     alone = assigned.where("clean").join(groups, "part", "left_anti").select("id", F.col("part").alias("cluster"), "rows")

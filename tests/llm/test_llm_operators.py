@@ -114,6 +114,22 @@ def test_repeated_rows_in_blocks(spark, monkeypatch):
     assert len(want) == 90 and {r.id: r.cluster for r in members.collect()} == want
 
 
+def test_links_between_far_cells(spark, monkeypatch):
+    """Pairs just over the limit beside a loose crowd, over many cells: none is missed."""
+    monkeypatch.setattr(vectors, "ONE_CELL", 10)
+    monkeypatch.setattr(clusters, "VectorSet", lambda *a: vectors.VectorSet(*a, cell_rows=8))
+    rng = np.random.default_rng(20)
+    one = rng.standard_normal((150, 32))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    off = rng.standard_normal((150, 32))
+    off -= np.einsum("ij,ij->i", off, one)[:, None] * one
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    x = np.vstack([one, 0.77 * one + np.sqrt(1 - 0.77**2) * off, _groups(rng, [150], dim=32, spread=0.35, singles=0)])
+    members, _ = clusters.similar_clusters(spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "id bigint, v array<double>"), "id", "v", 32, 0.75)
+    want = _true_clusters(x, 0.75)
+    assert len(want) > 400 and {r.id: r.cluster for r in members.collect()} == want
+
+
 def test_near_signatures(spark):
     rng = random.Random(6)
     known = {i: rng.getrandbits(64) for i in range(60)}
