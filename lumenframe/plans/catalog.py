@@ -68,8 +68,8 @@ def filename_ts(spark: SparkSession, d: str) -> DataFrame:
 
 def cache_split(spark: SparkSession, d: str) -> DataFrame:
     """Clips with candidates are in the cache."""
-    done = _cands(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    hit, miss = catalog.split_by_cache(_clips(spark, d).select("clip_id", "source"), done, "source")
+    done = _cands(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    hit, miss = catalog.split_by_cache(_clips(spark, d).select("clip_id", "file"), done, "file")
     return hit.select("clip_id", F.lit("hit").alias("state"), "n").unionByName(miss.select("clip_id", F.lit("miss").alias("state"), F.lit(0).cast("bigint").alias("n")))
 
 
@@ -93,9 +93,9 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     """Cuts, sources, repeats and unused clips per folder when each source gives at most three moments."""
-    best = timeline.top_per_source(_cands(spark, d).where("score is not null and not isnan(score)"), "source", "score", "cand_pos", 3)
-    per = best.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    x = _clips(spark, d).select("folder", "source").join(per, "source", "left")
+    best = timeline.top_per_source(_cands(spark, d).where("score is not null and not isnan(score)"), "file", "score", "cand_pos", 3)
+    per = best.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    x = _clips(spark, d).select("folder", "file").join(per, "file", "left")
     used = F.count_if(F.col("n").isNotNull())
     return x.groupBy("folder").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cuts"), used.alias("sources_used"), (F.count(F.lit(1)) - used).alias("unused"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("average"))
 
@@ -131,11 +131,11 @@ SQL = {
     "folder_key": f"with {_C} select folder, substr(sha1(string_agg(line, chr(10) order by line)), 1, 12) as key from (select folder, concat_ws('|', split_part(source, '/', -1), clip_pos::varchar) as line from c where folder is not null) group by 1",
     "variant_pick": f"with {_C} select clip_id, (('0x' || substr(sha1(regexp_replace(split_part(source, '/', -1), '(.)\\.[^.]*$', '\\1')), 1, 8))::UBIGINT % 8)::bigint as variant from c",
     "filename_ts": "with n as (select distinct unnest(regexp_extract_all(text, '(VID_[0-9]{8}_[0-9]{6}|IMG-[0-9]{8}-WA[0-9]+|GX[0-9]{6})')) as name from documents where text is not null) select name, strftime(coalesce(try_strptime(case when starts_with(name, 'VID') then substr(name, 5, 15) end, '%Y%m%d_%H%M%S'), try_strptime(case when starts_with(name, 'IMG') then substr(name, 5, 8) end, '%Y%m%d') + to_seconds(try_cast(case when starts_with(name, 'IMG') then substr(name, 16) end as int))), '%Y-%m-%d %H:%M:%S') as moment from n",
-    "cache_split": f"with {_K}, {_C}, n as (select source, count(*) as n from k group by 1) select clip_id, case when n.n is null then 'miss' else 'hit' end as state, coalesce(n.n, 0) as n from c left join n on n.source = c.source",
+    "cache_split": f"with {_K}, {_C}, n as (select file, count(*) as n from k group by 1) select clip_id, case when n.n is null then 'miss' else 'hit' end as state, coalesce(n.n, 0) as n from c left join n on n.file = c.file",
     "copy_classify": "with x as (select doc_id, sha1(text) as name, lang from documents where text is not null), t as (select distinct name from x where lang = 'en') select doc_id, case when t.name is null then 'copy' else 'skip' end as action from x left join t using (name)",
     "lru_evict": "select doc_id, sum(n_chars) over (order by doc_id desc) <= 300000 as kept from documents where n_chars is not null",
     "cache_stats": "select source, count(*) filter (where lang = 'en') as hits, count(*) - count(*) filter (where lang = 'en') as misses, sum(n_chars)::bigint as bytes, min(doc_id) as oldest, max(doc_id) as newest, round(100.0 * count(*) filter (where lang = 'en') / greatest(1, count(*)), 4) as hit_percent from documents where n_chars is not null group by 1",
-    "coverage_report": f"with {_K}, {_C}, t as (select source, least(3, count(*)) as n from k where score is not null and not isnan(score) group by 1) select folder, coalesce(sum(n), 0)::bigint as cuts, count(n) as sources_used, count(*) - count(n) as unused, coalesce(max(n), 0) as most, round(coalesce(avg(n), 0), 6) as average from c left join t on t.source = c.source group by 1",
+    "coverage_report": f"with {_K}, {_C}, t as (select file, least(3, count(*)) as n from k where score is not null and not isnan(score) group by 1) select folder, coalesce(sum(n), 0)::bigint as cuts, count(n) as sources_used, count(*) - count(n) as unused, coalesce(max(n), 0) as most, round(coalesce(avg(n), 0), 6) as average from c left join t on t.file = c.file group by 1",
     "plan_summary": "select o_custkey as plan, count(*) as n_cuts, count(distinct o_orderpriority) as sources_used, round(sum(o_totalprice), 2) as total from orders group by 1",
     "recents": "with l as (select user_id, json_extract_string(props, '$.k') as path, max(ts) as at_ from events group by 1, 2), r as (select *, row_number() over (partition by user_id order by at_ desc, path) as place from l) select user_id, path, place from r where place <= 10",
     "layered_config": "select * from (values ('pace', 'slow'), ('source_cap', '1'), ('length_s', '60'), ('lut', 'chill')) t(name, value)",

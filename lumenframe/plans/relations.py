@@ -6,30 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import signature_distance
+from lumenframe.functions.paths import normalized
 from lumenframe.operators import graph, joins, segments
 from lumenframe.plans.series import ENERGY_SQL, SECTIONS_SQL, energy
 from lumenframe.session import materialize, table
 
 
 def _cands(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "candidates").where("cand_pos is not null").dropDuplicates(["cand_pos"])
+    """The candidates, each once, with ``file``, the one spelling of ``source`` that joins them to their clip."""
+    return table(spark, d, "candidates").where("cand_pos is not null").dropDuplicates(["cand_pos"]).withColumn("file", normalized(F.col("source")))
 
 
 def _clips(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clips").dropDuplicates(["clip_id"])
+    """The clips, each once, with ``file``."""
+    return table(spark, d, "clips").dropDuplicates(["clip_id"]).withColumn("file", normalized(F.col("source")))
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    """``(file, score)``: the best usable score of each file."""
+    return _cands(spark, d).where("score is not null and not isnan(score)").groupBy("file").agg(F.max("score").alias("score"))
 
 
 def ban_favourite(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of clips that were never marked blurry, favourites up by two."""
-    c = _cands(spark, d).select("cand_pos", "source", "score", "reasons").join(_clips(spark, d).select("source", "origin"), "source", "left")
-    banned = c.where(F.array_contains("reasons", "blurry") & (F.col("score") < 0)).select("source")
-    liked = c.where(F.array_contains("reasons", "user_favorite")).select("source", F.lit(True).alias("liked")).distinct()
-    x = joins.without_banned(c, banned, ["source", "origin"], "source").join(liked, "source", "left")
-    return x.select("cand_pos", "source", F.round(F.col("score") + F.when(F.col("liked"), 2.0).otherwise(0.0), 6).alias("score"))
+    """Candidates of clips that were never marked blurry, favourites up by two; a NaN score counts as missing."""
+    score = F.when(~F.isnan("score"), F.col("score")).alias("score")
+    c = _cands(spark, d).select("cand_pos", "file", score, "reasons").join(_clips(spark, d).select("file", normalized(F.col("origin")).alias("origin_file")), "file", "left")
+    banned = c.where(F.array_contains("reasons", "blurry") & (F.col("score") < 0)).select("file")
+    liked = c.where(F.array_contains("reasons", "user_favorite")).select("file", F.lit(True).alias("liked")).distinct()
+    x = joins.without_banned(c, banned, ["file", "origin_file"], "file").join(liked, "file", "left")
+    return x.select("cand_pos", "file", F.round(F.col("score") + F.when(F.col("liked"), 2.0).otherwise(0.0), 6).alias("score"))
 
 
 def interval_tag_hit(spark: SparkSession, d: str) -> DataFrame:
-    c = _cands(spark, d).select("cand_pos", "source", "start_s", "end_s").join(_clips(spark, d).select("source", "tags_ms"), "source")
+    c = _cands(spark, d).select("cand_pos", "file", "start_s", "end_s").join(_clips(spark, d).select("file", "tags_ms"), "file")
     return c.select("cand_pos", joins.any_in_closed(F.col("tags_ms"), F.col("start_s") * 1000, F.col("end_s") * 1000).alias("hit"))
 
 
@@ -70,7 +79,7 @@ def next_slot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curve_lookup(spark: SparkSession, d: str) -> DataFrame:
-    c = _cands(spark, d).select("cand_pos", "source", "start_s").join(_clips(spark, d).select("source", "motion"), "source")
+    c = _cands(spark, d).select("cand_pos", "file", "start_s").join(_clips(spark, d).select("file", "motion"), "file")
     return c.select("cand_pos", joins.at_second(F.col("motion"), F.col("start_s")).alias("motion_at"))
 
 
@@ -95,10 +104,9 @@ def dup_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dup_keep_best(spark: SparkSession, d: str) -> DataFrame:
-    rows = _clips(spark, d).select("clip_id", "source", "signature").join(dup_components(spark, d).select("clip_id", "root"), "clip_id", "left")
-    best = _cands(spark, d).where("score is not null and not isnan(score)").groupBy("source").agg(F.max("score").alias("score"))
-    x = rows.join(best, "source").select("clip_id", "source", "root", "score")
-    return graph.keep_best(x, "root", "score", "clip_id", "source").select("clip_id", "score")
+    rows = _clips(spark, d).select("clip_id", "file").join(dup_components(spark, d).select("clip_id", "root"), "clip_id", "left")
+    x = rows.join(_best(spark, d), "file").select("clip_id", "file", "root", "score")
+    return graph.keep_best(x, "root", "score", "clip_id", "file").select("clip_id", "score")
 
 
 def signature_distance_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -120,15 +128,24 @@ def semantic_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def burst_suppress(spark: SparkSession, d: str) -> DataFrame:
-    best = _cands(spark, d).where("score is not null and not isnan(score)").groupBy("source").agg(F.max("score").alias("score"))
-    s = _clips(spark, d).select("folder", "source", F.when(F.col("captured_at").between(1, 4e9), F.col("captured_at")).alias("t")).join(best, "source")
+    s = _clips(spark, d).select("folder", "source", "file", F.when(F.col("captured_at").between(1, 4e9), F.col("captured_at")).alias("t")).join(_best(spark, d), "file")
     return segments.suppress_bursts(s, "folder", "source", "t", "score", 86400.0).select("folder", "source", "suppressed")
 
 
 QUERIES = {f.__name__: f for f in (ban_favourite, interval_tag_hit, section_lookup, nearest_onset, tolerance_semi, positional_zip, next_slot, curve_lookup, label_dedup, hamming_pairs, dup_components, dup_keep_best, signature_distance_matches, cosine_pairs, semantic_components, burst_suppress)}
 
-_K = "k as (select * from (select *, row_number() over (partition by cand_pos) as rn_ from candidates where cand_pos is not null) where rn_ = 1)"
-_C = "c as (select * from (select *, row_number() over (partition by clip_id) as rn_ from clips) where rn_ = 1)"
+
+def path_sql(column: str) -> str:
+    """SQL for the one spelling of a path column."""
+    trimmed = f"trim({column}, chr(32) || chr(9) || chr(10) || chr(13))"
+    text = f"case when lower({trimmed}) like 'file:/%' then url_decode(regexp_replace({trimmed}, '^(?i)file:/+', '/')) else replace({trimmed}, '\\', '/') end"
+    for pattern in ("/+", r"/(\./)+", r"/[^/]+/\.\./", r"/[^/]+/\.\./"):
+        text = f"regexp_replace({text}, '{pattern}', '/', 'g')"
+    return f"lower(nfc_normalize({text}))"
+
+
+_K = f"k as (select *, {path_sql('source')} as file from (select *, row_number() over (partition by cand_pos) as rn_ from candidates where cand_pos is not null) where rn_ = 1)"
+_C = f"c as (select *, {path_sql('source')} as file from (select *, row_number() over (partition by clip_id) as rn_ from clips) where rn_ = 1)"
 _BEATS = "be as (select song, i, round(i * 0.7, 3) as t from (select distinct event_type as song from events), (select unnest(range(0, 1028)) as i))"
 _ON = f"{ENERGY_SQL}, ons as (select song, round(sec + e / 10, 3) as onset from en where e > 0.5)"
 _BITS = "bit_count(xor(('0x' || {a})::UBIGINT, ('0x' || {b})::UBIGINT))"
@@ -140,25 +157,25 @@ cc(id, r) as (select a, a from two union select t.b, cc.r from cc join two t on
 _VE = "e as (select vec_id, list_transform(embedding, lambda x: x::double) as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings), cp as (select x.vec_id as a, y.vec_id as b, list_inner_product(x.v, y.v) / x.n / y.n as cosine from e x join e y on x.vec_id < y.vec_id where list_inner_product(x.v, y.v) / x.n / y.n >= 0.40)"
 
 SQL = {
-    "ban_favourite": f"with {_K}, {_C}, j as (select k.cand_pos, k.source, k.score, k.reasons, c.origin from k left join c on k.source = c.source), bn as (select distinct source from j where list_contains(reasons, 'blurry') and score < 0), lk as (select distinct source from j where list_contains(reasons, 'user_favorite')) select cand_pos, j.source, round(score + case when lk.source is not null then 2.0 else 0 end, 6) as score from j left join lk on j.source = lk.source where not exists (select 1 from bn where bn.source = j.source or bn.source = j.origin)",
-    "interval_tag_hit": f"with {_K}, {_C} select k.cand_pos, coalesce(len(list_filter(c.tags_ms, lambda x: x >= k.start_s * 1000 and x <= k.end_s * 1000)) > 0, false) as hit from k join c on k.source = c.source",
+    "ban_favourite": f"with {_K}, {_C}, j as (select k.cand_pos, k.file, case when not isnan(k.score) then k.score end as score, k.reasons, {path_sql('c.origin')} as origin from k left join c on k.file = c.file), bn as (select distinct file from j where list_contains(reasons, 'blurry') and score < 0), lk as (select distinct file from j where list_contains(reasons, 'user_favorite')) select cand_pos, j.file, round(score + case when lk.file is not null then 2.0 else 0 end, 6) as score from j left join lk on j.file = lk.file where not exists (select 1 from bn where bn.file = j.file or bn.file = j.origin)",
+    "interval_tag_hit": f"with {_K}, {_C} select k.cand_pos, coalesce(len(list_filter(c.tags_ms, lambda x: x >= k.start_s * 1000 and x <= k.end_s * 1000)) > 0, false) as hit from k join c on k.file = c.file",
     "section_lookup": f"with {SECTIONS_SQL}, {_BEATS} select be.song, be.i, coalesce(arg_min(se.kind, se.section_pos), 'verse') as kind from be left join se on se.song = be.song and be.t >= se.start_s and be.t < se.end_s group by 1, 2",
     "nearest_onset": f"with {_ON}, {_BEATS}, m as (select be.song, be.i, o.onset, row_number() over (partition by be.song, be.i order by abs(be.t - o.onset), o.onset) as r from be left join ons o on o.song = be.song and abs(be.t - o.onset) < 0.08) select song, i, onset as near from m where r = 1",
     "tolerance_semi": f"with {_ON}, {_BEATS} select song, i from be where exists (select 1 from ons o where o.song = be.song and abs(be.t - o.onset) < 0.15)",
     "positional_zip": "with a as (select l_orderkey, l_linenumber as line, row_number() over (partition by l_orderkey order by l_linenumber) as place from lineitem), b as (select l_orderkey, l_linenumber as by_price, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as place from lineitem) select a.l_orderkey, a.place, line, by_price from a join b on a.l_orderkey = b.l_orderkey and a.place = b.place",
     "next_slot": "select l_orderkey, l_linenumber, lead(l_linenumber) over (partition by l_orderkey order by l_linenumber) as next_line from lineitem",
-    "curve_lookup": f"with {_K}, {_C} select k.cand_pos, c.motion[least(cast(floor(k.start_s) as int), len(c.motion) - 1) + 1] as motion_at from k join c on k.source = c.source",
+    "curve_lookup": f"with {_K}, {_C} select k.cand_pos, c.motion[least(cast(floor(k.start_s) as int), len(c.motion) - 1) + 1] as motion_at from k join c on k.file = c.file",
     "label_dedup": "with m as (select distinct model from cameras), f as (select min(model) as t from m) select model from m, f where not contains(lower(model), lower(t)) and not contains(lower(t), lower(model))",
     "hamming_pairs": f"with {_SIG} select a, b, bits::bigint as bits from hp",
     "dup_components": f"with recursive {_DUP} select id as clip_id, root, 'g' || dense_rank() over (order by root) as label from ro",
-    "dup_keep_best": f"with recursive {_DUP}, {_K}, bs as (select source, max(score) as score from k where not isnan(score) group by 1), x as (select c.clip_id, c.source, ro.root, bs.score from c left join ro on ro.id = c.clip_id join bs on bs.source = c.source), y as (select *, first_value(source) over (partition by root order by score desc, clip_id) as o from x) select clip_id, score from y where root is null or source = o",
+    "dup_keep_best": f"with recursive {_DUP}, {_K}, bs as (select file, max(score) as score from k where not isnan(score) group by 1), x as (select c.clip_id, c.file, ro.root, bs.score from c left join ro on ro.id = c.clip_id join bs on bs.file = c.file), y as (select *, first_value(file) over (partition by root order by score desc, clip_id) as o from x) select clip_id, score from y where root is null or file = o",
     "signature_distance_matches": f"""with {_C}, s as (select clip_id, lower(signature) as g from c), m as (select distinct clip_a, clip_b from clip_matches where clip_a is not null and clip_b is not null),
       p as (select m.clip_a, m.clip_b, unnest(coalesce(string_split(x.g, ':'), [''])) as f, y.g as h from m join s x on x.clip_id = m.clip_a join s y on y.clip_id = m.clip_b),
       q as (select clip_a, clip_b, f, unnest(coalesce(string_split(h, ':'), [''])) as h from p)
       select clip_a, clip_b, min(case when regexp_full_match(f, '[0-9a-f]{{16}}') and regexp_full_match(h, '[0-9a-f]{{16}}') then {_BITS.format(a="case when regexp_full_match(f, '[0-9a-f]{16}') then f else '0' end", b="case when regexp_full_match(h, '[0-9a-f]{16}') then h else '0' end")} else 64 end)::bigint as bits from q group by 1, 2""",
     "cosine_pairs": f"with {_VE} select a, b, round(cosine, 4) as cosine from cp",
     "semantic_components": f"with recursive {_VE}, two as (select a, b from cp union select b, a from cp), cc(id, r) as (select a, a from two union select t.b, cc.r from cc join two t on t.a = cc.id), ro as (select id, min(r) as root from cc group by 1) select id as vec_id, root, 's' || dense_rank() over (order by root) as label from ro",
-    "burst_suppress": f"""with {_K}, {_C}, bs as (select source, max(score) as score from k where not isnan(score) group by 1), s as (select c.folder, c.source, case when captured_at between 1 and 4e9 then captured_at end as t, bs.score from c join bs on bs.source = c.source),
+    "burst_suppress": f"""with {_K}, {_C}, bs as (select file, max(score) as score from k where not isnan(score) group by 1), s as (select c.folder, c.source, case when captured_at between 1 and 4e9 then captured_at end as t, bs.score from c join bs on bs.file = c.file),
       g as (select *, sum(case when t - p <= 86400 then 0 else 1 end) over (partition by folder order by t, source) as ses from (select *, lag(t) over (partition by folder order by t, source) as p from s where t is not null)),
       r as (select *, row_number() over (partition by folder, ses order by score desc, t, source) > 1 as lost from g), m as (select folder, count(*) as n, avg(case when lost then 1.0 else 0 end) as sh from r group by 1)
       select s.folder, s.source, coalesce(r.lost and not (m.n >= 3 and m.sh > 0.5), false) as suppressed from s left join r on r.folder = s.folder and r.source = s.source left join m on m.folder = s.folder""",

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import interpolated, min_max, nearest_rank, upper_median
+from lumenframe.functions.paths import normalized
 from lumenframe.operators import scoring
+from lumenframe.plans.relations import _C, path_sql
 from lumenframe.session import table
 
 _ARRAYS = ["motion", "audio", "accl", "gyro", "gps", "sharpness", "exposure"]
@@ -27,9 +29,9 @@ def sliding_window_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    clips = clips_of(spark, d).select("clip_id", "source", "duration_s", "tags_ms", *_ARRAYS)
-    liked = table(spark, d, "candidates").where(F.array_contains("reasons", "user_favorite")).select("source", F.lit(True).alias("is_favorite")).distinct()
-    return scoring.score_windows(scoring.clip_windows(clips.join(liked, "source", "left")))
+    clips = clips_of(spark, d).select("clip_id", normalized(F.col("source")).alias("file"), "duration_s", "tags_ms", *_ARRAYS)
+    liked = table(spark, d, "candidates").where(F.array_contains("reasons", "user_favorite")).select(normalized(F.col("source")).alias("file"), F.lit(True).alias("is_favorite")).distinct()
+    return scoring.score_windows(scoring.clip_windows(clips.join(liked, "file", "left")))
 
 
 def score_all_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +71,6 @@ def section_bias(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (sliding_window_scores, score_all_rules, components_mismatch, nearest_rank_p85_p30, upper_median_gyro, interp_percentile_threshold, minmax_normalise, section_bias)}
 
-_C = "c as (select * from (select *, row_number() over (partition by clip_id) as rn_ from clips) where rn_ = 1)"
 _W = f"""{_C}, w0 as (select *, cast(floor(duration_s) as int) as n from c where duration_s is not null and not isnan(duration_s) and duration_s >= 0.3),
 w1 as (select *, unnest(case when duration_s <= 4 then [0] else range(0, greatest(0, n - 2) + 1) end) as si from w0),
 w as (select *, case when duration_s <= 4 then n else si + 2 end as ei, si::double as start_s, case when duration_s <= 4 then duration_s else (si + 2)::double end as end_s from w1) """
@@ -108,8 +109,8 @@ def _sb(kind: str) -> str:
 _RULES = f"""r0 as (select clip_id, start_s, end_s, {_me('motion')} as mm, list_max(motion) as mx, {_me('audio')} as am, len({_nn('audio')}) as al, {_nr('audio', '0.85')} as a85,
   list_avg({_nn('audio')}) as aavg, coalesce(list_max({_sl('accl')}), 0) as ac, coalesce(list_max({_sl('gyro')}), 0) as gy, coalesce(list_max({_sl('gps')}), 0) as gp, coalesce(list_max(gps), 0) as gx,
   len(list_filter(tags_ms, lambda t: t >= start_s * 1000 and t <= end_s * 1000)) > 0 as tg, list_avg(list_filter({_sl('sharpness')}, lambda x: x is not null)) as sh, len({_nn('sharpness')}) as sl,
-  {_nr('sharpness', '0.30')} as s30, list_avg(list_filter({_sl('exposure')}, lambda x: x is not null)) as ex, f.source is not null as fav
-  from w left join (select distinct source from candidates where list_contains(reasons, 'user_favorite')) f on w.source = f.source),
+  {_nr('sharpness', '0.30')} as s30, list_avg(list_filter({_sl('exposure')}, lambda x: x is not null)) as ex, f.file is not null as fav
+  from w left join (select distinct {path_sql('source')} as file from candidates where list_contains(reasons, 'user_favorite')) f on w.file = f.file),
 r1 as (select *, case when mm > 0 then 1.5 * mm else 0 end as motion, am as audio, case when am > 0.4 and al >= 4 and am >= a85 and am >= 1.25 * aavg then 1.5 else 0 end as audio_peak,
   case when ac > 15 then 3.0 when ac > 12 then 1.5 else 0 end as accl_jump, case when gy > 3 then 1.5 else 0 end as gyro_spin, case when gx > 0 and gp > 0.8 * gx then 2.0 else 0 end as gps_speed,
   case when tg then 10.0 else 0 end as hilight_tag, case when sl >= 2 and sh <= s30 then -1.5 else 0 end as blurry, case when ex < 0.25 or ex > 0.85 then -1.5 else 0 end as poor_exposure,

@@ -58,16 +58,16 @@ def moment_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder_cands(spark: SparkSession, d: str) -> DataFrame:
-    c = _clips(spark, d).select("source", "folder", "clip_id", "signature", "captured_at", "duration_s")
-    return _cands(spark, d).where("score is not null and not isnan(score)").join(c, "source")
+    c = _clips(spark, d).select("file", "folder", "clip_id", "signature", "captured_at", "duration_s")
+    return _cands(spark, d).where("score is not null and not isnan(score)").join(c, "file")
 
 
 def greedy_diverse_allocation(spark: SparkSession, d: str) -> DataFrame:
     """One plan of 40 slots per folder: the best moment of each source, section bias and diversity."""
-    x = timeline.top_per_source(_folder_cands(spark, d), "source", "score", "cand_pos", 1)
+    x = timeline.top_per_source(_folder_cands(spark, d), "file", "score", "cand_pos", 1)
     bias = F.create_map(*[y for k in scoring.SECTION_WEIGHTS for y in (F.lit(k), scoring.section_bias(F.col("components"), k))])
     sig = F.when(F.lower("signature").rlike(r"\A[0-9a-f]{16}(:[0-9a-f]{16})*\z"), F.lower("signature"))
-    c = x.select("folder", "cand_pos", "source", "score", (F.col("end_s") - F.col("start_s")).alias("length_s"), sig.alias("signature"), bias.alias("bias"))
+    c = x.select("folder", "cand_pos", F.col("file").alias("source"), "score", (F.col("end_s") - F.col("start_s")).alias("length_s"), sig.alias("signature"), bias.alias("bias"))
     kinds = F.array(*map(F.lit, ("intro", "verse", "build", "drop", "outro")))
     s = c.select("folder").distinct().select("folder", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("slot")).withColumn("gap_s", F.lit(0.5)).withColumn("kind", F.element_at(kinds, (F.floor(F.col("slot") / 8) + 1).cast("int")))
     return timeline.greedy_allocation(c, s, "folder")
@@ -75,12 +75,12 @@ def greedy_diverse_allocation(spark: SparkSession, d: str) -> DataFrame:
 
 def _picks(spark: SparkSession, d: str) -> DataFrame:
     """The 24 best clips of each folder, one moment each."""
-    x = timeline.top_per_source(_folder_cands(spark, d), "source", "score", "cand_pos", 1).withColumn("captured_at", F.when(F.col("captured_at").between(1, 4e9), F.col("captured_at")))
+    x = timeline.top_per_source(_folder_cands(spark, d), "file", "score", "cand_pos", 1).withColumn("captured_at", F.when(F.col("captured_at").between(1, 4e9), F.col("captured_at")))
     return timeline.top_per_source(x, "folder", "score", "cand_pos", 24)
 
 
 def chronological_trailer(spark: SparkSession, d: str) -> DataFrame:
-    x = timeline.trailer_order(_picks(spark, d), "folder", "captured_at", "source", "score", "cand_pos")
+    x = timeline.trailer_order(_picks(spark, d), "folder", "captured_at", "file", "score", "cand_pos")
     return x.select("folder", F.col("pos").cast("bigint").alias("pos"), "cand_pos")
 
 
@@ -92,7 +92,7 @@ def stretch_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    x = timeline.trailer_order(_picks(spark, d), "folder", "captured_at", "source", "score", "cand_pos")
+    x = timeline.trailer_order(_picks(spark, d), "folder", "captured_at", "file", "score", "cand_pos")
     return x.select("folder", "pos", "cand_pos", "score", "reasons", (F.col("end_s") - F.col("start_s")).alias("slot"), (F.col("cand_pos") % 3 == 0).alias("beat"), (F.col("cand_pos") % 7 == 0).alias("onset"), (F.pmod("cand_pos", F.lit(100)) / 100.0).alias("e"))
 
 
@@ -126,7 +126,7 @@ def speed_decision(spark: SparkSession, d: str) -> DataFrame:
 
 def reanchor(spark: SparkSession, d: str) -> DataFrame:
     """Moments with a tag in their window start so that the tag lies at 40 % of a two-second slot."""
-    c = _cands(spark, d).select("cand_pos", "source", "start_s", "end_s").join(_clips(spark, d).where("duration_s > 0 and not isnan(duration_s)").select("source", "tags_ms", "duration_s"), "source")
+    c = _cands(spark, d).select("cand_pos", "file", "start_s", "end_s").join(_clips(spark, d).where("duration_s > 0 and not isnan(duration_s)").select("file", "tags_ms", "duration_s"), "file")
     return c.select("cand_pos", F.round(edits.anchored(F.col("start_s"), F.col("end_s"), F.col("tags_ms"), F.lit(2.0), F.col("duration_s")), 6).alias("start_s"))
 
 
@@ -138,7 +138,7 @@ def luma_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audio_interest(spark: SparkSession, d: str) -> DataFrame:
-    c = _cands(spark, d).select("cand_pos", "source", "start_s", "end_s").join(_clips(spark, d).select("source", "voice", "gyro"), "source")
+    c = _cands(spark, d).select("cand_pos", "file", "start_s", "end_s").join(_clips(spark, d).select("file", "voice", "gyro"), "file")
     lo = F.floor("start_s").cast("int")
     hi = F.greatest(lo + 1, F.floor(F.col("end_s") + 0.999).cast("int"))
     part = F.slice("voice", lo + 1, hi - lo)
@@ -166,8 +166,8 @@ QUERIES = {f.__name__: f for f in (plan_topk_per_source, topk_per_source, stride
 _CUT = f"""{ENERGY_SQL}, {_BEATS}, bf as (select be.song, be.i, be.t, case when en.e >= 0.8 then 2 when en.e >= 0.55 then 3 when en.e >= 0.3 then 4 else 6 end as f from be join en on en.song = be.song and en.sec = least(cast(floor(be.t) as bigint), 719) where be.t >= 8 and be.t < 700),
 wk(song, i, li, lt, kept) as (select distinct song, 11::bigint, -1000000000::bigint, -1e9::double, false from bf union all
   select b.song, b.i, case when b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 then b.i else w.li end, case when b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 then b.t else w.lt end, b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 from wk w join bf b on b.song = w.song and b.i = w.i + 1)"""
-_FC = f"{_K}, {_C}, fc as (select k.*, c.folder, c.captured_at from k join c on k.source = c.source where k.score is not null and not isnan(k.score)), t1 as (select * from (select *, row_number() over (partition by source order by score desc, cand_pos) as r1 from fc) where r1 = 1), pk as (select * replace (case when captured_at between 1 and 4e9 then captured_at end as captured_at) from (select *, row_number() over (partition by folder order by score desc, cand_pos) as r2 from t1) where r2 <= 24)"
-_TR = f"""{_FC}, ch as (select *, row_number() over (partition by folder order by captured_at nulls last, source, cand_pos) as cp, count(*) over (partition by folder) as n from pk), rk as (select *, row_number() over (partition by folder order by score desc, cp) as r from ch),
+_FC = f"{_K}, {_C}, fc as (select k.*, c.folder, c.captured_at from k join c on k.file = c.file where k.score is not null and not isnan(k.score)), t1 as (select * from (select *, row_number() over (partition by file order by score desc, cand_pos) as r1 from fc) where r1 = 1), pk as (select * replace (case when captured_at between 1 and 4e9 then captured_at end as captured_at) from (select *, row_number() over (partition by folder order by score desc, cand_pos) as r2 from t1) where r2 <= 24)"
+_TR = f"""{_FC}, ch as (select *, row_number() over (partition by folder order by captured_at nulls last, file, cand_pos) as cp, count(*) over (partition by folder) as n from pk), rk as (select *, row_number() over (partition by folder order by score desc, cp) as r from ch),
 bk as (select *, case when n < 8 then 1 when r = 1 then 0 when r <= 1 + greatest(1, n // 4) then 2 else 1 end as b from rk), tr as (select *, row_number() over (partition by folder order by b, case when b = 1 then cp else r end) - 1 as pos from bk),
 en as (select folder, pos, cand_pos, score, reasons, end_s - start_s as slot, cand_pos % 3 = 0 as beat, cand_pos % 7 = 0 as onset, (cand_pos % 100) / 100.0 as e from tr)"""
 _AT = f"""{_TR}, mk(folder, pos, last, mark) as (select distinct folder, 0::bigint, 0::bigint, false from en union all select e.folder, e.pos, case when e.beat and e.pos - m.last >= 4 then e.pos else m.last end, e.beat and e.pos - m.last >= 4 from mk m join en e on e.folder = m.folder and e.pos = m.pos + 1),
@@ -193,11 +193,11 @@ SQL = {
       select folder, pos, case when hard then 'cut' else 'crossfade' end as kind, round(case when hard then 0 else least(greatest(0.12, least(0.9, bt * 0.5)), slot * 0.4) end, 6) as duration_s from h""",
     "speed_decision": f"""with {_K}, s as (select cand_pos, case when cand_pos % 5 = 0 then 'b' when src_fps is null or src_fps < 90 then 'n' when cand_pos % 2 = 0 and abs((cand_pos % 40) * 0.25 - 5) < 1 then 'r' when cand_pos % 3 = 0 and coalesce(list_has_any(reasons, ['accl_jump', 'motion']), false) then 'r' else 'n' end as m from k)
       select cand_pos, case m when 'r' then 0.4 else 1.0 end as speed_start, case m when 'b' then 1.15 else 1.0 end as speed_end from s""",
-    "reanchor": f"""with {_K}, {_C}, j as (select k.cand_pos, k.start_s, c.duration_s, list_filter(list_transform(c.tags_ms, lambda t: t / 1000.0), lambda t: t >= k.start_s and t <= k.end_s)[1] as tag from k join c on k.source = c.source where c.duration_s > 0 and not isnan(c.duration_s))
+    "reanchor": f"""with {_K}, {_C}, j as (select k.cand_pos, k.start_s, c.duration_s, list_filter(list_transform(c.tags_ms, lambda t: t / 1000.0), lambda t: t >= k.start_s and t <= k.end_s)[1] as tag from k join c on k.file = c.file where c.duration_s > 0 and not isnan(c.duration_s))
       select cand_pos, round(case when tag is null then start_s else greatest(0, least(tag - 0.8, greatest(0, duration_s - 2))) end, 6) as start_s from j""",
     "luma_offsets": f"""with {_C}, m as (select folder, clip_id, list_avg(list_filter(exposure, lambda x: x is not null)) as mean from c), r as (select folder, mean as target from (select *, row_number() over (partition by folder order by mean, clip_id) as r, count(*) over (partition by folder) as n from m where mean is not null) where r = n // 2 + 1)
       select clip_id, case when mean is not null and target is not null then round(round(greatest(-0.08, least(0.08, (target - mean) * 0.5)), 4), 3) end as offset from m left join r using (folder)""",
-    "audio_interest": f"""with {_K}, {_C}, j as (select k.cand_pos, c.voice, c.gyro, cast(floor(k.start_s) as int) as lo, greatest(cast(floor(k.start_s) as int) + 1, cast(floor(k.end_s + 0.999) as int)) as hi from k join c on k.source = c.source),
+    "audio_interest": f"""with {_K}, {_C}, j as (select k.cand_pos, c.voice, c.gyro, cast(floor(k.start_s) as int) as lo, greatest(cast(floor(k.start_s) as int) + 1, cast(floor(k.end_s + 0.999) as int)) as hi from k join c on k.file = c.file),
       g as (select *, list_filter(gyro[lo + 1:hi], lambda x: x is not null) as gw, list_filter(voice[lo + 1:hi], lambda x: x is not null) as vw, list_filter(gyro, lambda x: x is not null) as ga from j), s as (select *, list_sort(case when len(gw) > 0 then gw else ga end) as so from g)
       select cand_pos, round(coalesce(list_avg(vw), voice[1], 0), 6) as audio_interest, coalesce(so[len(so) // 2 + 1] >= 1.2, false) as stabilize from s""",
     "plan_edits": f"""with z as (select *, {_LINES} as p0 from lineitem), a as (select l_orderkey as plan, row_number() over (partition by l_orderkey order by p0) - 1 as pos, l_suppkey as source, l_extendedprice as score, 0.0::double as start_s, l_quantity as end_s from z where l_suppkey <> 7),

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lumenframe.functions import columns as c
+from lumenframe.functions import paths
 
 
 def one(spark, column, **values):
@@ -56,3 +57,13 @@ def test_paths(spark):
     assert one(spark, c.stem(F.col("s")), s="/a/b.c/d.e.mp4") == "d.e"
     assert one(spark, c.extension(F.col("s")), s="/a/b.c/D.MP4") == ".mp4"
     assert one(spark, c.extension(F.col("s")), s="/a/.hidden") == ""
+
+
+def test_path_spellings(spark):
+    same = ["/m/Côte d/a b.MP4", "\\m\\côte d\\A B.mp4", " /m//côte d/./a b.mp4\n", "file:///m/c%C3%B4te%20d/a%20b.mp4", "/m/x/../côte d/a b.mp4", "/M/CÔTE D/A B.MP4"]
+    assert len({paths.normal_path(p) for p in same}) == 1
+    assert paths.normal_path(None) is None and paths.normal_path("") == ""
+    assert paths.normal_path("/m/100%25.mp4") != paths.normal_path("/m/100%.mp4")
+    odd = [*same, None, "", " ", "a", "/", "//", "./a", "a/.", "a/..", "..", "/a/../b", "/a/.b/c..d", "FILE:/x//y/", "file://x", "file:///a%2Fb", " \t/A B/\r\n", "/a/ ./b", "\x1f/a", "/A\u0130", "a\\", "/..a/b", "/a/b /", "x\ny"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(odd)], "i int, s string").select("i", paths.normalized(F.col("s")).alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: paths.normal_path(p) for i, p in enumerate(odd)}
