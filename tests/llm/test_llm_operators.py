@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import caps, clusters, links, mixing, neighbours, packing, paths, pii, survivors, tokens, vectors
+from lumenframe.llm import caps, clusters, links, mixing, neighbours, packing, pii, survivors, tokens, vectors
 
 
 def _find(pairs):
@@ -195,13 +195,6 @@ def test_nearest_settled_beyond_the_visited_lists(spark, monkeypatch):
     assert got == want
 
 
-def test_paths():
-    same = ["/m/Côte d/a b.MP4", "\\m\\côte d\\A B.mp4", " /m//côte d/./a b.mp4\n", "file:///m/c%C3%B4te%20d/a%20b.mp4", "/m/x/../côte d/a b.mp4", "/M/CÔTE D/A B.MP4"]
-    assert len({paths.normal_path(p) for p in same}) == 1
-    assert paths.normal_path(None) is None and paths.normal_path("") == ""
-    assert paths.normal_path("/m/100%25.mp4") != paths.normal_path("/m/100%.mp4")
-
-
 def test_cap(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice("aaaaaab"), rng.choice([None, float("nan"), 1.0, 2.0, 3.0, 4.0])) for i in range(300)]
@@ -265,6 +258,15 @@ def test_one_hot_size(spark):
     assert packing.fill_report(got, 10).first().asDict() == {"bins": 500, "pieces": 1000, "tokens": 4000, "unused_share": pytest.approx(0.2), "overfull": 0}
 
 
+def test_violations_are_seen(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    docs = spark.createDataFrame([(1, 4), (2, 5), (3, 25), *((i, 3) for i in range(10, 40))], "i bigint, n bigint")
+    good = packing.pack(docs, "i", "n", 10)
+    assert sum(r.n for r in packing.violations(docs, good, "i", "n", 10).collect()) == 0
+    bad = spark.createDataFrame([(0, 1, 0, 0, 2), (0, 1, 1, 3, 2), (2, 3, 0, 0, 25)], "bin bigint, id bigint, piece int, start bigint, size bigint")
+    assert {r.what: r.n for r in packing.violations(docs.where("i <= 3"), bad, "i", "n", 10).collect()} == {"overfull": 1, "split_small": 1, "incomplete": 1, "torn": 1, "skipped": 1}
+
+
 def test_rates():
     r = mixing.repetition_rates({"a": 100, "b": 10, "c": 0}, {"a": (0.5, 2), "b": (0.4, 3), "c": (0.1, 5)}, 100)
     assert r["b"] == 3 and r["a"] == pytest.approx(0.7) and "c" not in r
@@ -289,6 +291,11 @@ def test_mix(spark):
     by = {r.source: r for r in report.collect()}
     assert by["none"].tokens == 0 and by["big_one"].most_copies == 1 and by["small"].most_copies <= 5
     assert by["small"].actual_share == pytest.approx(0.4, abs=0.03) and abs(sum(r.tokens for r in by.values()) - 20_000) < 1_500
+    exact = mixing.mix_sources(docs, targets, "i", "s", "n")
+    assert sum(r.n for r in mixing.violations(*exact).collect()) == 0
+    assert {r.source: r.rate for r in exact[1].collect()} == {"big_one": pytest.approx(300 * 5 * 1.5 / 2700), "small": pytest.approx(5.0), "none": 0.0}
+    worse = exact[0].unionByName(exact[0].where("source = 'small' and copy = 1").withColumn("copy", F.lit(9)))
+    assert {r.what for r in mixing.violations(worse, exact[1]).collect() if r.n} >= {"too_many_copies", "misnumbered"}
     again, _ = mixing.mix_sources(docs.repartition(7), targets, "i", "s", "n", budget=20_000)
     assert mixed.exceptAll(again).count() == 0 and again.exceptAll(mixed).count() == 0
 
