@@ -14,9 +14,8 @@ from pyspark.sql.types import StringType
 
 _SCHEME = re.compile(r"^file:/+", re.I)
 _SLASHES = re.compile(r"/+")
-#: Spellings that built-in functions settle: printable ASCII without escapes, white space at the ends only of this kind, and no dot segments.
-_PLAIN = r"\A[ \t\r\n]*[!-$&-~](?:[ -$&-~]*[!-$&-~])?[ \t\r\n]*\z"
-_DOTS = r"(?:\A|[/\\])\s*\.{1,2}\s*(?:[/\\]|\z)"
+#: Spellings that are canonical but for letter case: absolute, of ASCII parts that neither begin nor end with a dot or space.
+_PLAIN = r"\A(?:/[\w-]++(?:[ .]++[\w-]++)*+)++\z"
 
 
 def normal_path(path: str | None) -> str | None:
@@ -39,9 +38,10 @@ def normal_path_udf(paths: pd.Series) -> pd.Series:
 
 
 def normalized(path: Column) -> Column:
-    """``normal_path`` of a column: plain spellings are settled by built-in functions, and only the others are sent to Python."""
-    plain = path.rlike(_PLAIN) & ~path.rlike(_DOTS)
-    text = F.regexp_replace(F.regexp_replace(path, r"\A[ \t\r\n]+|[ \t\r\n]+\z", ""), r"\\", "/")
-    text = F.regexp_replace(F.regexp_replace(F.lower(text), r"\Afile:/+", "/"), r"/+", "/")
-    text = F.regexp_replace(text, r"(?<=.)/\z", "")
-    return F.when(plain, text).otherwise(normal_path_udf(F.when(~plain, path)))
+    """``normal_path`` of a column: plain spellings are lower-cased in the JVM, and only the others are sent to Python.
+
+    The outer form says that the result is null exactly where ``path`` is, so a join's filter on null keys doesn't evaluate it again.
+    """
+    plain = path.rlike(_PLAIN)
+    settled = F.when(plain, F.lower(path)).otherwise(normal_path_udf(F.when(~plain, path)))
+    return F.when(path.isNotNull(), F.coalesce(settled, F.lit("")))
