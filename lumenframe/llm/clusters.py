@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.links import hash_to_min
 from lumenframe.llm.vectors import SHORT, VectorSet, cells_of, matrix, packed
-from lumenframe.session import Written, grouped
+from lumenframe.session import Written, broadcast_if_small, grouped
 
-#: Cells of up to this many rows are compared at once when their leaves are joined.
-ONE_BLOCK = 4_096
+#: A part of at least FOLD_ROWS rows within FOLD_SHARE of the limit's angle around its centre is one node where parts are linked.
+FOLD_ROWS, FOLD_SHARE = 8, 0.25
+#: Allowance for rounding in angles.
+TINY = 1e-4
 #: Rows of a linked group that one task compares; larger groups are compared in pairs of blocks.
 GROUP_ROWS, BLOCK_ROWS = 20_000, 5_000
 #: Rows per block when all parts are linked.
@@ -159,106 +161,130 @@ def _arg_first(value: np.ndarray, starts: np.ndarray, sizes: np.ndarray, node: n
     return hits[first]
 
 
-def _touching(x: np.ndarray, leaf: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of leaves with a pair of rows of cosine ``min_cos`` or more.
-
-    The rows of a small cell are compared at once. In a large one only the leaves are that the triangle inequality on angles,
-    with the leaves' radii, does not keep apart; what it proves to touch isn't compared either.
-    """
-    if len(x) <= ONE_BLOCK:
-        hit = x @ x.T >= min_cos
-        i, j = np.nonzero(hit & (leaf[:, None] < leaf[None, :]))
-        return leaf[i], leaf[j]
-    order = np.argsort(leaf, kind="stable")
-    count = np.bincount(leaf)
-    rows = np.split(order, np.cumsum(count)[:-1])
+def shapes(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, unit centre and angular radius of every label's rows."""
+    count = np.bincount(label)
     total = np.zeros((len(count), x.shape[1]))
-    np.add.at(total, leaf, x)
+    np.add.at(total, label, x)
     centre = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     least = np.ones(len(count))
-    np.minimum.at(least, leaf, np.einsum("ij,ij->i", x, centre[leaf]))
-    radius, reach = np.arccos(np.clip(least, -1, 1)), np.arccos(min_cos)
-    out = [np.zeros((2, 0), np.int64)]
-    for s in range(0, len(centre), CHUNK):
-        angle = np.arccos(np.clip(centre[s : s + CHUNK] @ centre.T, -1, 1)) - radius[s : s + CHUNK, None] - radius[None, :]
-        i, j = np.nonzero(angle <= reach + 1e-4)
-        for a, b in zip(i + s, j, strict=True):
-            if a < b and _touch(x, rows[a], rows[b], min_cos):
-                out.append(np.array([[a], [b]]))
-    return tuple(np.concatenate(out, axis=1))
-
-
-def _touch(x: np.ndarray, a: np.ndarray, b: np.ndarray, min_cos: float) -> bool:
-    return any((x[a[s : s + CHUNK]] @ x[b[t : t + CHUNK]].T).max() >= min_cos for s in range(0, len(a), CHUNK) for t in range(0, len(b), CHUNK))
+    np.minimum.at(least, label, np.einsum("ij,ij->i", x, centre[label]))
+    return count, centre, np.where(count > 1, np.arccos(np.clip(least, -1, 1)), 0.0)
 
 
-def parts_of_cell(x: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray]:
-    """Part of each row of a cell, and whether the part is a set of mutually similar rows.
+def leaf_pairs(x: np.ndarray, leaf: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, whole)``: the pairs of leaves with a pair of rows of cosine ``min_cos`` or more, and whether all their rows are so similar.
 
-    The leaves come from ``bisect``. Leaves that touch were cut from one group or form a chain: their rows are compared
-    and joined into one part per component.
+    The triangle inequality on angles, with the leaves' centres and radii, settles most pairs of leaves, one way or the
+    other; only those that it leaves open are compared row by row.
+    """
+    count, centre, radius = shapes(x, leaf)
+    rows = np.split(np.argsort(leaf, kind="stable"), np.cumsum(count)[:-1])
+    first = np.array([r[0] for r in rows])
+    reach, out = np.arccos(min_cos), []
+    for s in range(0, len(centre), CHUNK):
+        angle = np.arccos(np.clip(centre[s : s + CHUNK] @ centre.T, -1, 1))
+        a, b = np.nonzero(angle <= reach + radius[s : s + CHUNK, None] + radius[None, :] + TINY)
+        keep = a + s < b
+        a, b, angle = a[keep] + s, b[keep], angle[a[keep], b[keep]]
+        sure = angle <= reach - radius[a] - radius[b] - TINY
+        some, whole = sure.copy(), sure.copy()
+        single = np.nonzero(~sure & (count[a] == 1) & (count[b] == 1))[0]
+        some[single] = whole[single] = np.einsum("ij,ij->i", x[first[a[single]]], x[first[b[single]]]) >= min_cos
+        for k in np.nonzero(~sure & ((count[a] > 1) | (count[b] > 1)))[0]:
+            some[k], whole[k] = _meeting(x, rows[a[k]], rows[b[k]], min_cos)
+        out.append((a[some], b[some], whole[some]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def _meeting(x: np.ndarray, a: np.ndarray, b: np.ndarray, min_cos: float) -> tuple[bool, bool]:
+    """Whether any pair, and whether every pair, of two sets of rows is similar."""
+    some, whole = False, True
+    for s in range(0, len(a), CHUNK):
+        for t in range(0, len(b), CHUNK):
+            cos = x[a[s : s + CHUNK]] @ x[b[t : t + CHUNK]].T
+            some, whole = some or bool(cos.max() >= min_cos), whole and bool(cos.min() >= min_cos)
+            if some and not whole:
+                return True, False
+    return some, whole
+
+
+def parts_of_cell(x: np.ndarray, min_cos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf and part of each row of a cell, and whether the part is a set of mutually similar rows.
+
+    The leaves come from ``bisect``; a part is a set of leaves linked directly or through others. It is mutually similar
+    when every two of its leaves are.
     """
     leaf = bisect(x, min_cos)
-    count = np.bincount(leaf)
-    bundle = labels_of_edges(len(count), *_touching(x, leaf, min_cos))
-    part, clean = leaf.copy(), np.ones(len(x), bool)
-    linked = np.bincount(bundle, minlength=len(count)) > 1
-    where = np.nonzero(linked[bundle[leaf]])[0]
-    where = where[np.argsort(bundle[leaf[where]], kind="stable")]
-    fresh = len(count)
-    for rows in np.split(where, np.nonzero(np.diff(bundle[leaf[where]]))[0] + 1) if len(where) else []:
-        label, degree = similar_groups(x[rows], min_cos)
-        _, label, size = np.unique(label, return_inverse=True, return_counts=True)
-        whole = np.ones(len(size), bool)
-        np.logical_and.at(whole, label, degree == size[label] - 1)
-        part[rows], clean[rows] = fresh + label, whole[label]
-        fresh += len(size)
-    return part, clean
+    i, j, whole = leaf_pairs(x, leaf, min_cos)
+    bundle = labels_of_edges(int(leaf.max()) + 1, i, j)
+    size, similar = np.bincount(bundle), np.bincount(bundle[i[whole]], minlength=len(bundle))
+    size = np.pad(size, (0, len(bundle) - len(size)))
+    return leaf, bundle[leaf], (similar == size * (size - 1) // 2)[bundle[leaf]]
 
 
 def _assign(data: VectorSet, min_cos: float) -> DataFrame:
-    """``(id, part, rows, clean, short)``: the part of every row within its own cell, by its smallest id, and the row in 16 bits a column."""
-    centres = data.centres
+    """``(id, leaf, part, rows, clean, radius, short)``: leaf and part of every row within its own cell or hash part of a cell, each by its smallest id.
+
+    ``short`` is the row in 16 bits a column where it takes part in linking the parts. A tight part takes part with its
+    centre only, at its smallest id, and the angle ``radius`` around it; for other rows the radius is 0.
+    """
+    cells = data.cells
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                home, _, _ = cells_of(matrix(b.column(1)), centres, 0.0, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(home), b.column(0), b.column(1)], ["cell", "id", "vec"])
+                home, _, _ = cells_of(matrix(b.column(1)), cells, None)
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(cells.part_of(b.column(0).to_numpy(), home)), b.column(0), b.column(1)], ["cell", "hash", "id", "vec"])
 
     def split(t: pa.Table) -> pa.Table:
         ids, once = np.unique(t["id"].to_numpy(), return_index=True)
         x = matrix(t["vec"])[once]
-        part, clean = parts_of_cell(x, min_cos)
-        _, first, number, size = np.unique(part, return_index=True, return_inverse=True, return_counts=True)  # ids ascend, so the first is the smallest
-        return pa.table([ids, ids[first][number], size[number].astype(np.int64), clean, packed(np.rint(x * SHORT).astype(np.int16))], names=["id", "part", "rows", "clean", "short"])
-
-    return grouped(data.distinct.mapInArrow(route, "cell int, id bigint, vec binary"), "cell").applyInArrow(split, "id bigint, part bigint, rows bigint, clean boolean, short binary")
-
-
-def _links(table: DataFrame, total: int, dim: int, min_cos: float) -> DataFrame:
+        leaf, part, clean = parts_of_cell(x, min_cos)
+        _, leaf_first, leaf = np.unique(leaf, return_index=True, return_inverse=True)
+        _, first, part, size = np.unique(part, return_index=True, return_inverse=True, return_counts=True)  # ids ascend, so the first is the smallest
+        _, centre, radius = shapes(x, part)
+        tight = clean[first] & (size >= FOLD_ROWS) & (radius <= FOLD_SHARE * np.arccos(min_cos))
+        node = np.ones(len(x), bool)
+        node[tight[part]] = False
+        node[first] = True
+        at, angle = x.copy(), np.zeros(len(x), np.float32)
+        at[first[tight]], angle[first[tight]] = centre[tight], radius[tight] + TINY
+        short = pa.array([v if n else None for v, n in zip(packed(np.rint(at * SHORT).astype(np.int16)), node, strict=True)], pa.binary())
+        return pa.table([ids, ids[leaf_first][leaf], ids[first][part], size[part].astype(np.int64), clean, angle, short], names=["id", "leaf", "part", "rows", "clean", "radius", "short"])
+
+    routed = data.distinct.mapInArrow(route, "cell int, hash int, id bigint, vec binary")
+    return grouped(routed, "cell", "hash").applyInArrow(split, "id bigint, leaf bigint, part bigint, rows bigint, clean boolean, radius float, short binary")
+
+
+def _links(nodes: DataFrame, total: int, dim: int, min_cos: float) -> DataFrame:
     """``(a, b)``: links that join all parts with a pair of rows of cosine ``min_cos`` or more.
 
-    Every two rows are compared, in pairs of blocks, so that no link depends on which cells lie near each other. What the
-    16 bits may be off is allowed for: a link too many only has its parts compared exactly.
+    Every two ``nodes (id, part, radius, short)`` are compared, in pairs of blocks, so that no link depends on which cells lie
+    near each other. What the radii and the 16 bits leave open is allowed for: a link too many only has its parts compared exactly.
     """
-    tasks = 3 * table.sparkSession.sparkContext.defaultParallelism
+    tasks = 3 * nodes.sparkSession.sparkContext.defaultParallelism
     blocks = max(-(-total // GRID_ROWS), int(np.ceil(np.sqrt(2 * tasks + 0.25) - 0.5)))
-    least = min_cos - np.sqrt(dim) / SHORT - 1e-6
+    reach, doubt = np.arccos(min_cos), np.sqrt(dim) / SHORT + 1e-6
     mine = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(blocks)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q")))
-    spread = table.withColumn("block", mine).select("block", "part", "short", F.explode(pairs).alias("pq")).select("block", "part", "short", "pq.p", "pq.q")
+    spread = nodes.withColumn("block", mine).select("block", "part", "radius", "short", F.explode(pairs).alias("pq")).select("block", "part", "radius", "short", "pq.p", "pq.q")
 
     def compare(t: pa.Table) -> pa.Table:
         names, first, label = np.unique(t["part"].to_numpy(), return_index=True, return_inverse=True)
         x, block = matrix(t["short"], np.int16).astype(np.float32) / np.float32(SHORT), t["block"].to_numpy()
+        radius = t["radius"].to_numpy().astype(np.float32)
         p, q = np.nonzero(block == t["p"][0].as_py())[0], np.nonzero(block == t["q"][0].as_py())[0]
         same = t["p"][0].as_py() == t["q"][0].as_py()
         for s in range(0, len(p), CHUNK):
             a = p[s : s + CHUNK]
             for o in range(s if same else 0, len(q), CHUNK):
                 b = q[o : o + CHUNK]
-                hit = x[a] @ x[b].T >= least
+                cos = x[a] @ x[b].T
+                hit = cos >= min_cos - doubt
+                wide, high = np.nonzero(radius[a])[0], np.nonzero(radius[b])[0]
+                hit[wide] = cos[wide] >= np.cos(reach + radius[a[wide], None] + radius[None, b]) - doubt
+                hit[:, high] = cos[:, high] >= np.cos(reach + radius[a, None] + radius[None, b[high]]) - doubt
                 n = np.count_nonzero(hit)
                 if n > hit.size // 50:
                     label = merge_hits(label, a, b, hit)
@@ -273,8 +299,11 @@ def _links(table: DataFrame, total: int, dim: int, min_cos: float) -> DataFrame:
     return grouped(spread, "p", "q").applyInArrow(compare, "a bigint, b bigint")
 
 
-def _verified(rows: DataFrame, min_cos: float) -> DataFrame:
-    """``(id, cluster)`` of the linked groups in ``rows (group, id, vec)``: components by exact comparison that are mutually similar."""
+def _verified(rows: DataFrame, dim: int, min_cos: float) -> DataFrame:
+    """``(id, cluster)`` of the linked groups in ``rows (group, id, vec)``: components by exact comparison that are mutually similar.
+
+    Groups of more than ``GROUP_ROWS`` are proven by their radius where it is small enough, and compared in pairs of blocks else.
+    """
 
     def check(t: pa.Table) -> pa.Table:
         ids, once = np.unique(t["id"].to_numpy(), return_index=True)
@@ -287,7 +316,32 @@ def _verified(rows: DataFrame, min_cos: float) -> DataFrame:
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     small = rows.join(sizes.where(F.col("n") <= GROUP_ROWS).select("group"), "group").groupBy("group").applyInArrow(check, "id bigint, cluster bigint")
     large = sizes.where(F.col("n") > GROUP_ROWS)
-    return small.unionByName(_verified_in_blocks(rows.join(large, "group"), min_cos)) if large.limit(1).count() else small
+    if not large.limit(1).count():
+        return small
+    many = rows.join(broadcast_if_small(large), "group")
+    proven = Written(_proven(many, dim, min_cos), "proven").df
+    open_ = many.join(broadcast_if_small(proven.select("group")), "group", "left_anti")
+    done = rows.join(broadcast_if_small(proven), "group").select("id", "cluster")
+    return small.unionByName(done).unionByName(_verified_in_blocks(open_, min_cos) if open_.limit(1).count() else done.where("false"))
+
+
+def _proven(rows: DataFrame, dim: int, min_cos: float) -> DataFrame:
+    """``(group, cluster)`` of the large groups whose rows all lie within half the limit's angle of their centre, and so are mutually similar."""
+    centres = broadcast_if_small(_centres(rows.select(F.col("group").alias("cluster"), "vec"), dim))
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys, number = np.unique(b.column(0).to_numpy(), return_inverse=True)
+                least = np.full(len(keys), 2.0)
+                np.minimum.at(least, number, np.einsum("ij,ij->i", matrix(b.column(1)).astype(np.float64), matrix(b.column(2), np.float64)))
+                first = np.full(len(keys), np.iinfo(np.int64).max)
+                np.minimum.at(first, number, b.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(least), pa.array(first)], ["group", "least", "first"])
+
+    near = rows.join(centres, F.col("group") == F.col("cluster")).select("group", "vec", "centre", "id").mapInArrow(farthest, "group bigint, least double, first bigint")
+    least = near.groupBy("group").agg(F.min("least").alias("least"), F.min("first").alias("cluster"))
+    return least.where(F.col("least") >= float(np.cos(np.arccos(min_cos) / 2)) + 1e-6).select("group", "cluster")
 
 
 def _verified_in_blocks(rows: DataFrame, min_cos: float) -> DataFrame:
@@ -321,20 +375,21 @@ def _verified_in_blocks(rows: DataFrame, min_cos: float) -> DataFrame:
 def similar_clusters(df: DataFrame, id_col: str, vector_col: str, dim: int, min_cos: float = 0.75) -> tuple[DataFrame, VectorSet]:
     """``(id, cluster)``: sets of at least two records that are mutually similar and similar to no record outside.
 
-    A bisecting tree divides all rows into cells; in each cell bisecting k-means goes on until every leaf is compact
-    (every two rows have a cosine of ``min_cos`` or more). Leaves that touch, within a cell and, by comparing all rows in
-    pairs of blocks, between cells, are compared row by row, which joins what one group was cut into and rejects
-    what isn't mutually similar. No link is missed; the cost grows with the square of the rows. Rows with bytewise equal vectors are represented by the smallest id. Records
+    A bisecting tree divides all rows into cells, and a crowded cell into hash parts; in each, bisecting k-means goes on until every leaf is compact
+    (every two rows have a cosine of ``min_cos`` or more). Leaves are linked by their centres and radii, and row by row where
+    those leave it open; then the parts they form are linked between cells by comparing all nodes in pairs of blocks,
+    where a tight part is one node. Parts so linked are compared exactly, which joins what one group was cut into and rejects
+    what isn't mutually similar. No link is missed; its cost grows with the square of the nodes. Rows with bytewise equal vectors are represented by the smallest id. Records
     without an id or a usable vector, and records similar to none, are in no cluster; an empty input gives no rows.
     """
     data = VectorSet(df, id_col, vector_col, dim)
     table = Written(_assign(data, min_cos), "parts").df
-    assigned = table.drop("short")
-    links = _links(table if len(data.centres) > 1 else table.where("false"), data.total, dim, min_cos)
+    assigned, nodes = table.drop("short", "radius"), table.where("short is not null").select("id", "part", "radius", "short")
+    links = _links(nodes if data.cells.parts.sum() > 1 else nodes.where("false"), nodes.count(), dim, min_cos)
     groups = Written(hash_to_min(links), "groups").df.select(F.col("id").alias("part"), F.col("group_id").alias("group"))
     linked = assigned.join(groups, "part").select("id", "group")
     alone = assigned.where("clean").join(groups, "part", "left_anti").select("id", F.col("part").alias("cluster"), "rows")
-    checked = _verified(linked.join(data.distinct.dropDuplicates(["id"]), "id").select("group", "id", "vec"), min_cos)
+    checked = _verified(linked.join(data.distinct.dropDuplicates(["id"]), "id").select("group", "id", "vec"), dim, min_cos)
     copies = data.copies
     several = alone.where("rows > 1").select("id", "cluster").unionByName(checked)
     if copies.limit(1).count():
@@ -345,13 +400,19 @@ def similar_clusters(df: DataFrame, id_col: str, vector_col: str, dim: int, min_
     return several.join(counts, "cluster", "left_semi").select("id", "cluster"), data
 
 
-def cluster_report(members: DataFrame, data: VectorSet, typical: int = 3) -> DataFrame:
-    """``(cluster_id, size, compactness, typical_rank, clip_id, cosine)``: the members nearest to the centre of each cluster.
+def leaves(df: DataFrame, id_col: str, vector_col: str, dim: int, min_cos: float = 0.75) -> tuple[DataFrame, VectorSet]:
+    """``(id, cluster)``: the leaves of the bisecting tree alone, each named by its smallest id.
 
-    The centre is summed per partition first; the ranking keeps at most ``typical`` rows per cluster and part.
+    Every two rows of a leaf are similar; leaves may be similar to each other. Bytewise equal vectors are in one leaf.
+    Every record with an id and a usable vector is in one leaf.
     """
-    ranked = members.join(data.rows.dropDuplicates(["id"]), "id").select("cluster", "id", "vec")
-    dim = data.dim
+    data = VectorSet(df, id_col, vector_col, dim)
+    own = Written(_assign(data, min_cos).select("id", F.col("leaf").alias("cluster")), "leaves").df
+    return own.unionByName(own.join(data.copies.withColumnRenamed("id", "copy").withColumnRenamed("rep", "id"), "id").select(F.col("copy").alias("id"), "cluster")), data
+
+
+def _centres(rows: DataFrame, dim: int) -> DataFrame:
+    """``(cluster, size, compactness, centre)`` of ``rows (cluster, vec)``; summed per partition first."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,13 +427,23 @@ def cluster_report(members: DataFrame, data: VectorSet, typical: int = 3) -> Dat
         n = int(np.sum(t["n"].to_numpy()))
         return pa.table({"cluster": t["cluster"][:1], "size": [n], "compactness": [float(np.linalg.norm(total) / n)], "centre": packed((total / max(np.linalg.norm(total), 1e-12))[None, :])})
 
+    return rows.mapInArrow(sums, "cluster bigint, n bigint, total binary").groupBy("cluster").applyInArrow(centre, "cluster bigint, size bigint, compactness double, centre binary")
+
+
+def cluster_report(members: DataFrame, data: VectorSet, typical: int = 3) -> DataFrame:
+    """``(cluster_id, size, compactness, typical_rank, clip_id, cosine)``: the members nearest to the centre of each cluster.
+
+    The centre is summed per partition first; the ranking keeps at most ``typical`` rows per cluster and part.
+    """
+    ranked = members.join(data.rows.dropDuplicates(["id"]), "id").select("cluster", "id", "vec")
+
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 cos = np.einsum("ij,ij->i", matrix(b.column(1)).astype(np.float64), matrix(b.column(2), np.float64))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), b.column(5), pa.array(cos)], ["cluster_id", "clip_id", "size", "compactness", "cosine"])
 
-    centres = ranked.select("cluster", "vec").mapInArrow(sums, "cluster bigint, n bigint, total binary").groupBy("cluster").applyInArrow(centre, "cluster bigint, size bigint, compactness double, centre binary")
+    centres = _centres(ranked.select("cluster", "vec"), data.dim)
     near = ranked.join(centres, "cluster").select("cluster", "vec", "centre", "id", "size", "compactness").mapInArrow(cosines, "cluster_id bigint, clip_id bigint, size bigint, compactness double, cosine double")
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("cosine").desc(), "clip_id"))
     return near.withColumn("typical_rank", rank).where(F.col("typical_rank") <= typical).select("cluster_id", "size", "compactness", "typical_rank", "clip_id", "cosine")

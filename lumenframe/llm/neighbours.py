@@ -19,6 +19,8 @@ BLOCK, DOUBT = 24, 3.0
 CROWDED = 0.05
 #: Rows aimed at per list.
 LIST_ROWS = 400
+#: Visitors sent on in one batch.
+VISITORS = 65_536
 #: Rows of a list, and of queries, that are compared at once.
 LIST_CHUNK, QUERY_CHUNK = 2048, 512
 #: Rows, and queries, per block when the queries are settled against all rows.
@@ -110,12 +112,13 @@ def scan_list(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asks: np.ndarray
     return ids[a[top]], ids[b[top]], cos[top]
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, visits: float = 4.0, probes: int = 64, query_step: int = 1, settle: bool = False) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, min_cos: float = -1.0, visits: float = 4.0, query_step: int = 1, settle: bool = False) -> DataFrame:
     """``(id, other, cosine, rank)``: the k most similar other vectors of every vector, those of cosine ``min_cos`` or more.
 
-    The vectors are rotated and divided into cells (a bisecting tree fitted on a bounded sample; every vector is
-    indexed). Each list is scanned for its own vectors and for visitors: a vector visits the lists whose centre is nearly as
-    similar as its own, by a margin at which a vector makes ``visits`` visits on average, the nearest ``probes`` at most. Equal cosines prefer the smaller id. Bytewise equal
+    The vectors are rotated and divided into lists (a bisecting tree of two levels fitted on bounded samples; every vector
+    is indexed). Each list is scanned for its own vectors and for visitors: a vector visits the lists whose centre is nearly
+    as similar as its own, by a margin at which a vector makes about ``visits`` visits. A list that holds a crowd is divided
+    into hash parts that are all visited, so its work is spread, not dropped. Equal cosines prefer the smaller id. Bytewise equal
     vectors are searched once and expanded by their k + 1 smallest ids, which is exact for a top k. Rows without an id
     or a usable vector are neither queries nor results; repeated rows count once; an empty input gives no rows.
     ``query_step`` > 1 asks only for the ids divisible by it, against all rows. With ``settle`` the lists only give each
@@ -123,21 +126,33 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
     at a cost of queries times rows.
     """
     data = VectorSet(df, id_col, vector_col, dim, rotate=True, cell_rows=LIST_ROWS)
-    centres = data.centres
-    margin = margin_for(data.sample, centres, visits)
+    cells = data.cells
+    margin = margin_for(cells, visits)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, x = b.column(0).to_numpy(), matrix(b.column(1))
             if not len(ids):
                 continue
-            home, row, cell = cells_of(x, centres, margin, probes)
+            home, row, cell = cells_of(x, cells, margin)
+            part = cells.part_of(ids, home)
             asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            # all parts of the visited lists, and the other parts of the own one; a pair that counts both ways is met in one of two parts
+            crowded = np.nonzero(cells.parts[home] > 1)[0]
+            row, cell = np.concatenate([row, crowded]), np.concatenate([cell, home[crowded]])
             row, cell = row[asks[row]], cell[asks[row]]
-            fields = ["cell", "home", "ask", "id", "vec"]
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.ones(len(ids), bool)), pa.array(asks), pa.array(ids), packed(x)], fields)
-            short = np.rint(x[row] * SHORT).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(row), bool)), pa.array(asks[row]), pa.array(ids[row]), packed(short)], fields)
+            each = cells.parts[cell]
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            row, cell = np.repeat(row, each), np.repeat(cell, each)
+            own = cell == home[row]
+            out = ~own | (at > part[row] if query_step == 1 else at != part[row])
+            row, cell, at = row[out], cell[out], at[out].astype(np.int32)
+            fields = ["cell", "part", "home", "ask", "id", "vec"]
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(part), pa.array(np.ones(len(ids), bool)), pa.array(asks), pa.array(ids), packed(x)], fields)
+            for s in range(0, len(row), VISITORS):
+                r = row[s : s + VISITORS]
+                short = np.rint(x[r] * SHORT).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + VISITORS].astype(np.int32)), pa.array(at[s : s + VISITORS]), pa.array(np.zeros(len(r), bool)), pa.array(asks[r]), pa.array(ids[r]), packed(short)], fields)
 
     def scan(t: pa.Table) -> pa.Table:
         own, guests = t.filter(t["home"]), t.filter(pc.invert(t["home"]))
@@ -154,9 +169,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, m
     if query_step > 1:  # a vector is asked for when any of its copies is
         also = data.copies.where(ask).select(F.col("rep").alias("id"), F.lit(True).alias("also")).distinct()
         rows = rows.join(also, "id", "left").select("id", "vec", (F.col("ask") | F.coalesce("also", F.lit(False))).alias("ask"))
-    found = grouped(rows.select("id", "vec", "ask").mapInArrow(route, "cell int, home boolean, ask boolean, id bigint, vec binary"), "cell").applyInArrow(scan, "id bigint, other bigint, cosine double")
+    found = grouped(rows.select("id", "vec", "ask").mapInArrow(route, "cell int, part int, home boolean, ask boolean, id bigint, vec binary"), "cell", "part").applyInArrow(scan, "id bigint, other bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
-    if settle and len(centres) > 1:
+    if settle and len(cells.centres) > 1:
         found = _settled(rows, found, data.total, dim, k, min_cos)
     found = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     if not data.copies.limit(1).count():

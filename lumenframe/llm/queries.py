@@ -26,6 +26,11 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_report(members, data)
 
 
+def p1_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of bisecting k-means, before they are joined: sizes, compactness and the members nearest to the centre."""
+    return clusters.cluster_report(*clusters.leaves(table(spark, d, "clips"), "clip_id", "embedding", DIM, MIN_COS))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return links.hash_to_min(links.matching_pairs(table(spark, d, "clip_matches"))).select(F.col("id").alias("clip_id"), "group_id")
 
@@ -141,6 +146,6 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p7_checks, p8_mix, p8_shares, p8_full_shares, p8_checks, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p1_leaves, p2_found, p3_found, p3_nearest, p5_found, p5_by_year, p6_found, p6_records, p7_packed, p7_fill, p7_checks, p8_mix, p8_shares, p8_full_shares, p8_checks, p9_found, p9_redacted)}
 
 SQL = oracle.SQL

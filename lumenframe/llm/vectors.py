@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +12,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.session import BROADCAST_ROWS, Written
-
-#: The coarse tree is fitted on at most this many rows; every row is then assigned with it.
-TREE_SAMPLE = 262_144
-#: At most this many cells; their centres are the only model that is broadcast (3 MB at 96 dimensions).
-MAX_CELLS = 8192
-#: Sampled rows per cell and rows aimed at per cell.
-SAMPLE_PER_CELL, CELL_ROWS = 64, 800
-#: Up to this many rows are compared as one cell.
-ONE_CELL = 4_000
+from lumenframe.session import BROADCAST_ROWS, Written, grouped
+
+#: The upper level of the tree is fitted on about this many rows, the lower one, for each upper node, on about NODE_SAMPLE; every
+#: row is then assigned with it. Both are hash samples, the same in every run.
+TOP_SAMPLE, NODE_SAMPLE = 16_384, 65_536
+#: At most this many cells; their centres are the only model that is broadcast (25 MB at 96 dimensions).
+MAX_CELLS = 65_536
+#: Up to FLAT_CELLS a row is compared with all centres, beyond them with those of its TOP_PROBES nearest upper nodes.
+FLAT_CELLS, TOP_PROBES = 8_192, 16
+#: Sampled rows per cell, rows aimed at per cell, and the cells that a small collection has at least.
+SAMPLE_PER_CELL, CELL_ROWS, FEW_CELLS = 64, 800, 8
+#: A cell of more than this many times the rows aimed at is divided into hash parts.
+PART_CELLS = 4
 #: Scale of the 16-bit numbers in which a visitor's columns travel (cosines within about 1e-5).
 SHORT = 32767
 
@@ -130,45 +134,111 @@ def bisecting_centres(x: np.ndarray, leaves: int) -> np.ndarray:
     return (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def fit_cells(rows: DataFrame, total: int, dim: int, cell_rows: int = CELL_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of the cells, by a bisecting tree over a hash sample of at most ``TREE_SAMPLE`` rows of ``(id, vec)``, and the sample.
-
-    A collection of up to ``ONE_CELL`` rows is one cell.
+@dataclass(frozen=True)
+class Cells:
+    """The cells of a collection: centres, the upper nodes and which of them owns each cell, the hash parts per cell, and a few rows to measure margins on."""
+
+    centres: np.ndarray
+    top: np.ndarray
+    owner: np.ndarray
+    parts: np.ndarray
+    sample: np.ndarray
+
+    def similarity(self, x: np.ndarray) -> np.ndarray:
+        """Cosine of each row and centre; -2 where an upper node is too far to be looked into."""
+        if len(self.centres) <= FLAT_CELLS:
+            return x @ self.centres.T
+        probes = min(TOP_PROBES, len(self.top))
+        near = np.argpartition(-(x @ self.top.T), probes - 1, axis=1)[:, :probes]
+        out = np.full((len(x), len(self.centres)), -2, np.float32)
+        for node in np.unique(near):
+            rows, cells = np.nonzero((near == node).any(1))[0], np.nonzero(self.owner == node)[0]
+            out[np.ix_(rows, cells)] = x[rows] @ self.centres[cells].T
+        return out
+
+    def slices(self, n: int) -> Iterator[slice]:
+        """Ranges of rows whose similarities fit in some tens of megabytes."""
+        step = max(64, (16 << 20) // len(self.centres))
+        return (slice(s, min(s + step, n)) for s in range(0, n, step))
+
+    def part_of(self, ids: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Hash part of each row within its cell."""
+        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(33)) % self.parts[cell].astype(np.uint64)).astype(np.int32)
+
+
+def fit_cells(rows: DataFrame, total: int, dim: int, cell_rows: int = CELL_ROWS) -> Cells:
+    """The cells of ``rows (id, vec)``, about ``total / cell_rows`` of them, by a bisecting tree of two levels.
+
+    The upper level is fitted on the driver on a hash sample of about ``TOP_SAMPLE`` rows; each of its nodes is then split
+    further in a task of its own, on a hash sample of about ``NODE_SAMPLE`` of its rows. A cell that holds many more rows than
+    aimed at, such as a crowd of near copies, has several hash parts, so no task holds it whole.
     """
-    cells = int(min(MAX_CELLS, max(1, total // cell_rows))) if total > ONE_CELL else 1
-    if cells == 1:
-        return np.zeros((1, dim), np.float32), np.zeros((0, dim), np.float32)
-    wanted = min(TREE_SAMPLE, SAMPLE_PER_CELL * cells)
-    share = min(1.0, 1.05 * wanted / total)
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(TREE_SAMPLE).toArrow()
-    x = np.unique(matrix(sample.column(0)), axis=0)
-    return (bisecting_centres(x, cells), x) if len(x) else (np.zeros((1, dim), np.float32), np.zeros((0, dim), np.float32))
-
-
-def margin_for(sample: np.ndarray, centres: np.ndarray, visits: float) -> float:
-    """The margin at which a row visits ``visits`` cells besides its own on average, measured on up to 2,000 sampled rows."""
-    if len(centres) <= visits + 1 or not len(sample):
+    cells = int(max(1, min(MAX_CELLS, max(total // cell_rows, min(FEW_CELLS, total // SAMPLE_PER_CELL)))))
+    drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    groups = max(1, round(cells**0.5))
+    first = rows.where(drawn < min(1.0, TOP_SAMPLE / total)).select("vec").toArrow()
+    x = np.unique(matrix(first.column(0)), axis=0) if first.num_rows else np.zeros((0, dim), np.float32)
+    if not len(x):
+        return Cells(np.zeros((1, dim), np.float32), np.zeros((1, dim), np.float32), np.zeros(1, np.int64), np.ones(1, np.int64), x)
+    top = bisecting_centres(x, groups)
+    share = np.bincount((x @ top.T).argmax(1), minlength=len(top)) / len(x)
+    rate = np.minimum(min(1.0, SAMPLE_PER_CELL * cells / total), NODE_SAMPLE / np.maximum(1.0, share * total))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                node = (matrix(b.column(0)) @ top.T).argmax(1)
+                keep = b.column(1).to_numpy() < rate[node]
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep].astype(np.int32)), b.column(0).filter(pa.array(keep))], ["node", "vec"])
+
+    def split(t: pa.Table) -> pa.Table:
+        node = t["node"][0].as_py()
+        v = np.unique(matrix(t["vec"]), axis=0)
+        here = t.num_rows / rate[node]
+        centres = bisecting_centres(v, int(max(1, min(len(v) // 8, round(here * cells / total)))))
+        count = np.bincount((v @ centres.T).argmax(1), minlength=len(centres))
+        return pa.table({"node": np.full(len(centres), node, np.int32), "place": np.arange(len(centres), dtype=np.int32), "centre": packed(centres), "rows": count * (here / len(v))})
+
+    sample = rows.select("vec", drawn.alias("u")).where(F.col("u") < float(rate.max())).mapInArrow(place, "node int, vec binary")
+    found = grouped(sample, "node").applyInArrow(split, "node int, place int, centre binary, rows double").orderBy("node", "place").toArrow()
+    if not found.num_rows:  # nothing drawn below the upper level
+        found = pa.table({"node": np.arange(len(top), dtype=np.int32), "centre": packed(top), "rows": share * total})
+    parts = np.ceil(found["rows"].to_numpy() / (PART_CELLS * cell_rows)).astype(np.int64)
+    return Cells(matrix(found["centre"]), top, found["node"].to_numpy().astype(np.int64), np.maximum(parts, 1), x[:: max(1, len(x) // 2000)])
+
+
+def margin_for(cells: Cells, visits: float) -> float:
+    """The margin at which a sampled row visits ``visits`` cells besides its own on average, rows with more than four times as
+    many counted as that, so that a crowd between many cells doesn't use up the visits of the others."""
+    if len(cells.centres) <= visits + 1 or not len(cells.sample):
         return 2.0
-    sim = sample[:: max(1, len(sample) // 2000)] @ centres.T
-    gap = np.sort(sim.max(1, keepdims=True) - sim, axis=1)[:, 1:].ravel()
-    return float(np.partition(gap, int(visits * len(sim)))[int(visits * len(sim))])
-
-
-def cells_of(x: np.ndarray, centres: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home cell of each row, and the (row, cell) visits: other cells whose centre is at most ``margin`` less similar, the nearest ``probes``."""
-    sim = x @ centres.T
-    home = sim.argmax(1)
-    here = np.arange(len(x))
-    near = sim >= (sim[here, home] - margin)[:, None]
-    near[here, home] = False
-    row, cell = np.nonzero(near)
-    count = near.sum(1)
-    if len(row) and count.max() > probes:
-        order = np.lexsort((-sim[row, cell], row))
-        row, cell = row[order], cell[order]
-        rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        row, cell = row[rank < probes], cell[rank < probes]
-    return home.astype(np.int32), row, cell.astype(np.int32)
+    gaps = []
+    for s in cells.slices(len(cells.sample)):
+        sim = cells.similarity(cells.sample[s])
+        gap = sim.max(1, keepdims=True) - sim
+        most = min(int(4 * visits) + 1, gap.shape[1])
+        gaps.append(np.sort(np.partition(gap, most - 1, axis=1)[:, :most], axis=1)[:, 1:].ravel())
+    gap = np.concatenate(gaps)
+    at = min(int(visits * len(cells.sample)), len(gap) - 1)
+    return float(np.partition(gap, at)[at])
+
+
+def cells_of(x: np.ndarray, cells: Cells, margin: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home cell of each row, and the (row, cell) visits: other cells whose centre is at most ``margin`` less similar, none without a margin."""
+    homes, rows, visited = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in cells.slices(len(x)):
+        sim = cells.similarity(x[s])
+        home = sim.argmax(1)
+        homes.append(home)
+        if margin is not None:
+            here = np.arange(len(sim))
+            near = (sim >= (sim[here, home] - margin)[:, None]) & (sim > -1.5)
+            near[here, home] = False
+            row, cell = np.nonzero(near)
+            rows.append(row + s.start)
+            visited.append(cell)
+    return np.concatenate(homes), np.concatenate(rows), np.concatenate(visited)
 
 
 class VectorSet:
@@ -180,4 +250,4 @@ class VectorSet:
         self.copies = Written(copies(self.rows), "copies").df
         self.total = self.rows.count()
         self.distinct = without(self.rows, self.copies)
-        self.centres, self.sample = fit_cells(self.rows, max(1, self.total), dim, cell_rows)
+        self.cells = fit_cells(self.distinct, max(1, self.total), dim, cell_rows)

@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,10 +55,13 @@ def _true_clusters(x, min_cos):
     return {i: r for r, v in by.items() if all(hit[i].sum() == len(v) - 1 for i in v) for i in v}
 
 
-@pytest.mark.parametrize("one_cell", [4000, 50])
-def test_clusters(spark, monkeypatch, one_cell):
-    monkeypatch.setattr(vectors, "ONE_CELL", one_cell)
-    monkeypatch.setattr(vectors, "CELL_ROWS", 60)
+@pytest.mark.parametrize("cell_rows, part_cells, flat", [(800, 4, 8192), (15, 4, 4), (30, 0.3, 8192)])
+def test_clusters(spark, monkeypatch, cell_rows, part_cells, flat):
+    """In few cells, in many whose centres are looked up by upper nodes, and in cells divided into hash parts."""
+    monkeypatch.setattr(vectors, "PART_CELLS", part_cells)
+    monkeypatch.setattr(vectors, "FLAT_CELLS", flat)
+    monkeypatch.setattr(vectors, "TOP_PROBES", 2)
+    monkeypatch.setattr(clusters, "VectorSet", lambda *a: vectors.VectorSet(*a, cell_rows=cell_rows))
     rng = np.random.default_rng(3)
     x = _groups(rng, [2, 3, 5, 8, 13, 40, 90], spread=0.4)
     chain = [np.eye(16)[0], np.eye(16)[0] * 0.8 + np.eye(16)[1] * 0.6, np.eye(16)[0] * 0.28 + np.eye(16)[1] * 0.96]
@@ -96,7 +100,7 @@ def test_groups_in_blocks(spark, monkeypatch):
     x = _groups(rng, [50, 30, 2], spread=0.4, singles=0)
     u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     df = spark.createDataFrame([(0, i, bytes(v.tobytes())) for i, v in enumerate(u)], "group bigint, id bigint, vec binary")
-    got = {r.id: r.cluster for r in clusters._verified(df, 0.75).collect()}
+    got = {r.id: r.cluster for r in clusters._verified(df, x.shape[1], 0.75).collect()}
     assert got == _true_clusters(x, 0.75)
 
 
@@ -104,7 +108,6 @@ def test_repeated_rows_in_blocks(spark, monkeypatch):
     """Groups cut over several cells that are too large for one task, with rows repeated in full."""
     monkeypatch.setattr(clusters, "GROUP_ROWS", 20)
     monkeypatch.setattr(clusters, "BLOCK_ROWS", 15)
-    monkeypatch.setattr(vectors, "ONE_CELL", 10)
     rng = np.random.default_rng(19)
     x = _groups(rng, [60, 30], spread=0.2, singles=5)
     rows = [(i, [float(z) for z in v]) for i, v in enumerate(x)]
@@ -114,9 +117,65 @@ def test_repeated_rows_in_blocks(spark, monkeypatch):
     assert len(want) == 90 and {r.id: r.cluster for r in members.collect()} == want
 
 
+def test_crowd_of_near_copies(spark):
+    """200,000 near copies among 2,000 other vectors: no part is large, the crowd is a handful of nodes, and it is one cluster."""
+    rng = np.random.default_rng(21)
+    centre = rng.standard_normal(24)
+    x = np.vstack([centre + rng.standard_normal((200_000, 24)) * 0.05, rng.standard_normal((2_000, 24))])
+    table = pa.table({"id": np.arange(len(x)), "v": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 24).cast(pa.list_(pa.float64()))})
+    df = spark.createDataFrame(table)
+    data = vectors.VectorSet(df, "id", "v", 24)
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    home, _, _ = vectors.cells_of(u, data.cells, None)
+    _, rows = np.unique(np.stack([home, data.cells.part_of(np.arange(len(x)), home)]), axis=1, return_counts=True)
+    assert rows.max() <= 2 * vectors.PART_CELLS * vectors.CELL_ROWS and len(rows) < 400
+    assert clusters._assign(data, 0.75).where("short is not null").count() < 3_000
+    members, _ = clusters.similar_clusters(df, "id", "v", 24, 0.75)
+    sizes = {r.cluster: r.n for r in members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes[0] == 200_000
+
+
+def test_leaves(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "VectorSet", lambda *a: vectors.VectorSet(*a, cell_rows=30))
+    rng = np.random.default_rng(22)
+    x = _groups(rng, [30, 2, 7, 90], spread=0.4)
+    x = np.vstack([x, x[:3]])
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)] + [(900, None), (None, [1.0] * 16)], "id bigint, v array<double>")
+    own, data = clusters.leaves(df, "id", "v", 16, 0.75)
+    leaf = {r.id: r.cluster for r in own.collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert set(leaf) == set(range(len(x))) and all(leaf[c] == c for c in leaf.values())
+    for c in set(leaf.values()):
+        rows = [i for i, k in leaf.items() if k == c]
+        assert (u[rows] @ u[rows].T).min() >= 0.75 - 1e-6 and min(rows) == c
+    report = clusters.cluster_report(own, data).collect()
+    assert sum(r["size"] for r in report if r.typical_rank == 1) == len(x)
+
+
+def test_leaf_pairs_agree_with_rows():
+    rng = np.random.default_rng(23)
+    x = _groups(rng, [30, 5, 7, 60], spread=0.5)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    leaf = clusters.bisect(x, 0.75)
+    hit, n = x @ x.T >= 0.75, leaf.max() + 1
+    some = {(i, j) for i in range(n) for j in range(i + 1, n) if hit[np.ix_(leaf == i, leaf == j)].any()}
+    whole = {(i, j) for i, j in some if hit[np.ix_(leaf == i, leaf == j)].all()}
+    i, j, w = clusters.leaf_pairs(x, leaf, 0.75)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == some and {(a, b) for a, b, c in zip(i, j, w, strict=True) if c} == whole
+
+
+def test_large_group_proven_by_its_radius(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "GROUP_ROWS", 20)
+    monkeypatch.setattr(clusters, "_verified_in_blocks", None)
+    rng = np.random.default_rng(24)
+    x = rng.standard_normal(16) + rng.standard_normal((50, 16)) * 0.1
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(7, i + 3, bytes(v.tobytes())) for i, v in enumerate(u)], "group bigint, id bigint, vec binary")
+    assert {(r.id, r.cluster) for r in clusters._verified(df, 16, 0.75).collect()} == {(i + 3, 3) for i in range(50)}
+
+
 def test_links_between_far_cells(spark, monkeypatch):
     """Pairs just over the limit beside a loose crowd, over many cells: none is missed."""
-    monkeypatch.setattr(vectors, "ONE_CELL", 10)
     monkeypatch.setattr(clusters, "VectorSet", lambda *a: vectors.VectorSet(*a, cell_rows=8))
     rng = np.random.default_rng(20)
     one = rng.standard_normal((150, 32))
@@ -146,9 +205,9 @@ def test_near_signatures(spark):
     assert pairs == {(p.id, q.id) for p, q in itertools.product(left, right) if p.folder == q.folder and near(p.signature, q.signature) <= 8}
 
 
-@pytest.mark.parametrize("min_cos", [-1.0, 0.6])
-def test_nearest(spark, monkeypatch, min_cos):
-    monkeypatch.setattr(vectors, "ONE_CELL", 100)
+@pytest.mark.parametrize("min_cos, part_cells", [(-1.0, 4), (0.6, 4), (0.6, 0.3)])
+def test_nearest(spark, monkeypatch, min_cos, part_cells):
+    monkeypatch.setattr(vectors, "PART_CELLS", part_cells)
     monkeypatch.setattr(neighbours, "LIST_ROWS", 100)
     rng = np.random.default_rng(7)
     x = _groups(rng, [60, 60, 60, 5, 3], dim=48, spread=0.9, singles=300)
@@ -179,7 +238,6 @@ def test_nearest_of_a_query_set(spark):
 
 def test_nearest_settled_beyond_the_visited_lists(spark, monkeypatch):
     """Rows without near partners, in many more lists than are visited, and copies: all of their nearest are found."""
-    monkeypatch.setattr(vectors, "ONE_CELL", 100)
     monkeypatch.setattr(neighbours, "LIST_ROWS", 20)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
     rng = np.random.default_rng(18)
