@@ -15,6 +15,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 _own_dirs: dict[str, str] = {}
+_written: list[Written] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="lumenframe-")
@@ -43,6 +46,7 @@ class Written:
     def __init__(self, df: DataFrame, name: str = "t"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
+        _written.append(self)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -50,6 +54,12 @@ class Written:
         _remove(self.spark, self.path)
 
 
+@atexit.register
+def _drop_all() -> None:
+    for t in _written:
+        t.drop()
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return the table as read from there."""
     return Written(df, name).df
@@ -71,6 +81,12 @@ def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for a shuffle of ``df`` in which each takes about ``rows`` rows: the number grows with the data, and is at least that of the session."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def grouped(df: DataFrame, *keys: str, per_core: int = 3):
     """``df`` grouped by ``keys`` for heavy work per group: over a fixed number of tasks, which AQE doesn't merge by their small size."""
     spark = df.sparkSession

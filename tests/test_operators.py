@@ -260,6 +260,35 @@ def test_implausible_readings(spark):
     assert anomalies.implausible_readings(df.where("false")).count() == 0
 
 
+def test_forest_ranks_what_no_rule_sees(spark, monkeypatch):
+    """Readings six spreads off among steady ones break no rule, but the forest isolates them; every reading has a score, also in parts of a source."""
+    monkeypatch.setattr(anomalies, "SCORE_ROWS", 300)
+    rng = random.Random(11)
+    r = [(c, "accl", s, "cam", 10 + rng.gauss(0, 0.5)) for c in range(10) for s in range(200)]
+    odd = {(c, 100): 13.0 for c in range(5)}
+    r = [(c, n, s, cam, odd.get((c, s), v)) for c, n, s, cam, v in r] + [(20, "accl", 0, "cam", float("nan")), (21, "accl", 0, "cam", float("inf")), (22, "accl", 0, "cam", -3.0), (23, "accl", 0, None, 3.0)]
+    got = anomalies.scored_readings(spark.createDataFrame(r, "key bigint, name string, sec int, source string, value double")).collect()
+    assert len(got) == len(r) and {x.key for x in got if x.score is None} == {23}
+    usual = sorted(x.score for x in got if x.key < 10 and (x.key, x.sec) not in odd)
+    bar = usual[int(len(usual) * 0.99)]
+    assert all(x.score > bar for x in got if (x.key, x.sec) in odd or x.key in (20, 21, 22))
+    assert not any(x.reason for x in got if (x.key, x.sec) in odd)
+
+
+def test_forest_lengths():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((500, 4)).astype(np.float32)
+    f, t, n = anomalies.fit_forest(x, 3)
+    assert np.isfinite(n).all() and n.min() >= 1 and f.max() < 4
+    far = np.vstack([x[:5], np.full((1, 4), 40, np.float32)])
+    score = anomalies.forest_scores(far, f, t, n, 500)
+    assert score[5] > score[:5].max() and ((0 < score) & (score < 1)).all()
+    f, t, n = anomalies.fit_forest(np.ones((1, 4), np.float32), 3)
+    assert (n == 0).all()
+
+
 def test_runs_across_chunks(spark):
     edge = anomalies.CHUNK_S
     r = [(1, "x", s, "c", 2.0 if edge - 5 <= s < edge + 4 else float(s % 7)) for s in range(edge - 50, edge + 50)]
