@@ -111,13 +111,58 @@ def seeded_index(text: Column, n: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("bigint"), F.lit(n))
 
 
+# Forms of moments in file names.
+_DASHED = r"\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2}"
+_SENT = r"(?i)(?:IMG|VID)-(\d{8})-WA(\d+)"
+
+
 def name_time(name: Column) -> Column:
-    """Moment in a file name as a zone-less timestamp: ``VID_20240131_120501`` style, or the day and running number of
-    ``IMG-20240131-WA0007`` taken as seconds; null without a valid one."""
-    full = F.regexp_extract(name, r"(?:^|\D)(\d{8})[_-](\d{6})(?:\D|$)", 0)
-    digits = F.regexp_replace(full, r"\D", "")
-    moment = F.try_to_timestamp(F.when(F.length(digits) == 14, digits), F.lit("yyyyMMddHHmmss"))
-    day = F.regexp_extract(name, r"-(\d{8})-WA\d+", 1)
-    number = F.regexp_extract(name, r"-\d{8}-WA(\d+)", 1).try_cast("int")
-    start = F.try_to_timestamp(F.when(F.length(day) == 8, day), F.lit("yyyyMMdd"))
+    """Moment in a file name as a zone-less timestamp: six dashed numbers (``...-2026-04-08-08-43-11``), else the day and running
+    number of ``IMG-20260408-WA0012`` or ``VID-...``, taken as seconds; null without a valid one."""
+    full = F.regexp_extract(name, _DASHED, 0)
+    moment = F.try_to_timestamp(F.when(full != "", full), F.lit("yyyy-MM-dd-HH-mm-ss"))
+    day = F.regexp_extract(name, _SENT, 1)
+    number = F.regexp_extract(name, _SENT, 2).try_cast("int")
+    start = F.try_to_timestamp(F.when(day != "", day), F.lit("yyyyMMdd"))
     return F.coalesce(moment, F.timestamp_add("SECOND", number, start))
+
+
+def camera_name_time(name: Column) -> Column:
+    """Moment in a camera's file name such as ``VID_20240131_120501``; null without a valid one."""
+    found = F.regexp_extract(name, r"(?:^|\D)(\d{8}[_-]\d{6})(?:\D|$)", 1)
+    return F.try_to_timestamp(F.when(found != "", F.translate(found, "-", "_")), F.lit("yyyyMMdd_HHmmss"))
+
+
+def iso_time(text: Column) -> Column:
+    """POSIX seconds of an ISO 8601 moment, with ``Z``, an offset or neither (the session's zone), or of an EXIF moment ``YYYY:MM:DD HH:MM:SS``; null for others."""
+    exif = F.regexp_extract(text, r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})$", 0)
+    dashed = F.when(exif != "", F.regexp_replace(text, r"^(\d{4}):(\d{2}):(\d{2}) ", "$1-$2-$3 ")).when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"), text)
+    return F.unix_micros(F.try_to_timestamp(dashed).cast("timestamp")) / F.lit(1e6)
+
+
+def db_levels(text: Column) -> Column:
+    """The levels in decibels that a log line list holds as ``RMS_level=-23.5``; ``-inf`` is no level."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"RMS_level=(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+
+
+def difference_hash(pixels: Column) -> Column:
+    """The 16 hex digits of a 9 x 8 grey image given row by row (72 values): a bit is set where a pixel is brighter than its right neighbour; null for other sizes or missing pixels."""
+    def digit(i: int) -> Column:
+        bits = [(8 * (i // 2) + 4 * (i % 2) + b) for b in range(4)]
+        at = [(9 * (k // 8) + k % 8) for k in bits]
+        return F.hex(sum((F.when(F.try_element_at(pixels, F.lit(a + 1)) > F.try_element_at(pixels, F.lit(a + 2)), 8 >> b).otherwise(0) for b, a in enumerate(at)), F.lit(0)).cast("int"))
+
+    whole = (F.size(pixels) == 72) & ~F.exists(pixels, lambda x: x.isNull())
+    return F.when(whole, F.lower(F.concat(*[digit(i) for i in range(16)])))
+
+
+def padded(arr: Column, n: Column | int, fill: Column) -> Column:
+    """``arr`` cut to ``n`` elements, or filled up to them with ``fill``."""
+    n = F.lit(n) if isinstance(n, int) else n
+    have = F.coalesce(F.size(arr), F.lit(0))
+    return F.slice(F.concat(F.coalesce(arr, F.array().cast("array<double>")), F.array_repeat(fill.cast("double"), F.greatest(F.lit(0), n - have))), 1, n)
+
+
+def extended(arr: Column, n: Column | int) -> Column:
+    """``arr`` filled up to ``n`` elements with its last one, 0 when it has none."""
+    return padded(arr, n, F.coalesce(F.try_element_at(arr, F.lit(-1)), F.lit(0.0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import BROADCAST_ROWS
+
 
 def without_banned(df: DataFrame, banned: DataFrame, keys: list[str], banned_key: str) -> DataFrame:
     """``df`` without the rows one of whose ``keys`` is banned; null keys match nothing."""
@@ -22,29 +24,30 @@ def any_in_closed(points: Column, low: Column, high: Column) -> Column:
 def first_section(times: DataFrame, sections: DataFrame, key: str, t: str, default: str = "verse", bucket_s: float = 16.0) -> DataFrame:
     """``times`` with ``kind`` of the first section (by ``section_pos``) of the same key whose ``[start_s, end_s)`` holds ``t``, else the default.
 
-    Sections are laid out over the buckets they touch, so the join is an equi-join on (key, bucket).
+    The sections that touch a bucket of time are one array, so the join is an equi-join on (key, bucket) that finds at most one
+    row for each of ``times``: repeated rows stay, and no row of ``times`` is part of a key.
     """
     top = F.greatest(F.floor(F.col("start_s") / bucket_s), F.ceil(F.col("end_s") / bucket_s) - 1)
-    laid = sections.where("end_s > start_s").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_s") / bucket_s), top)))
-    laid = laid.select(F.col(key).alias("__k"), "__b", "start_s", "end_s", "kind", "section_pos")
-    x = times.withColumn("__id", F.struct(*times.columns))
-    hit = x.join(laid, (x[key] == laid["__k"]) & (F.floor(x[t] / bucket_s) == laid["__b"]) & (x[t] >= laid["start_s"]) & (x[t] < laid["end_s"]), "left")
-    return hit.groupBy("__id").agg(F.min_by("kind", "section_pos").alias("kind")).select("__id.*", F.coalesce("kind", F.lit(default)).alias("kind"))
+    laid = sections.where("end_s > start_s").select(F.col(key).alias("__k"), F.explode(F.sequence(F.floor(F.col("start_s") / bucket_s), top)).alias("__b"), F.struct("section_pos", "start_s", "end_s", "kind").alias("s"))
+    cells = laid.groupBy("__k", "__b").agg(F.array_sort(F.collect_list("s")).alias("__s"))
+    hit = times.join(cells, (F.col(key) == F.col("__k")) & (F.floor(F.col(t) / bucket_s) == F.col("__b")), "left")
+    found = F.filter("__s", lambda s: (s["start_s"] <= F.col(t)) & (F.col(t) < s["end_s"]))
+    return hit.select(*[F.col(c) for c in times.columns], F.coalesce(F.try_element_at(found, F.lit(1))["kind"], F.lit(default)).alias("kind"))
 
 
 def nearest_mark(times: DataFrame, marks: DataFrame, key: str, t: str, mark: str, within: float) -> DataFrame:
     """``times`` with ``near``: the nearest mark of the key strictly within ``within``; an earlier mark (or the same moment as later) wins a tie, null without one.
 
-    Candidates are the last mark before and the first at or after: one pass over the union in time order, per key and
-    bucket of width ``within`` with its neighbours, so a long series is not one task.
+    The distinct marks around a bucket of time (eight times ``within`` wide, with its neighbours) are one array, found by an
+    equi-join on (key, bucket); a long series is many buckets, and repeated rows of ``times`` stay.
     """
     wide = 8 * within
-    spread = lambda c: F.array(*[F.floor(c / wide) + k for k in (-1, 0, 1)])
-    m = marks.where(F.col(mark).isNotNull()).select(F.col(key).alias("__k"), F.explode(spread(F.col(mark))).alias("__b"), F.col(mark).alias("__m")).distinct()
-    x = times.withColumn("__id", F.struct(*times.columns)).withColumn("__b", F.floor(F.col(t) / wide))
-    j = x.join(m, (x[key] == m["__k"]) & (x["__b"] == m["__b"]) & (F.abs(x[t] - m["__m"]) < within), "left")
-    best = F.min(F.when(F.col("__m").isNotNull(), F.struct(F.abs(F.col(t) - F.col("__m")).alias("gap"), (F.col("__m") >= F.col(t)).alias("later"), F.col("__m").alias("m"))))
-    return j.groupBy("__id").agg(best.alias("b")).select("__id.*", F.col("b.m").alias("near"))
+    m = marks.where(F.col(mark).isNotNull()).select(F.col(key).alias("__k"), F.explode(F.array(*[F.floor(F.col(mark) / wide) + k for k in (-1, 0, 1)])).alias("__b"), F.col(mark).alias("m"))
+    cells = m.groupBy("__k", "__b").agg(F.collect_set("m").alias("__m"))
+    hit = times.join(cells, (F.col(key) == F.col("__k")) & (F.floor(F.col(t) / wide) == F.col("__b")), "left")
+    close = F.filter("__m", lambda m: F.abs(m - F.col(t)) < within)
+    best = F.array_min(F.transform(close, lambda m: F.struct(F.abs(m - F.col(t)).alias("gap"), (m >= F.col(t)).alias("later"), m.alias("m"))))
+    return hit.select(*[F.col(c) for c in times.columns], best["m"].alias("near"))
 
 
 def near_any(times: DataFrame, marks: DataFrame, key: str, t: str, mark: str, tolerance: float) -> DataFrame:
@@ -66,7 +69,21 @@ def at_second(curve: Column, t: Column) -> Column:
 
 
 def without_similar_labels(df: DataFrame, taken: DataFrame, label: str) -> DataFrame:
-    """Rows whose label neither contains nor is contained in a taken one, case-insensitively; ``taken`` is a small registry."""
-    t = taken.select(F.lower(F.col(label)).alias("__t")).distinct()
+    """Rows whose label neither contains nor is contained in a taken one, case-insensitively; a null label is like none.
+
+    A small registry (counted) is broadcast; a larger one is joined on equal texts, each label laid out into its substrings.
+    """
+    t = taken.select(F.lower(F.col(label)).alias("__t")).where("__t is not null").distinct()
     low = F.lower(F.col(label))
-    return df.join(F.broadcast(t), low.contains(F.col("__t")) | F.col("__t").contains(low), "left_anti")
+    if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(t), low.contains(F.col("__t")) | F.col("__t").contains(low), "left_anti")
+
+    def parts(text: Column) -> Column:
+        n = F.length(text)
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k))))))
+
+    labels = df.select(low.alias("__l")).where("__l is not null").distinct()
+    inside = labels.join(labels.select("__l", F.explode(parts(F.col("__l"))).alias("__t")).join(t, "__t").select("__l").distinct(), "__l", "left_semi")
+    around = labels.join(t.select(F.explode(parts(F.col("__t"))).alias("__l")).distinct(), "__l", "left_semi")
+    return df.join(inside.unionByName(around).distinct(), low == F.col("__l"), "left_anti")

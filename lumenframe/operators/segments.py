@@ -73,13 +73,21 @@ def labelled_seconds(curve: DataFrame, key: str) -> DataFrame:
     return x.select(key, "sec", "e", label.alias("label"), "emax")
 
 
-def sections(curve: DataFrame, key: str) -> DataFrame:
-    """``(key, section_pos, kind, start_s, end_s, intensity)``: runs of the labels, with the run's largest energy over the song's."""
+def sections(curve: DataFrame, key: str, durations: DataFrame | None = None) -> DataFrame:
+    """``(key, section_pos, kind, start_s, end_s, intensity)``: runs of the labels, with the run's largest energy over the song's.
+
+    The last section ends at the key's ``duration_s`` in ``durations`` where that lies beyond its start, else at a whole second.
+    """
     x = labelled_seconds(curve, key)
     top = x.groupBy(key).agg(F.first("emax").alias("emax"))
     r = run_lengths(x, key, "sec", "label", "e").join(top, key)
     pos = F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1
-    return r.select(key, pos.alias("section_pos"), F.col("label").alias("kind"), F.col("start").cast("double").alias("start_s"), F.col("end").cast("double").alias("end_s"), F.when(F.col("emax") > 0, F.col("top") / F.col("emax")).otherwise(0.0).alias("intensity"))
+    end = F.col("end").cast("double")
+    if durations is not None:
+        r = r.join(durations.select(key, F.col("duration_s").alias("__d")), key, "left")
+        last = F.lead("start").over(Window.partitionBy(key).orderBy("start")).isNull()
+        end = F.when(last & (F.col("__d") > F.col("start")), F.col("__d")).otherwise(end)
+    return r.select(key, pos.alias("section_pos"), F.col("label").alias("kind"), F.col("start").cast("double").alias("start_s"), end.alias("end_s"), F.when(F.col("emax") > 0, F.col("top") / F.col("emax")).otherwise(0.0).alias("intensity"))
 
 
 def pair_adjacent(df: DataFrame, keys: list[str], order: list[str], eligible: Column) -> DataFrame:

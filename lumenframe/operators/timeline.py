@@ -148,10 +148,10 @@ def stretch(entries: DataFrame, plan: str, pos: str, duration: str, target: str)
     return x.withColumn("fade_s", F.when(F.col("__r") == 1, F.round(F.least(F.lit(1.0), F.col("out_s") * 0.6), 3))).drop("__r", "__scale", "__mult")
 
 
-def decide_speed(kind: Column, fps: Column, t: Column, drop_start: Column, on_downbeat: Column, action: Column, first: Column) -> Column:
-    """Speeds at both ends of an entry."""
+def decide_speed(kind: Column, fps: Column, t: Column, drop_start: Column, on_downbeat: Column, action: Column) -> Column:
+    """Speeds at both ends of an entry: a lift in builds; for 90 frames a second or more a slow start in the first second of a drop, and on downbeats with action."""
     pair = lambda a, b: F.struct(F.lit(a).alias("speed_start"), F.lit(b).alias("speed_end"))
-    return F.when(kind == "build", pair(1.0, 1.15)).when(fps.isNull() | (fps < 90), pair(1.0, 1.0)).when(first & (F.abs(t - drop_start) < 1.0), pair(0.4, 1.0)).when(on_downbeat & action, pair(0.4, 1.0)).otherwise(pair(1.0, 1.0))
+    return F.when(kind == "build", pair(1.0, 1.15)).when(fps.isNull() | (fps < 90), pair(1.0, 1.0)).when((t - drop_start >= 0) & (t - drop_start < 1.0), pair(0.4, 1.0)).when(on_downbeat & action, pair(0.4, 1.0)).otherwise(pair(1.0, 1.0))
 
 
 def fit_transition(beats: Column | float, beat_gap: float, slot: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.columns import base_name, name_time, seeded_index, stem
+from lumenframe.functions.columns import base_name, camera_name_time, name_time, seeded_index, stem
 from lumenframe.operators import timeline
 from lumenframe.plans.relations import _C, _K, _cands, _clips
 from lumenframe.session import table
@@ -20,7 +20,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 def path_filters(spark: SparkSession, d: str) -> DataFrame:
     f = _files(spark, d)
-    return f.select("path", catalog.kind_of(F.col("path")).alias("kind"), catalog.under_skipped(F.col("path"), ["stills"]).alias("skipped"), base_name(F.col("path")).startswith(".").alias("hidden"))
+    return f.select("path", catalog.kind_of(F.col("path")).alias("kind"), catalog.under_skipped(F.col("path"), ["stills"]).alias("skipped"), catalog.prior_output(F.col("path"), ["VID_1"]).alias("prior"), base_name(F.col("path")).startswith(".").alias("hidden"))
 
 
 def discovered(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def variant_pick(spark: SparkSession, d: str) -> DataFrame:
 def filename_ts(spark: SparkSession, d: str) -> DataFrame:
     """File names that the documents mention, and the moments in them."""
     names = table(spark, d, "documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(r"(VID_\d{8}_\d{6}|IMG-\d{8}-WA\d+|GX\d{6})"), F.lit(1))).alias("name")).distinct()
-    return names.select("name", F.date_format(name_time(F.col("name")), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+    return names.select("name", F.date_format(F.coalesce(name_time(F.col("name")), camera_name_time(F.col("name"))), "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
 def cache_split(spark: SparkSession, d: str) -> DataFrame:
@@ -74,8 +74,9 @@ def cache_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def copy_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by text hash, against those written before received."""
-    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha1("text").alias("name"), F.length("text").alias("size"), "lang")
+    """Documents as files named by author and hundreds of characters, against the smallest English one of the name."""
+    name = F.concat_ws("/", F.coalesce("author", F.lit("")), F.floor(F.col("n_chars") / 100).cast("string"))
+    x = table(spark, d, "documents").where("n_chars is not null").select("doc_id", name.alias("name"), F.col("n_chars").alias("size"), "lang")
     there = x.where("lang = 'en'").groupBy("name").agg(F.min("size").alias("size"))
     return catalog.copy_actions(x, there, "name", "size").select("doc_id", "action")
 
@@ -118,13 +119,13 @@ def layered_config(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (path_filters, discovered, anti_stem, listing, common_prefix, content_key, folder_key, variant_pick, filename_ts, cache_split, copy_classify, lru_evict, cache_stats, coverage_report, plan_summary, recents, layered_config)}
 
-_F = f"{_C}, f as (select distinct path from (select source as path from c union all select origin from c where origin is not null) where path is not null), b as (select path, split_part(path, '/', -1) as name from f), x as (select *, lower(regexp_extract(name, '.(\\.[^.]*)$', 1)) as ext, regexp_replace(name, '(.)\\.[^.]*$', '\\1') as stem, regexp_replace(path, '/[^/]*$', '') as folder_path from b), k as (select *, case when ext in ('.mp4', '.mov', '.m4v', '.mkv', '.avi', '.webm') then 'video' when ext in ('.jpg', '.jpeg', '.heic', '.png', '.webp') then 'still' when ext in ('.mp3', '.m4a', '.wav', '.aac', '.flac', '.ogg') then 'audio' else 'other' end as kind from x)"
-_SKIP = ", ".join(f"'{s}'" for s in catalog.SKIPPED_DIRS)
+_F = f"{_C}, f as (select distinct path from (select source as path from c union all select origin from c where origin is not null) where path is not null), b as (select path, split_part(path, '/', -1) as name from f), x as (select *, lower(regexp_extract(name, '.(\\.[^.]*)$', 1)) as ext, regexp_replace(name, '(.)\\.[^.]*$', '\\1') as stem, regexp_replace(path, '/[^/]*$', '') as folder_path from b), k as (select *, case when ext in ('.mp4', '.mov', '.m4v', '.insv', '.lrv') then 'video' when ext in ('.heic', '.heif', '.jpg', '.jpeg', '.png') then 'still' when ext in ('.mp3', '.wav', '.m4a', '.flac', '.aac', '.ogg') then 'audio' else 'other' end as kind from x)"
+_SEEN = "not starts_with(name, '.') and not list_has_any(string_split(path, '/')[1:-2], ['__pycache__', '.git', 'node_modules', '.cache', 'lumenframe_workdir'])"
 
 SQL = {
-    "path_filters": f"with {_F} select path, kind, list_has_any(string_split(lower(path), '/')[1:-2], ['stills']) as skipped, starts_with(name, '.') as hidden from k",
-    "discovered": f"with {_F} select path, row_number() over (partition by folder_path order by path) - 1 as pos from k where kind = 'video' and not starts_with(name, '.') and not list_has_any(string_split(lower(path), '/')[1:-2], [{_SKIP}])",
-    "anti_stem": f"with {_F} select path from k where kind = 'still' and lower(stem) not in (select lower(stem) from k where kind = 'video')",
+    "path_filters": f"with {_F} select path, kind, list_has_any(string_split(path, '/')[1:-2], ['stills']) as skipped, ext in ('.mp4', '.mov') and contains(lower(name), 'vid_1') as prior, starts_with(name, '.') as hidden from k",
+    "discovered": f"with {_F} select path, row_number() over (partition by folder_path order by path) - 1 as pos from k where kind = 'video' and {_SEEN} and not (ext in ('.mp4', '.mov') and (contains(lower(name), 'lumenframe') or contains(lower(name), 'highlight_reel') or contains(lower(name), 'recap')))",
+    "anti_stem": f"with {_F} select path from k where kind = 'still' and {_SEEN} and stem not in (select stem from k where ext = '.mov' and {_SEEN})",
     "listing": f"with {_F} select folder_path, lower(stem) as stem, case when count(*) filter (where kind = 'video') > 0 and count(*) filter (where kind = 'still') > 0 then 'live' when count(*) filter (where kind = 'video') > 0 then 'video' else 'still' end as label, count(*) as files from k where kind in ('video', 'still') group by 1, 2",
     "common_prefix": f"with {_C}, p as (select distinct folder, regexp_replace(source, '/[^/]*$', '') as root from c where source is not null) select folder, min(root) as root from p group by 1",
     "content_key": f"with {_C} select clip_id, sha1(concat_ws('|', 'v3', coalesce(source, ''), coalesce(clip_pos::varchar, ''), coalesce(width::varchar, ''))) as key from c",
@@ -132,7 +133,7 @@ SQL = {
     "variant_pick": f"with {_C} select clip_id, (('0x' || substr(sha1(regexp_replace(split_part(source, '/', -1), '(.)\\.[^.]*$', '\\1')), 1, 8))::UBIGINT % 8)::bigint as variant from c",
     "filename_ts": "with n as (select distinct unnest(regexp_extract_all(text, '(VID_[0-9]{8}_[0-9]{6}|IMG-[0-9]{8}-WA[0-9]+|GX[0-9]{6})')) as name from documents where text is not null) select name, strftime(coalesce(try_strptime(case when starts_with(name, 'VID') then substr(name, 5, 15) end, '%Y%m%d_%H%M%S'), try_strptime(case when starts_with(name, 'IMG') then substr(name, 5, 8) end, '%Y%m%d') + to_seconds(try_cast(case when starts_with(name, 'IMG') then substr(name, 16) end as int))), '%Y-%m-%d %H:%M:%S') as moment from n",
     "cache_split": f"with {_K}, {_C}, n as (select file, count(*) as n from k group by 1) select clip_id, case when n.n is null then 'miss' else 'hit' end as state, coalesce(n.n, 0) as n from c left join n on n.file = c.file",
-    "copy_classify": "with x as (select doc_id, sha1(text) as name, lang from documents where text is not null), t as (select distinct name from x where lang = 'en') select doc_id, case when t.name is null then 'copy' else 'skip' end as action from x left join t using (name)",
+    "copy_classify": "with x as (select doc_id, coalesce(author, '') || '/' || (n_chars // 100)::varchar as name, n_chars as size, lang from documents where n_chars is not null), t as (select name, min(size) as there from x where lang = 'en' group by 1) select doc_id, case when there is null then 'copy' when there = size then 'skip' else 'conflict' end as action from x left join t using (name)",
     "lru_evict": "select doc_id, sum(n_chars) over (order by doc_id desc) <= 300000 as kept from documents where n_chars is not null",
     "cache_stats": "select source, count(*) filter (where lang = 'en') as hits, count(*) - count(*) filter (where lang = 'en') as misses, sum(n_chars)::bigint as bytes, min(doc_id) as oldest, max(doc_id) as newest, round(100.0 * count(*) filter (where lang = 'en') / greatest(1, count(*)), 4) as hit_percent from documents where n_chars is not null group by 1",
     "coverage_report": f"with {_K}, {_C}, t as (select file, least(3, count(*)) as n from k where score is not null and not isnan(score) group by 1) select folder, coalesce(sum(n), 0)::bigint as cuts, count(n) as sources_used, count(*) - count(n) as unused, coalesce(max(n), 0) as most, round(coalesce(avg(n), 0), 6) as average from c left join t on t.file = c.file group by 1",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.columns import signature_distance
 from lumenframe.functions.paths import normalized
 from lumenframe.operators import graph, joins, segments
-from lumenframe.plans.series import ENERGY_SQL, SECTIONS_SQL, energy
+from lumenframe.plans.series import ENERGY_SQL, SECTIONS_SQL, energy, song_lengths
 from lumenframe.session import materialize, table
 
 
@@ -43,9 +43,9 @@ def interval_tag_hit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _beats(spark: SparkSession, d: str) -> DataFrame:
-    """A beat every 0.7 s over each song of 720 s."""
-    songs = table(spark, d, "events").select(F.col("event_type").alias("song")).distinct()
-    return songs.select("song", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1027).cast("bigint"))).alias("i")).withColumn("t", F.round(F.col("i") * 0.7, 3))
+    """A beat every 0.7 s over each song."""
+    last = F.floor(F.col("n") / F.lit(0.7))
+    return song_lengths(spark, d).select("song", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i")).withColumn("t", F.round(F.col("i") * 0.7, 3))
 
 
 def _onsets(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def _onsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_lookup(spark: SparkSession, d: str) -> DataFrame:
-    s = materialize(segments.sections(energy(spark, d), "song"), "sections")
+    s = materialize(segments.sections(energy(spark, d), "song", song_lengths(spark, d)), "sections")
     return joins.first_section(_beats(spark, d), s, "song", "t").select("song", "i", "kind")
 
 
@@ -84,9 +84,9 @@ def curve_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Camera models that are not the name, or part of the name, of the first model seen."""
-    m = table(spark, d, "cameras").select("model").distinct()
-    return joins.without_similar_labels(m, m.agg(F.min("model").alias("model")), "model")
+    """Camera models that neither hold nor are part of the model of one of the most trusted cameras."""
+    c = table(spark, d, "cameras")
+    return joins.without_similar_labels(c.select("model").where("model is not null").distinct(), c.where("trust_rank = 1"), "model")
 
 
 def _signed(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,8 @@ def path_sql(column: str) -> str:
 
 _K = f"k as (select *, {path_sql('source')} as file from (select *, row_number() over (partition by cand_pos) as rn_ from candidates where cand_pos is not null) where rn_ = 1)"
 _C = f"c as (select *, {path_sql('source')} as file from (select *, row_number() over (partition by clip_id) as rn_ from clips) where rn_ = 1)"
-_BEATS = "be as (select song, i, round(i * 0.7, 3) as t from (select distinct event_type as song from events), (select unnest(range(0, 1028)) as i))"
+_BEATS = """be as (select song, i, round(i * 0.7, 3) as t from (select song, unnest(range(0, cast(floor(n / 0.7) as bigint) + 1)) as i
+  from (select event_type as song, floor(max(epoch(ts - timestamp '2024-01-01 00:00:00')) / 3600) + 1 as n from events group by 1)))"""
 _ON = f"{ENERGY_SQL}, ons as (select song, round(sec + e / 10, 3) as onset from en where e > 0.5)"
 _BITS = "bit_count(xor(('0x' || {a})::UBIGINT, ('0x' || {b})::UBIGINT))"
 _SIG = f"""{_C}, sg as (select lower(signature) as signature, min(clip_id) as k from c where regexp_full_match(lower(signature), '[0-9a-f]{{16}}(:[0-9a-f]{{16}})*') group by 1),
@@ -165,7 +166,7 @@ SQL = {
     "positional_zip": "with a as (select l_orderkey, l_linenumber as line, row_number() over (partition by l_orderkey order by l_linenumber) as place from lineitem), b as (select l_orderkey, l_linenumber as by_price, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as place from lineitem) select a.l_orderkey, a.place, line, by_price from a join b on a.l_orderkey = b.l_orderkey and a.place = b.place",
     "next_slot": "select l_orderkey, l_linenumber, lead(l_linenumber) over (partition by l_orderkey order by l_linenumber) as next_line from lineitem",
     "curve_lookup": f"with {_K}, {_C} select k.cand_pos, c.motion[least(cast(floor(k.start_s) as int), len(c.motion) - 1) + 1] as motion_at from k join c on k.file = c.file",
-    "label_dedup": "with m as (select distinct model from cameras), f as (select min(model) as t from m) select model from m, f where not contains(lower(model), lower(t)) and not contains(lower(t), lower(model))",
+    "label_dedup": "select distinct model from cameras m where model is not null and not exists (select 1 from cameras t where t.trust_rank = 1 and (contains(lower(m.model), lower(t.model)) or contains(lower(t.model), lower(m.model))))",
     "hamming_pairs": f"with {_SIG} select a, b, bits::bigint as bits from hp",
     "dup_components": f"with recursive {_DUP} select id as clip_id, root, 'g' || dense_rank() over (order by root) as label from ro",
     "dup_keep_best": f"with recursive {_DUP}, {_K}, bs as (select file, max(score) as score from k where not isnan(score) group by 1), x as (select c.clip_id, c.file, ro.root, bs.score from c left join ro on ro.id = c.clip_id join bs on bs.file = c.file), y as (select *, first_value(file) over (partition by root order by score desc, clip_id) as o from x) select clip_id, score from y where root is null or file = o",

@@ -39,7 +39,7 @@ def stride_cuts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
-    b = _beats(spark, d).where("t >= 8 and t < 700").withColumn("sec", F.least(F.floor("t"), F.lit(719)))
+    b = _beats(spark, d).where("t >= 8").withColumn("sec", F.floor("t"))
     return b.join(energy(spark, d), ["song", "sec"]).select("song", "i", "t", timeline.band_factor(F.col("e")).alias("factor"))
 
 
@@ -120,7 +120,7 @@ def fade_segments(spark: SparkSession, d: str) -> DataFrame:
 def speed_decision(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("cand_pos") % 5 == 0, "build").otherwise("drop")
     t, drop = F.pmod("cand_pos", F.lit(40)) * 0.25, F.lit(5.0)
-    v = timeline.decide_speed(kind, F.col("src_fps"), t, drop, F.col("cand_pos") % 3 == 0, F.arrays_overlap("reasons", F.array(F.lit("accl_jump"), F.lit("motion"))), F.col("cand_pos") % 2 == 0)
+    v = timeline.decide_speed(kind, F.col("src_fps"), t, drop, F.col("cand_pos") % 3 == 0, F.arrays_overlap("reasons", F.array(F.lit("accl_jump"), F.lit("motion"))))
     return _cands(spark, d).select("cand_pos", v.alias("v")).select("cand_pos", "v.speed_start", "v.speed_end")
 
 
@@ -163,7 +163,7 @@ def title_times(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (plan_topk_per_source, topk_per_source, stride_cuts, auto_cuts, snapped_cuts, moment_budget, greedy_diverse_allocation, chronological_trailer, stretch_timeline, auto_transitions, soft_transitions, overlap_compensation, fade_segments, speed_decision, reanchor, luma_offsets, audio_interest, plan_edits, title_times)}
 
-_CUT = f"""{ENERGY_SQL}, {_BEATS}, bf as (select be.song, be.i, be.t, case when en.e >= 0.8 then 2 when en.e >= 0.55 then 3 when en.e >= 0.3 then 4 else 6 end as f from be join en on en.song = be.song and en.sec = least(cast(floor(be.t) as bigint), 719) where be.t >= 8 and be.t < 700),
+_CUT = f"""{ENERGY_SQL}, {_BEATS}, bf as (select be.song, be.i, be.t, case when en.e >= 0.8 then 2 when en.e >= 0.55 then 3 when en.e >= 0.3 then 4 else 6 end as f from be join en on en.song = be.song and en.sec = cast(floor(be.t) as bigint) where be.t >= 8),
 wk(song, i, li, lt, kept) as (select distinct song, 11::bigint, -1000000000::bigint, -1e9::double, false from bf union all
   select b.song, b.i, case when b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 then b.i else w.li end, case when b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 then b.t else w.lt end, b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 from wk w join bf b on b.song = w.song and b.i = w.i + 1)"""
 _FC = f"{_K}, {_C}, fc as (select k.*, c.folder, c.captured_at from k join c on k.file = c.file where k.score is not null and not isnan(k.score)), t1 as (select * from (select *, row_number() over (partition by file order by score desc, cand_pos) as r1 from fc) where r1 = 1), pk as (select * replace (case when captured_at between 1 and 4e9 then captured_at end as captured_at) from (select *, row_number() over (partition by folder order by score desc, cand_pos) as r2 from t1) where r2 <= 24)"
@@ -180,6 +180,11 @@ SQL = {
     "topk_per_source": "select o_orderkey, o_custkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3",
     "stride_cuts": f"with {_BEATS} select song, i, t from (select *, row_number() over (partition by song order by i) as r from be where t >= 8) where (r - 1) % 4 = 0",
     "auto_cuts": f"with recursive {_CUT} select song, i, lt as t from wk where kept",
+    "snapped_cuts": f"""with recursive {_CUT}, {_ON.replace(ENERGY_SQL + ", ", "")}, cu as (select song, lt as t, row_number() over (partition by song order by lt) - 1 as pos from wk where kept),
+      nb as (select cu.song, cu.pos, cu.t, coalesce(arg_min(o.onset, abs(o.onset - cu.t) * 1e6 + case when o.onset >= cu.t then 1e-3 else 0 end), cu.t) as best from cu left join ons o on o.song = cu.song and abs(o.onset - cu.t) < 0.08 group by 1, 2, 3),
+      sn(song, pos, got) as (select song, pos, best from nb where pos = 0 union all
+        select n.song, n.pos, case when n.best - s.got >= 0.25 and n.best > s.got then n.best else n.t end from sn s join nb n on n.song = s.song and n.pos = s.pos + 1)
+      select song, pos, got as t from sn where song in (select song from ons)""",
     "moment_budget": f"with {_C} select clip_id, case when duration_s is null or isnan(duration_s) or duration_s <= 4 then 1 else greatest(1, least(ceil(duration_s / 10), 8)) end::bigint as budget from c",
     "chronological_trailer": f"with {_TR} select folder, pos, cand_pos from tr",
     "stretch_timeline": f"""with y as (select *, {_LINES} as pos from lineitem), x as (select l_orderkey, pos, l_quantity / 10 as dur, row_number() over (partition by l_orderkey order by pos desc) as r from y), t as (select l_orderkey, sum(dur) as s, count(*) as n, sum(case when r <= 4 then dur end) as tl from x group by 1),
@@ -188,10 +193,14 @@ SQL = {
       select l_orderkey, pos, round(os, 6) as out_s, round(coalesce(sum(os) over (partition by l_orderkey order by pos rows between unbounded preceding and 1 preceding), 0), 6) as start_s, case when r = 1 then round(least(1.0, os * 0.6), 3) end as fade_s from o""",
     "auto_transitions": f"with recursive {_AT} select folder, pos, kind, round(td, 6) as duration_s, direction from att",
     "overlap_compensation": f"with recursive {_AT} select folder, pos, round(slot + case when pos > 0 then td else 0 end / 2 + coalesce(lead(td) over (partition by folder order by pos), 0) / 2, 6) as render_s from att",
+    "fade_segments": f"""with recursive {_AT}, fs(folder, pos, stop, seg, off_, len_) as (select folder, pos, slot, 0::bigint, 0.0::double, slot from att where pos = 0 union all
+        select a.folder, a.pos, case when a.td >= 0.05 then greatest(0, f.stop - a.td) else f.stop end + a.slot, f.seg + case when a.td >= 0.05 then 1 else 0 end,
+          case when a.td >= 0.05 then greatest(0, f.stop - a.td) else f.off_ end, case when a.td >= 0.05 then a.slot else f.len_ + a.slot end from fs f join att a on a.folder = f.folder and a.pos = f.pos + 1)
+      select folder, seg, round(max(off_), 6) as offset_s, round(max(len_), 6) as length_s from fs group by 1, 2""",
     "soft_transitions": f"""with {_TR}, r as (select *, count(*) over (partition by folder) as n, row_number() over (partition by folder order by score, pos) as r from en), q as (select *, max(case when r = greatest(0, cast(floor(n * 0.85) as int) - 1) + 1 then score end) over (partition by folder) as ct from r),
       h as (select *, coalesce(pos = 0 or onset or (list_has_any(reasons, ['high_accel_jump', 'motion_peak', 'hilight_tag', 'audio_peak']) and score >= ct), false) as hard, case when beat and e >= 0.6 then 1.3 when e < 0.35 then 1.7 when e >= 0.75 then 0.6 else 0.9 end as bt from q)
       select folder, pos, case when hard then 'cut' else 'crossfade' end as kind, round(case when hard then 0 else least(greatest(0.12, least(0.9, bt * 0.5)), slot * 0.4) end, 6) as duration_s from h""",
-    "speed_decision": f"""with {_K}, s as (select cand_pos, case when cand_pos % 5 = 0 then 'b' when src_fps is null or src_fps < 90 then 'n' when cand_pos % 2 = 0 and abs((cand_pos % 40) * 0.25 - 5) < 1 then 'r' when cand_pos % 3 = 0 and coalesce(list_has_any(reasons, ['accl_jump', 'motion']), false) then 'r' else 'n' end as m from k)
+    "speed_decision": f"""with {_K}, s as (select cand_pos, case when cand_pos % 5 = 0 then 'b' when src_fps is null or src_fps < 90 then 'n' when (cand_pos % 40) * 0.25 >= 5 and (cand_pos % 40) * 0.25 < 6 then 'r' when cand_pos % 3 = 0 and coalesce(list_has_any(reasons, ['accl_jump', 'motion']), false) then 'r' else 'n' end as m from k)
       select cand_pos, case m when 'r' then 0.4 else 1.0 end as speed_start, case m when 'b' then 1.15 else 1.0 end as speed_end from s""",
     "reanchor": f"""with {_K}, {_C}, j as (select k.cand_pos, k.start_s, c.duration_s, list_filter(list_transform(c.tags_ms, lambda t: t / 1000.0), lambda t: t >= k.start_s and t <= k.end_s)[1] as tag from k join c on k.file = c.file where c.duration_s > 0 and not isnan(c.duration_s))
       select cand_pos, round(case when tag is null then start_s else greatest(0, least(tag - 0.8, greatest(0, duration_s - 2))) end, 6) as start_s from j""",

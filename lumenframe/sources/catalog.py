@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import base_name, extension, stem
 
-# File kinds and folders a listing leaves out.
-VIDEO = [".mp4", ".mov", ".m4v", ".mkv", ".avi", ".webm"]
-STILL = [".jpg", ".jpeg", ".heic", ".png", ".webp"]
-AUDIO = [".mp3", ".m4a", ".wav", ".aac", ".flac", ".ogg"]
-SKIPPED_DIRS = ["proxy", "proxies", "thumbnails", "thumbs", "cache", ".git", "node_modules", "__macosx"]
+# File kinds, folders a listing leaves out, and names of earlier results.
+VIDEO = [".mp4", ".mov", ".m4v", ".insv", ".lrv"]
+STILL = [".heic", ".heif", ".jpg", ".jpeg", ".png"]
+AUDIO = [".mp3", ".wav", ".m4a", ".flac", ".aac", ".ogg"]
+LIVE_VIDEO = [".mov"]
+SKIPPED_DIRS = ["__pycache__", ".git", "node_modules", ".cache", "lumenframe_workdir"]
+OUTPUT_HINTS = ["lumenframe", "highlight_reel", "recap"]
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,8 +22,8 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def under_skipped(path: Column, skipped: list[str] = SKIPPED_DIRS) -> Column:
-    """Whether a folder above the file (not the file itself) is one to skip."""
-    parts = F.split(F.lower(path), "/")
+    """Whether a folder above the file (not the file itself) is one to skip, in this letter case."""
+    parts = F.split(path, "/")
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)), F.array(*map(F.lit, skipped)))
 
 
@@ -30,9 +32,23 @@ def kind_of(path: Column) -> Column:
     return F.when(e.isin(VIDEO), "video").when(e.isin(STILL), "still").when(e.isin(AUDIO), "audio").otherwise("other")
 
 
+def prior_output(path: Column, hints: list[str] = OUTPUT_HINTS) -> Column:
+    """Whether a file looks like an earlier result: an mp4 or mov whose name holds one of the hints, in any letter case."""
+    name = F.lower(base_name(path))
+    named = F.lit(False)
+    for hint in hints:
+        named = named | name.contains(hint.lower())
+    return extension(path).isin(".mp4", ".mov") & named
+
+
+def visible(path: Column) -> Column:
+    """Neither hidden nor below a skipped folder."""
+    return ~base_name(path).startswith(".") & ~under_skipped(path)
+
+
 def discover(files: DataFrame, path: str, excluded: DataFrame | None = None) -> DataFrame:
-    """The usable videos of a listing with ``pos`` in path order per folder: no hidden files, skipped folders or excluded paths."""
-    x = files.where(kind_of(F.col(path)) == "video").where(~base_name(F.col(path)).startswith(".")).where(~under_skipped(F.col(path)))
+    """The usable videos of a listing with ``pos`` in path order per folder: no hidden files, skipped folders, earlier results or excluded paths."""
+    x = files.where(kind_of(F.col(path)) == "video").where(visible(F.col(path))).where(~prior_output(F.col(path)))
     if excluded is not None:
         x = x.join(excluded.select(F.col(path)), path, "left_anti")
     folder = F.regexp_replace(F.col(path), r"/[^/]*$", "")
@@ -40,9 +56,10 @@ def discover(files: DataFrame, path: str, excluded: DataFrame | None = None) ->
 
 
 def stills_without_motion(files: DataFrame, path: str) -> DataFrame:
-    """Stills without a video of the same stem anywhere in the listing."""
-    kinds = files.withColumns({"__kind": kind_of(F.col(path)), "__stem": F.lower(stem(F.col(path)))})
-    return kinds.where("__kind = 'still'").join(kinds.where("__kind = 'video'").select("__stem").distinct(), "__stem", "left_anti").drop("__kind", "__stem")
+    """Visible stills without a visible mov of the same stem anywhere in the listing."""
+    kinds = files.where(visible(F.col(path))).withColumns({"__kind": kind_of(F.col(path)), "__stem": stem(F.col(path))})
+    moving = kinds.where(extension(F.col(path)).isin(LIVE_VIDEO)).select("__stem").distinct()
+    return kinds.where("__kind = 'still'").join(moving, "__stem", "left_anti").drop("__kind", "__stem")
 
 
 def listing(files: DataFrame, path: str, selected: DataFrame | None = None) -> DataFrame:

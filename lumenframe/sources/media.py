@@ -66,14 +66,16 @@ class Telemetry:
 
 
 def highlight_tags(content: bytes | None) -> list[int]:
-    """Tag times in milliseconds: after the first ``HMMT`` a big-endian count (at most 1000) and as many values; zeros are left out."""
+    """Tag times in milliseconds of the first ``HMMT`` box: its size stands before the name, after it come a big-endian count (at most 1000) and as many values, all within the box."""
     at = content.find(b"HMMT") if content else -1
-    if at < 0 or at + 8 > len(content):
+    if at < 4:
         return []
-    (n,) = struct.unpack_from(">I", content, at + 4)
-    if n > 1000 or at + 8 + 4 * n > len(content):
+    (size,) = struct.unpack_from(">I", content, at - 4)
+    end = min(len(content), at - 4 + size)
+    if end < at + 8:
         return []
-    return [v for v in struct.unpack_from(f">{n}I", content, at + 8) if v]
+    (n,) = struct.unpack_from(">I", content, at + 4)
+    return list(struct.unpack_from(f">{n}I", content, at + 8)) if n <= 1000 and at + 8 + 4 * n <= end else []
 
 
 @udtf(returnType="tag_ms: bigint")

@@ -23,9 +23,9 @@ def progress_blocks(lines: DataFrame, job: str, seq: str, line: str) -> DataFram
 
 
 def overall(stage: Column, index: Column, total: Column, fraction: Column) -> Column:
-    """Progress in per cent over all stages."""
-    out, done = F.lit(None).cast("double"), 0.0
-    within = (F.greatest(index, F.lit(1)) - 1 + fraction) / F.greatest(total, F.lit(1))
+    """Progress in per cent over all stages; a fraction beyond [0, 1] counts as its end, an unknown stage as 0."""
+    out, done = F.lit(0.0), 0.0
+    within = (F.greatest(index, F.lit(1)) - 1 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))) / F.greatest(total, F.lit(1))
     for name, weight in STAGE_WEIGHTS.items():
         out = F.when(stage == name, F.lit(done) + F.lit(weight) * within).otherwise(out)
         done += weight

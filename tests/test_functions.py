@@ -47,10 +47,37 @@ def test_dot(spark):
 
 def test_name_time(spark):
     t = lambda s: one(spark, c.name_time(F.col("s")).cast("string"), s=s)
-    assert t("VID_20240131_120501.mp4") == "2024-01-31 12:05:01"
     assert t("IMG-20240131-WA0007.jpg") == "2024-01-31 00:00:07"
-    assert t("VID_20249999_120501.mp4") is None
-    assert t("GX010001.MP4") is None
+    assert t("vid-20240131-wa0034.mp4") == "2024-01-31 00:00:34"
+    assert t("00003021-PHOTO-2026-04-08-08-43-11.jpg") == "2026-04-08 08:43:11"
+    assert t("PHOTO-2026-99-99-08-43-11.jpg") is None and t("IMG-20269999-WA0001.jpg") is None
+    assert t("VID_20240131_120501.mp4") is None and t("GX010001.MP4") is None and t(None) is None
+    own = lambda s: one(spark, c.camera_name_time(F.col("s")).cast("string"), s=s)
+    assert own("VID_20240131_120501.mp4") == "2024-01-31 12:05:01" and own("VID_20249999_120501.mp4") is None
+
+
+def test_moments(spark):
+    t = lambda s: one(spark, c.iso_time(F.col("s")), s=s)
+    assert t("2025-05-13T17:14:33.000000Z") == t("2025-05-13T19:14:33+02:00") == t("2025:05:13 17:14:33") == 1747156473.0
+    assert t("2025-05-13T17:14:33.5") == 1747156473.5 and t("2025-05-13") == 1747094400.0
+    assert t("2025-13-13T17:14:33Z") is None and t("garbage") is None and t(None) is None and t("2025:99:13 17:14:33") is None
+
+
+def test_levels_and_pixels(spark):
+    assert one(spark, c.db_levels(F.col("s")), s="a RMS_level=-23.5 b RMS_level=-inf RMS_level=-60") == [-23.5, -60.0]
+    assert one(spark, F.transform(c.db_levels(F.col("s")), c.db_to_unit), s="RMS_level=-6 RMS_level=-90 RMS_level=0") == [1.0, 0.0, 1.0]
+    assert one(spark, F.transform(F.col("a"), lambda x: c.saturate(x)), a=[500.0, 0.0]) == [0.5, 0.0]
+    rows = [[float(8 - k) for k in range(9)]] * 2 + [[float(k) for k in range(9)]] * 6
+    flat = [x for r in rows for x in r]
+    assert one(spark, c.difference_hash(F.col("a")), a=flat) == "ffff000000000000"
+    assert one(spark, c.difference_hash(F.col("a")), a=flat[:71]) is None and one(spark, c.difference_hash(F.col("a")), a=[None, *flat[1:]]) is None
+
+
+def test_padding(spark):
+    assert one(spark, c.padded(F.col("a"), 3, F.lit(0.0)), a=[1.0]) == [1.0, 0.0, 0.0]
+    assert one(spark, c.padded(F.col("a"), 1, F.lit(0.0)), a=[1.0, 2.0]) == [1.0]
+    assert one(spark, c.extended(F.col("a"), 3), a=[1.0, 2.0]) == [1.0, 2.0, 2.0]
+    assert one(spark, c.extended(F.col("a"), 2), a=None) == [0.0, 0.0]
 
 
 def test_paths(spark):

@@ -142,6 +142,8 @@ def test_sections_cover_the_song(spark):
         assert got[k][0].start_s == 0 and got[k][-1].end_s == len(c)
         assert all(a.end_s == b.start_s and a.kind != b.kind for a, b in zip(got[k], got[k][1:], strict=False))
     assert [r.kind for r in got["flat"]] == ["verse"] and [r.kind for r in got["zero"]] == ["verse"]
+    ends = {r.song: r.end_s for r in segments.sections(e, "song", spark.createDataFrame([("flat", 19.4), ("zero", 0.0)], "song string, duration_s double")).collect() if r.song in ("flat", "zero")}
+    assert ends == {"flat": 19.4, "zero": 5.0}
     assert got["ramp"][0].kind == "intro" and got["ramp"][-1].kind == "outro" and "drop" in [r.kind for r in got["ramp"]]
 
 
@@ -152,6 +154,27 @@ def test_nearest_and_sections(spark):
     s = spark.createDataFrame([("s", 0.0, 2.0, "intro", 0), ("s", 1.5, 40.0, "drop", 1)], "k string, start_s double, end_s double, kind string, section_pos int")
     assert rows(joins.first_section(t, s, "k", "t").select("t", "kind"), "t") == [(1.0, "intro"), (2.0, "drop"), (3.0, "drop")]
     assert [r.kind for r in joins.first_section(t, s.where("false"), "k", "t").collect()] == ["verse"] * 3
+    twice = t.unionByName(t).unionByName(spark.createDataFrame([("s", None), (None, 1.0)], t.schema))
+    assert joins.first_section(twice, s, "k", "t").count() == 8 and joins.nearest_mark(twice, m, "k", "t", "m", 0.08).count() == 8
+
+
+def test_similar_labels(spark, monkeypatch):
+    df = spark.createDataFrame([("Hero 9",), ("hero",), ("Drone",), ("Phone X",), (None,), ("é",)], "label string")
+    taken = spark.createDataFrame([("HERO 9 black",), ("phone",), (None,)], "label string")
+    want = {"Drone", None, "é"}
+    assert {r.label for r in joins.without_similar_labels(df, taken, "label").collect()} == want
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    assert {r.label for r in joins.without_similar_labels(df, taken, "label").collect()} == want
+    empty = spark.createDataFrame([("",)], "label string")
+    assert {r.label for r in joins.without_similar_labels(df, empty.unionByName(taken), "label").collect()} == {None}
+
+
+def test_speed_and_progress(spark):
+    fast = lambda kind, fps, t, beat=False, act=False: tuple(spark.range(1).select(timeline.decide_speed(F.lit(kind), F.lit(fps), F.lit(t), F.lit(10.0), F.lit(beat), F.lit(act)).alias("v")).first().v)
+    assert fast("drop", 120.0, 9.5) == (1.0, 1.0) and fast("drop", 120.0, 10.0) == (0.4, 1.0) and fast("drop", 120.0, 11.0) == (1.0, 1.0)
+    assert fast("drop", 60.0, 10.0) == (1.0, 1.0) and fast("build", 60.0, 10.0) == (1.0, 1.15) and fast("verse", 120.0, 30.0, True, True) == (0.4, 1.0)
+    done = lambda stage, i, n, f: spark.range(1).select(progress.overall(F.lit(stage), F.lit(i), F.lit(n), F.lit(f)).alias("v")).first().v
+    assert done("analyze", 1, 1, 7.0) == 1.0 and done("mux", 1, 1, -3.0) == 95.0 and done("other", 1, 1, 0.5) == 0.0 and done("prerender", 2, 4, 0.5) == pytest.approx(2 + 75 * 1.5 / 4)
 
 
 def test_edits(spark):
@@ -183,17 +206,17 @@ def test_evict(spark):
 def test_config_and_files(spark, tmp_path):
     lines = spark.createDataFrame([("# c",), ("",), ("A=1",), ("B = 'x # y'",), ("C=2 # two",), ("nothing",)], "value string")
     assert dict(rows(catalog.config_lines(lines), "key")) == {"A": "1", "B": "x # y", "C": "2"}
-    for name in ("a.MP4", "b.jpg", "proxy/c.mp4", ".d.mp4", "e.jpg", "e.mov"):
+    for name in ("a.MP4", "b.jpg", ".cache/c.mp4", ".d.mp4", "e.jpg", "e.mov", "x_RECAP_2.mp4", "a.jpg", "g.insv"):
         p = tmp_path / name
         p.parent.mkdir(exist_ok=True)
         p.write_bytes(b"x")
     f = catalog.list_files(spark, str(tmp_path))
-    assert sorted(r.path.rsplit("/", 1)[1] for r in catalog.discover(f, "path").collect()) == ["a.MP4", "e.mov"]
-    assert [r.path.rsplit("/", 1)[1] for r in catalog.stills_without_motion(f, "path").collect()] == ["b.jpg"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in catalog.discover(f, "path").collect()) == ["a.MP4", "e.mov", "g.insv"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in catalog.stills_without_motion(f, "path").collect()) == ["a.jpg", "b.jpg"]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(media.FolderSource)
     d = spark.read.format("folder").option("path", str(tmp_path)).load()
-    assert d.count() == 6 and d.where("captured_at <= 1").count() == 0
+    assert d.count() == 9 and d.where("captured_at <= 1").count() == 0
 
 
 def test_snapshots(spark, tmp_path):
@@ -217,9 +240,11 @@ def test_telemetry(spark):
     spark.udtf.register("telemetry", media.Telemetry)
     spark.createDataFrame([(1, blob), (2, None)], "id int, blob binary").createOrReplaceTempView("blobs")
     assert [tuple(r) for r in spark.sql("select id, t.* from blobs, lateral telemetry(blob) t").collect()] == [(1, "ACCL", 0, 5.0)]
-    content = b"..HMMT" + struct.pack(">3I", 2, 500, 900)
-    assert media.highlight_tags(content) == [500, 900]
-    assert media.highlight_tags(b"HMMT" + struct.pack(">I", 5000)) == [] and media.highlight_tags(None) == []
+    tags = lambda size, *numbers: b".." + struct.pack(">I", size) + b"HMMT" + struct.pack(f">{len(numbers)}I", *numbers)
+    assert media.highlight_tags(tags(20, 2, 500, 900)) == [500, 900]
+    assert media.highlight_tags(tags(24, 3, 0, 500, 0)) == [0, 500, 0]
+    assert media.highlight_tags(tags(16, 2, 500, 900)) == []  # the box ends before its second value
+    assert media.highlight_tags(tags(5000, 5000)) == [] and media.highlight_tags(None) == [] and media.highlight_tags(b"HMMT") == [] and media.highlight_tags(tags(8)) == []
 
 
 def test_progress_blocks(spark):
