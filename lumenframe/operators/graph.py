@@ -12,39 +12,65 @@ from pyspark.sql import functions as F
 
 from lumenframe.session import Written
 
-#: Bits of a 64-bit signature are cut into this many bands of 12 or 13 bits; two values within 8 bits agree in one band up to one bit.
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """``(id, root)``: the smallest id of each linked id's component, by label propagation with pointer jumping.
-
-    Each round takes the smallest label among the neighbours, then the label of that label, and is written to the
-    shared folder. Self-links and nulls are ignored; an empty input gives no rows.
+#: First bit and width of the bands of a 64-bit signature: of two values within 8 bits one band differs in two bits at most, so
+#: that a one-bit neighbour of the one's band is a one-bit neighbour of the other's.
+BANDS = ((0, 22), (22, 21), (43, 21))
+#: Up to this many distinct links (16 MB) are joined in one task; beyond them in rounds over the cluster.
+ONE_TASK = 1_000_000
+
+
+def _label_table(t: pa.Table) -> pa.Table:
+    """``(id, root)`` of the links ``(v, u)`` of one table, by label propagation with pointer jumping."""
+    ids, ends = np.unique(np.concatenate([t["v"].to_numpy(), t["u"].to_numpy()]), return_inverse=True)
+    i, j = ends[: t.num_rows], ends[t.num_rows :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return pa.table({"id": ids, "root": ids[label]})
+        label = new
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """``(id, root)``: the smallest id of each linked id's component. Self-links and nulls are ignored; an empty input gives no rows.
+
+    Up to ``one_task`` distinct links are joined in one task. More are rewritten over the cluster, a large-star and a small-star step
+    a round: each vertex points its larger neighbours, then its smaller ones and itself, to the smallest of them, until
+    nothing changes. A round is written to the shared folder, the minimum of a hub is pre-aggregated, and no neighbourhood is collected.
     """
-    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.explode(F.array(F.struct(F.col(a).alias("v"), F.col(b).alias("u")), F.struct(F.col(b).alias("v"), F.col(a).alias("u")))).alias("e")).select("e.v", "e.u").distinct()
-    e = Written(e, "edges").df
-    now = Written(e.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("l")), "labels")
+    x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
+    now = Written(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("v"), F.least(x, y).alias("u")).distinct(), "edges")
+    if now.df.limit(one_task + 1).count() <= one_task:
+        return now.df.coalesce(1).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_label_table, "id bigint, root bigint")
+    mark = None
     for _ in range(rounds):
-        near = e.join(now.df.select(F.col("v").alias("u"), "l"), "u").groupBy("v").agg(F.min("l").alias("n"))
-        step = now.df.join(near, "v").select("v", F.least("l", "n").alias("l"), F.col("l").alias("old"))
-        jump = step.join(step.select(F.col("v").alias("l"), F.col("l").alias("ll")), "l", "left").select("v", F.least("l", "ll").alias("l"), "old")
-        after = Written(jump, "labels")
-        moved = after.df.where("l <> old").limit(1).count()
+        both = now.df.unionByName(now.df.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        first = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(first, "v").select("u", "m", "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(first.select("v", F.col("m").alias("u")))
+        after = Written(small.distinct(), "edges")
+        row = after.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         now.drop()
-        now = after
-        if not moved:
+        now, before, mark = after, mark, (row[0], row[1])
+        if mark == before:
             break
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
-    return now.df.select(F.col("v").alias("id"), F.col("l").alias("root"))
+    roots = now.df.select(F.col("v").alias("id"), F.col("u").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
 def signature_links(rows: DataFrame, key: str, signature: str, max_bits: int = 8) -> DataFrame:
     """``(a, b, bits)``: pairs of distinct signatures' representatives within ``max_bits`` (8 or fewer), smallest frame distance.
 
-    Rows of equal signatures are represented by their smallest key. Malformed and null signatures have no links. Band
-    keys and their one-bit neighbours find every pair within 8 bits; each is verified.
+    Rows of equal signatures are represented by their smallest key. Malformed and null signatures have no links. Both sides look
+    up their bands of 21 or 22 bits and the one-bit neighbours of these, which finds every pair within 8 bits; each is verified.
     """
     if max_bits > 8:
         raise ValueError("the bands cover at most 8 bits")
@@ -52,13 +78,14 @@ def signature_links(rows: DataFrame, key: str, signature: str, max_bits: int = 8
     frames = good.select("k", F.explode(F.array_distinct(F.split(signature, ":"))).alias("f"))
     high, low = (F.conv(F.substring("f", s, 8), 16, 10).cast("bigint") for s in (1, 9))
     frames = frames.select("k", F.shiftleft(high, 32).bitwiseOR(low).alias("x"))
-    band = lambda i: F.shiftrightunsigned("x", BANDS[i][0]).bitwiseAND(F.lit((1 << BANDS[i][1]) - 1))
-    own = F.array(*[F.struct(F.lit(i).alias("i"), band(i).alias("v")) for i in range(len(BANDS))])
-    near = F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), band(i).bitwiseXOR(F.lit(m)).alias("v")) for m in (0, *(1 << n for n in range(BANDS[i][1])))]) for i in range(len(BANDS))]))
-    p = frames.select(F.col("k").alias("a"), F.col("x").alias("xa"), F.explode(near).alias("e")).select("a", "xa", "e.i", "e.v")
-    q = frames.select(F.col("k").alias("b"), F.col("x").alias("xb"), F.explode(own).alias("e")).select("b", "xb", "e.i", "e.v")
+    keys = []
+    for i, (first, width) in enumerate(BANDS):
+        own = F.shiftrightunsigned("x", first).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 22))
+        keys += [own, *(own.bitwiseXOR(F.lit(1 << n)) for n in range(width))]
+    probes = frames.select("k", "x", F.explode(F.array(*keys)).alias("key"))
+    p, q = probes.select(F.col("k").alias("a"), F.col("x").alias("xa"), "key"), probes.select(F.col("k").alias("b"), F.col("x").alias("xb"), "key")
     bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
-    hit = p.join(q, ["i", "v"]).where((F.col("a") < F.col("b")) & (bits <= max_bits)).select("a", "b", bits.alias("bits"))
+    hit = p.join(q, "key").where((F.col("a") < F.col("b")) & (bits <= max_bits)).select("a", "b", bits.alias("bits"))
     return hit.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 

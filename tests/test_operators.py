@@ -75,10 +75,11 @@ def test_greedy_allocation(spark):
     assert rows(timeline.greedy_allocation(c, s, "plan").select("slot", "cand_pos"), "slot") == [(0, 1), (1, 3), (3, 2)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     rng = random.Random(3)
     e = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(None, 1), (5, 5)]
-    got = dict(rows(graph.components(spark.createDataFrame(e, "a bigint, b bigint")), "id"))
+    got = dict(rows(graph.components(spark.createDataFrame(e, "a bigint, b bigint"), one_task=one_task), "id"))
     parent = {}
 
     def find(x):
@@ -91,7 +92,7 @@ def test_components(spark):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     assert got == {x: find(x) for x in parent}
-    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), one_task=one_task - 1).count() == 0
 
 
 def test_signature_links(spark):
@@ -315,8 +316,8 @@ def test_forest_lengths():
 
 
 def test_runs_across_chunks(spark):
-    edge = anomalies.CHUNK_S
-    r = [(1, "x", s, "c", 2.0 if edge - 5 <= s < edge + 4 else float(s % 7)) for s in range(edge - 50, edge + 50)]
+    edge = anomalies.CHUNK_S // 2
+    r = [(1, "x", s, "c", 2.5 if edge - 5 <= s < edge + 4 else float(s % 7)) for s in range(edge - 50, edge + 50)]
     f = anomalies.series_features(spark.createDataFrame(r, "key bigint, name string, sec int, source string, value double"))
     assert {x.sec for x in f.where("run >= 8").collect()} == set(range(edge - 5, edge + 4))
     assert f.count() == 100
