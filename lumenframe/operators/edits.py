@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +45,35 @@ def pin(entries: DataFrame, pos: int, source, start_s: float, end_s: float) -> D
     return entries.withColumns({k: F.when(at, F.lit(v)).otherwise(F.col(k)) for k, v in (("source", source), ("start_s", start_s), ("end_s", end_s))})
 
 
-OPS = {"exclude_source": exclude_source, "set": set_field, "swap": swap, "pin": pin}
+#: Type of the titles of a plan.
+TITLES = "array<struct<kind:string,text:string,duration_s:double,at_s:double>>"
+
+
+def add_title(plans: DataFrame, kind: str = "intro", text: str = "", duration_s: float = 2.0, at_s: float | None = None) -> DataFrame:
+    """``plans`` with one more title in ``titles``; null titles count as none."""
+    row = F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text"), F.lit(float(duration_s)).alias("duration_s"), F.lit(at_s).cast("double").alias("at_s"))
+    return plans.withColumn("titles", F.array_append(F.coalesce("titles", F.array().cast(TITLES)), row))
+
+
+def set_header(plans: DataFrame, path: str, value, header: str = "header") -> DataFrame:
+    """Set a dotted path of the ``header`` struct; a path that isn't there is refused."""
+    at = plans.schema[header].dataType
+    for name in path.split("."):
+        if not hasattr(at, "names") or name not in at.names:
+            raise ValueError(f"unknown path {path!r}")
+        at = at[name].dataType
+    return plans.withColumn(header, F.col(header).withField(path, F.lit(value).cast(at)))
+
+
+def set_path(entries: DataFrame, path: str, value) -> DataFrame:
+    """``entries[3].speed``: one field of the entry at a position; other forms are refused."""
+    found = re.fullmatch(r"entries\[(\d+)\]\.(\w+)", path)
+    if not found:
+        raise ValueError(f"unknown path {path!r}")
+    return set_field(entries, int(found[1]), found[2], value)
+
+
+OPS = {"set_path": set_path, "exclude_source": exclude_source, "set": set_field, "swap": swap, "pin": pin}
 
 
 def apply(entries: DataFrame, ops: Sequence[tuple[str, dict]]) -> DataFrame:

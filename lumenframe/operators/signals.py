@@ -72,3 +72,18 @@ def fill_and_smooth(values: Column, first: float = 0.5, alpha: float = 0.4) -> C
 def ordered(df: DataFrame, key: str, *order: Column | str, name: str = "pos") -> DataFrame:
     """``df`` with its 0-based place within ``key``."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+
+
+def upper_medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, median)``: element ``n // 2`` of each key's ascending values; nulls and NaN don't count, a key without values has no row.
+
+    Two mergeable quantiles enclose the median; only the values between them are counted, each once, and ordered. So a key of
+    any size is exact without being in one place.
+    """
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, F.col(value).alias("__v"))
+    q = F.percentile_approx("__v", [0.49, 0.51], 10_000)
+    bounds = x.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), q.alias("__q"))
+    near = x.join(bounds, key).withColumns({"__low": F.col("__v") < F.col("__q")[0], "__mid": F.when(F.col("__v").between(F.col("__q")[0], F.col("__q")[1]), F.col("__v"))})
+    each = near.where(F.col("__low") | F.col("__mid").isNotNull()).groupBy(key, "__n", "__mid").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(key).orderBy(F.col("__mid").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return each.withColumn("__upto", upto).where(F.col("__upto") > F.floor(F.col("__n") / 2)).where("__mid is not null").groupBy(key).agg(F.min("__mid").alias("median"))

@@ -118,9 +118,9 @@ def chronological(df: DataFrame, plan: str, t: str, source: str, tie: str) -> Da
 
 
 def trailer_order(df: DataFrame, plan: str, t: str, source: str, score: str, tie: str, hook: bool = True, climax: bool = True) -> DataFrame:
-    """``df`` with ``pos``: from eight rows on the best first, then by time, the best quarter of the rest last in falling score."""
+    """``df`` with ``pos``: from eight rows on the best first, then by time, the best quarter of the rest last in falling score; ties by ``tie``."""
     x = chronological(df, plan, t, source, tie).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(plan)))
-    x = x.withColumn("__rank", F.row_number().over(Window.partitionBy(plan).orderBy(F.col(score).desc(), "pos")))
+    x = x.withColumn("__rank", F.row_number().over(Window.partitionBy(plan).orderBy(F.col(score).desc(), tie)))
     first = 1 if hook else 0
     bucket = F.when((F.col("__n") < 8) | F.lit(not (hook or climax)), 1).when(F.lit(hook) & (F.col("__rank") == 1), 0)
     bucket = bucket.when(F.lit(climax) & (F.col("__rank") <= first + F.greatest(F.lit(1), F.floor(F.col("__n") / 4))), 2).otherwise(1)

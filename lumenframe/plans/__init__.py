@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import anomalies, catalog, relations, scoring, series, timeline
+from lumenframe.plans import anomalies, catalog, planning, relations, scoring, series, timeline
 
-FAMILIES = (timeline, scoring, series, relations, catalog, anomalies)
+FAMILIES = (timeline, planning, scoring, series, relations, catalog, anomalies)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: text for family in FAMILIES for name, text in family.SQL.items()}

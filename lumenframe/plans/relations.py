@@ -127,9 +127,14 @@ def semantic_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.numbered(graph.components(x), "s").select(F.col("id").alias("vec_id"), "root", "label")
 
 
-def burst_suppress(spark: SparkSession, d: str) -> DataFrame:
+def _bursts(spark: SparkSession, d: str) -> DataFrame:
+    """``(folder, source, file, t, score, suppressed)``: the clips that have candidates, and those that bursts of a day suppress."""
     s = _clips(spark, d).select("folder", "source", "file", F.when(F.col("captured_at").between(1, 4e9), F.col("captured_at")).alias("t")).join(_best(spark, d), "file")
-    return segments.suppress_bursts(s, "folder", "source", "t", "score", 86400.0).select("folder", "source", "suppressed")
+    return segments.suppress_bursts(s, "folder", "source", "t", "score", 86400.0)
+
+
+def burst_suppress(spark: SparkSession, d: str) -> DataFrame:
+    return _bursts(spark, d).select("folder", "source", "suppressed")
 
 
 QUERIES = {f.__name__: f for f in (ban_favourite, interval_tag_hit, section_lookup, nearest_onset, tolerance_semi, positional_zip, next_slot, curve_lookup, label_dedup, hamming_pairs, dup_components, dup_keep_best, signature_distance_matches, cosine_pairs, semantic_components, burst_suppress)}

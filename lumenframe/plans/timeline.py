@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import array_mean, luma_offset as luma, present, upper_median
-from lumenframe.operators import edits, scoring, segments, timeline
+from lumenframe.operators import edits, scoring, segments, signals, timeline
 from lumenframe.plans.relations import _BEATS, _C, _K, _ON, _beats, _cands, _clips, _onsets
 from lumenframe.plans.series import ENERGY_SQL, energy
 from lumenframe.session import table
@@ -133,7 +133,7 @@ def reanchor(spark: SparkSession, d: str) -> DataFrame:
 def luma_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Brightness corrections towards the upper median of the folder."""
     c = _clips(spark, d).select("folder", "clip_id", array_mean(F.col("exposure")).alias("mean"))
-    r = c.where("mean is not null").withColumn("r", F.expr("row_number() over (partition by folder order by mean, clip_id)")).withColumn("n", F.expr("count(*) over (partition by folder)")).where("r = n div 2 + 1").select("folder", F.col("mean").alias("target"))
+    r = signals.upper_medians(c, "folder", "mean").withColumnRenamed("median", "target")
     return c.join(r, "folder", "left").select("clip_id", F.round(luma(F.col("mean"), F.col("target")), 3).alias("offset"))
 
 
@@ -167,7 +167,7 @@ _CUT = f"""{ENERGY_SQL}, {_BEATS}, bf as (select be.song, be.i, be.t, case when
 wk(song, i, li, lt, kept) as (select distinct song, 11::bigint, -1000000000::bigint, -1e9::double, false from bf union all
   select b.song, b.i, case when b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 then b.i else w.li end, case when b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 then b.t else w.lt end, b.i - w.li >= b.f and b.t - w.lt >= 0.33 - 1e-9 from wk w join bf b on b.song = w.song and b.i = w.i + 1)"""
 _FC = f"{_K}, {_C}, fc as (select k.*, c.folder, c.captured_at from k join c on k.file = c.file where k.score is not null and not isnan(k.score)), t1 as (select * from (select *, row_number() over (partition by file order by score desc, cand_pos) as r1 from fc) where r1 = 1), pk as (select * replace (case when captured_at between 1 and 4e9 then captured_at end as captured_at) from (select *, row_number() over (partition by folder order by score desc, cand_pos) as r2 from t1) where r2 <= 24)"
-_TR = f"""{_FC}, ch as (select *, row_number() over (partition by folder order by captured_at nulls last, file, cand_pos) as cp, count(*) over (partition by folder) as n from pk), rk as (select *, row_number() over (partition by folder order by score desc, cp) as r from ch),
+_TR = f"""{_FC}, ch as (select *, row_number() over (partition by folder order by captured_at nulls last, file, cand_pos) as cp, count(*) over (partition by folder) as n from pk), rk as (select *, row_number() over (partition by folder order by score desc, cand_pos) as r from ch),
 bk as (select *, case when n < 8 then 1 when r = 1 then 0 when r <= 1 + greatest(1, n // 4) then 2 else 1 end as b from rk), tr as (select *, row_number() over (partition by folder order by b, case when b = 1 then cp else r end) - 1 as pos from bk),
 en as (select folder, pos, cand_pos, score, reasons, end_s - start_s as slot, cand_pos % 3 = 0 as beat, cand_pos % 7 = 0 as onset, (cand_pos % 100) / 100.0 as e from tr)"""
 _AT = f"""{_TR}, mk(folder, pos, last, mark) as (select distinct folder, 0::bigint, 0::bigint, false from en union all select e.folder, e.pos, case when e.beat and e.pos - m.last >= 4 then e.pos else m.last end, e.beat and e.pos - m.last >= 4 from mk m join en e on e.folder = m.folder and e.pos = m.pos + 1),

@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import anomalies, edits, graph, joins, scoring, segments, signals, timeline
+from lumenframe.operators import anomalies, edits, graph, joins, planning, scoring, segments, signals, timeline
 from lumenframe.sources import catalog, media
 from lumenframe.streaming import progress
 
@@ -321,3 +321,61 @@ def test_runs_across_chunks(spark):
     f = anomalies.series_features(spark.createDataFrame(r, "key bigint, name string, sec int, source string, value double"))
     assert {x.sec for x in f.where("run >= 8").collect()} == set(range(edge - 5, edge + 4))
     assert f.count() == 100
+
+
+def test_cut_points(spark):
+    songs = spark.createDataFrame([("a", 1.0, 3.0), ("b", 50.0, 3.0)], "plan string, intro_end_s double, target_s double")
+    beats = spark.createDataFrame([(p, i, i * 0.5, 100) for p in "ab" for i in range(10)], "plan string, i bigint, t double, factor int")
+    assert rows(planning.cut_points(beats, songs, "plan", "medium"), "plan", "slot") == [("a", 0, 1.0, 2.0), ("a", 1, 2.0, 3.0), ("b", 0, 0.0, 1.0), ("b", 1, 1.0, 2.0), ("b", 2, 2.0, 3.0)]
+    # the first beat is always kept; without any within the intro and the target there is no slot
+    assert rows(planning.cut_points(beats, songs, "plan", "auto"), "plan", "slot") == [("a", 0, 1.0, 3.0)]
+
+
+def test_allocation_levers(spark):
+    slots = spark.createDataFrame([("p", i, float(i), i + 1.0) for i in range(4)] + [("q", 0, 0.0, 1.0), ("q", 1, 1.0, 1.2)], "plan string, slot int, t double, next_t double")
+    c = spark.createDataFrame([("p", "a", 1, 9.0, 0.0, 2.0), ("p", "a", 2, 8.0, 0.0, 2.0), ("p", "a", 3, 7.0, 0.0, 2.0), ("p", "b", 4, 8.5, 0.0, 2.0), ("p", "b", 5, 9.9, 0.0, 0.3), ("q", "a", 6, 1.0, 0.0, 2.0), ("q", "b", 7, float("nan"), 0.0, 2.0)], "plan string, source string, pos bigint, score double, start_s double, end_s double")
+    got = rows(planning.allocate(c, slots, "plan", "source", "score", "pos", budget=5).select("plan", "pick", "pos"), "plan", "pick")
+    assert got == [("p", 0, 1), ("p", 1, 4), ("p", 2, 2), ("q", 0, 6)]
+    assert len(rows(planning.allocate(c, slots, "plan", "source", "score", "pos", budget=1), "plan")) == 3
+    caps = lambda n, s: spark.range(1).select(planning.raised_cap(F.lit(n), F.lit(s))).first()[0]
+    assert [caps(64, 75), caps(10, 75), caps(70, 75), caps(80, 75), caps(0, 75), caps(40, 75)] == [1, 3, 1, 1, 1, 2]
+
+
+def test_filled_plans(spark):
+    e = spark.createDataFrame([("p", i, float(i), 1.0, 6, 12.0) for i in range(3)] + [("q", i, float(i), 1.0, 3, 3.9) for i in range(3)] + [("r", i, i * 4.0, 4.0, 3, 20.0) for i in range(3)], "plan string, pos int, beat_s double, out_duration_s double, slots int, target double")
+    got = rows(planning.filled(e, "plan", "pos", "slots", "target").select("plan", "beat_s", "out_duration_s", "fade_out_s"), "plan", "pos")
+    assert [r[1:3] for r in got if r[0] == "p"] == [(0.0, 4.0), (4.0, 4.0), (8.0, 4.0)]  # spread evenly over the open slots
+    assert [r[2] for r in got if r[0] == "q"] == pytest.approx([1.3, 1.3, 1.3])
+    assert [r[2] for r in got if r[0] == "r"] == pytest.approx([6.0, 6.0, 6.0])  # lengthened by a half at most
+    assert [r[3] for r in got if r[0] == "p"] == [None, None, 1.0]
+
+
+def test_render_arithmetic(spark):
+    v = spark.range(1).select(planning.ramp_speeds(F.lit(0.4), F.lit(1.0)).alias("a"), planning.ramp_speeds(F.lit(1.0), F.lit(1.04)).alias("b"), planning.native_length(F.lit(2.0), F.lit(0.5), F.lit(1.0)).alias("n"), planning.pad_length(F.lit(2.0), F.lit(1.5)).alias("p"), planning.audio_plan(F.lit(0.1), F.lit(3.0), F.lit(10.0)).alias("m")).first()
+    assert tuple(v.a) == (0.4, 1.0) and tuple(v.b) == pytest.approx((1.02, 1.02)) and v.n == 3.0 and v.p == 0.5 and tuple(v.m) == (True, 2.0, 0.5)
+    c = spark.createDataFrame([([None, 0.0, None],), ([None, None],)], "c array<double>").select(planning.crop_left(F.col("c"), F.lit(1920), F.lit(1080), 9 / 16).alias("x")).collect()
+    assert c[1].x is None and c[0].x == pytest.approx([960 - 304, 0.3 * 1920 - 304, 0.18 * 1920 - 304])
+
+
+def test_header_edits(spark):
+    h = spark.sql("select 1 as plan, named_struct('music_db', -8.0D, 'options', named_struct('pace', 'medium')) as header, cast(null as array<struct<kind:string,text:string,duration_s:double,at_s:double>>) as titles")
+    got = edits.add_title(edits.set_header(h, "options.pace", "slow"), "intro", "x").first()
+    assert got.header.options.pace == "slow" and got.header.music_db == -8.0 and [tuple(t) for t in got.titles] == [("intro", "x", 2.0, None)]
+    for path in ("nothing", "options.nothing", "music_db.x"):
+        with pytest.raises(ValueError):
+            edits.set_header(h, path, 1)
+    e = spark.createDataFrame([("p", 0, "a", 1.0), ("p", 1, "b", 2.0)], "plan string, pos int, source string, score double")
+    assert [r[3] for r in rows(edits.apply(e, [("set_path", {"path": "entries[1].score", "value": 7.0})]), "pos")] == [1.0, 7.0]
+    with pytest.raises(ValueError):
+        edits.set_path(e, "entries[x].score", 1)
+
+
+def test_upper_medians(spark):
+    rng = random.Random(12)
+    x = [(k, rng.choice([None, float("nan"), float(rng.randint(0, 30)), rng.random()])) for k in "abcdefg" for _ in range(rng.randint(1, 300))] + [("h", None)]
+    want = {}
+    for k in "abcdefg":
+        v = sorted(y for g, y in x if g == k and y is not None and y == y)
+        if v:
+            want[k] = v[len(v) // 2]
+    assert dict(rows(signals.upper_medians(spark.createDataFrame(x, "k string, v double"), "k", "v"), "k")) == want
