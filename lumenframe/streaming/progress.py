@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Share of each stage in the whole, in per cent.
+# Share of each stage in the whole, in per cent, and the keys of progress lines that hold numbers.
 STAGE_WEIGHTS = {"analyze": 1.0, "score": 1.0, "prerender": 75.0, "assemble": 18.0, "mux": 5.0}
+INTEGERS = ["frame", "fps", "bitrate", "total_size", "out_time_us", "out_time_ms", "dup_frames", "drop_frames"]
+NUMBERS = ["speed"]
 
 
 def progress_blocks(lines: DataFrame, job: str, seq: str, line: str) -> DataFrame:
@@ -22,6 +25,44 @@ def progress_blocks(lines: DataFrame, job: str, seq: str, line: str) -> DataFram
     return x.groupBy(job, "block").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
 
 
+def typed_fields(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``integers``, ``numbers`` and ``texts``: the fields by the kind of their key; ``N/A``, empty and unreadable values are null.
+
+    Integers that are written as decimals are cut; a number may end in ``x``.
+    """
+    known = lambda v: F.when(~v.isin("N/A", ""), v)
+    part = lambda keep: F.filter(F.map_entries("fields"), lambda e: keep(e["key"]))
+    typed = lambda entries, value: F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), value(known(e["value"])).alias("value"))))
+    whole = lambda v: F.coalesce(v.try_cast("bigint"), F.when(F.abs(v.try_cast("double")) < 9e18, v.try_cast("double")).cast("bigint"))
+    return blocks.withColumns({
+        "integers": typed(part(lambda k: k.isin(INTEGERS)), whole),
+        "numbers": typed(part(lambda k: k.isin(NUMBERS)), lambda v: F.regexp_replace(v, "x+$", "").try_cast("double")),
+        "texts": typed(part(lambda k: ~k.isin(INTEGERS + NUMBERS)), lambda v: v),
+    })
+
+
+def progress_block_stream(lines: DataFrame, job: str, seq: str, line: str) -> DataFrame:
+    """Streaming twin of ``progress_blocks``: ``(job, fields)`` of each block when its ``progress=`` line has come; what was read of the next one is kept as state."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        block = json.loads(state.get[0]) if state.exists else {}
+        done = []
+        for text in pd.concat(list(batches)).sort_values(seq)[line]:
+            if not text or "=" not in text:
+                continue
+            name, _, value = (x.strip() for x in text.partition("="))
+            block[name] = value
+            if name == "progress":
+                done.append(json.dumps(block))
+                block = {}
+        state.update((json.dumps(block),))
+        yield pd.DataFrame({job: [key[0]] * len(done), "fields": done})
+
+    kind = dict(lines.dtypes)[job]
+    out = lines.groupBy(job).applyInPandasWithState(fold, f"{job} {kind}, fields string", "block string", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("fields", F.from_json("fields", "map<string,string>"))
+
+
 def overall(stage: Column, index: Column, total: Column, fraction: Column) -> Column:
     """Progress in per cent over all stages; a fraction beyond [0, 1] counts as its end, an unknown stage as 0."""
     out, done = F.lit(0.0), 0.0

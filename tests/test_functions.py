@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lumenframe.functions import columns as c
-from lumenframe.functions import paths
+from lumenframe.functions import paths, settings
 
 
 def one(spark, column, **values):
@@ -94,3 +94,15 @@ def test_path_spellings(spark):
     odd = [*same, None, "", " ", "a", "/", "//", "./a", "a/.", "a/..", "..", "/a/../b", "/a/.b/c..d", "FILE:/x//y/", "file://x", "file:///a%2Fb", " \t/A B/\r\n", "/a/ ./b", "\x1f/a", "/A\u0130", "a\\", "/..a/b", "/a/b /", "x\ny"]
     rows = spark.createDataFrame([(i, p) for i, p in enumerate(odd)], "i int, s string").select("i", paths.normalized(F.col("s")).alias("n")).collect()
     assert {r.i: r.n for r in rows} == {i: paths.normal_path(p) for i, p in enumerate(odd)}
+
+
+def test_settings(spark):
+    base = {"lut": None, "pace": "medium", "music_db": -8.0}
+    assert settings.with_theme("chill", base, base) == {"lut": "chill", "pace": "slow", "music_db": -10.0}
+    assert settings.with_theme("chill", base | {"pace": "fast"}, base)["pace"] == "fast"
+    assert settings.with_theme("none", base, base) == base == settings.with_theme(None, base, base)
+    assert settings.with_preview({"preview": False, "lut": "x"})["lut"] == "x"
+    assert settings.with_preview({"preview": True, "aspect": "1:1", "lut": "x"}) == {"preview": True, "aspect": "1:1", "lut": None, "res": "480x480", "fps": 24, "no_reframe": True}
+    size = lambda n: spark.range(1).select(settings.byte_size(F.lit(n))).first()[0]
+    assert [size(512), size(1536), size(1024**2), size(5 * 1024**5)] == ["512 B", "1.50 KB", "1.00 MB", "5.00 PB"]
+    assert one(spark, settings.slug(F.col("s")), s=" Hero 9 (black)! ") == "hero_9_black" and one(spark, settings.slug(F.col("s")), s="!!") == "camera"
