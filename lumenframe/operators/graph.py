@@ -104,14 +104,15 @@ def _unit(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.nd
     return ids.filter(mask).to_numpy(zero_copy_only=False)[good], x[good] / norm[good, None]
 
 
-def cosine_links(rows: DataFrame, key: str, vector: str, dim: int, min_cos: float, pivots: int = 64) -> DataFrame:
+def cosine_links(rows: DataFrame, key: str, vector: str, dim: int, min_cos: float, pivots: int | None = None) -> DataFrame:
     """``(a, b, cosine)``: all pairs a < b of cosine ``min_cos`` or more, found exactly.
 
     Vectors belong to the nearest of a few pivots and also visit every cell that the triangle inequality on angles does not
     rule out; only cells that can hold a partner are compared. Pivots are sampled by hash; the rows of a cell are
-    compared in chunks.
+    compared in chunks. Without ``pivots`` there is one for about 500 rows, from 16 to 2,048.
     """
     data = Written(rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id"]), "vectors").df
+    pivots = pivots or min(2_048, max(16, data.count() // 500))
     sample = data.where("v is not null").orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
     _, centre = _unit(sample.column(0).combine_chunks(), sample.column(1).combine_chunks(), dim) if sample.num_rows else (None, np.zeros((1, dim)))
     reach = np.arccos(np.clip(min_cos, -1, 1)) + 1e-9

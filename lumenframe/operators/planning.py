@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import array_mean, present, upper_median
 from lumenframe.operators import edits, timeline
+from lumenframe.session import Written
 
 # Beats per cut of each pace, fallback length, tolerated share of open slots, ceiling of a raised cap, defaults of a frame.
 PACES = {"fast": 1, "medium": 2, "slow": 4}
@@ -73,6 +74,7 @@ def allocate(cands: DataFrame, slots: DataFrame, plan: str, source: str, score:
     top = cap + 1 if cap == 1 else cap
     rank = F.row_number().over(Window.partitionBy(plan, source).orderBy(F.col(score).desc(), F.col(pos)))
     own = long.withColumn("__own", rank).where(F.col("__own") <= top).where(F.col("__own") <= (F.lit(budget) if isinstance(budget, int) else budget))
+    own = Written(own, "own").df  # at most a few rows a source, read three times
     order = [F.col(score).desc(), F.col(pos)]
     strict = own.where(F.col("__own") <= cap)
     have = own.groupBy(plan).agg(F.count_if(F.col("__own") <= cap).alias("__strict"), F.count(F.lit(1)).alias("__loose"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.columns import array_mean, array_sum, nearest_rank, present
+from lumenframe.functions.columns import array_mean, nearest_rank, present
 
 MIN_CLIP_S, SHORT_CLIP_S, WINDOW_S = 0.3, 4.0, 2
 
@@ -52,28 +52,50 @@ def clip_statistics(clips: DataFrame) -> DataFrame:
     return clips.withColumns({k: f(F.col(c)) for k, (c, f) in wanted.items() if c in have})
 
 
-def _part(name: str) -> Column:
-    return F.when(F.col("end_i") > F.col("start_i"), F.slice(name, F.col("start_i") + 1, F.col("end_i") - F.col("start_i"))).otherwise(F.array().cast("array<double>"))
+def window_values(name: str) -> list[Column]:
+    """The window's seconds of a signal, null beyond its end: no window is longer than a short clip, so each is read by its place."""
+    at = F.col("start_i")
+    return [F.when(at + k < F.col("end_i"), F.try_element_at(F.col(name), at + (k + 1))) for k in range(int(SHORT_CLIP_S))]
 
 
-def _mean(name: str) -> Column:
+def _sum(name: str) -> Column:
+    total = F.lit(0.0)
+    for v in window_values(name):
+        total = total + F.coalesce(v, F.lit(0.0))
+    return total
+
+
+def window_mean(name: str) -> Column:
     """Sum of the window over its length in seconds, 0 for an empty window or a missing signal."""
-    return F.when(F.col("end_i") > F.col("start_i"), F.coalesce(array_sum(_part(name)), F.lit(0.0)) / (F.col("end_i") - F.col("start_i"))).otherwise(0.0)
+    return F.when(F.col("end_i") > F.col("start_i"), _sum(name) / (F.col("end_i") - F.col("start_i"))).otherwise(0.0)
+
+
+def window_max(name: str) -> Column:
+    """The window's largest measured value, null without any."""
+    return F.greatest(*window_values(name))
+
+
+def _measured_mean(name: str) -> Column:
+    """Mean of the window's measured seconds, null without any."""
+    n = F.lit(0)
+    for v in window_values(name):
+        n = n + v.isNotNull().cast("int")
+    return F.try_divide(_sum(name), n.cast("double"))
 
 
 def _top(name: str) -> Column:
-    return F.coalesce(F.array_max(_part(name)), F.lit(0.0))
+    return F.coalesce(window_max(name), F.lit(0.0))
 
 
 def rules(columns: set[str]) -> list[Rule]:
-    """The rules whose signals are among ``columns``, in order."""
+    """The rules whose signals are among ``columns``, in order. Their limits, weights and tags are fixed values."""
     zero = lambda c, v: F.when(F.coalesce(c, F.lit(False)), F.lit(v)).otherwise(0.0)
-    motion, audio = _mean("motion"), _mean("audio")
+    motion, audio = window_mean("motion"), window_mean("audio")
     loud = (audio > 0.4) & (F.col("s_audio_n") >= 4) & (audio >= F.col("s_audio_p85")) & (audio >= 1.25 * F.col("s_audio_mean"))
     accl, gyro, gps = _top("accl"), _top("gyro"), _top("gps")
     gps_max = F.col("s_gps_max")
     tag = F.exists("tags_ms", lambda t: (t >= F.col("start_s") * 1000) & (t <= F.col("end_s") * 1000))
-    sharp, light = array_mean(_part("sharpness")), array_mean(_part("exposure"))
+    sharp, light = _measured_mean("sharpness"), _measured_mean("exposure")
     dull = (F.col("s_sharp_n") >= 2) & (sharp <= F.col("s_sharp_p30"))
     poor = (light < 0.25) | (light > 0.85)
     out = [

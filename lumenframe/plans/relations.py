@@ -118,12 +118,12 @@ def signature_distance_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    x = graph.cosine_links(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 0.40, pivots=16)
+    x = graph.cosine_links(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 0.40)
     return x.select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 def semantic_components(spark: SparkSession, d: str) -> DataFrame:
-    x = graph.cosine_links(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 0.40, pivots=16)
+    x = graph.cosine_links(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 0.40)
     return graph.numbered(graph.components(x), "s").select(F.col("id").alias("vec_id"), "root", "label")
 
 

@@ -24,7 +24,7 @@ def _round(*names: str) -> list:
 
 def sliding_window_scores(spark: SparkSession, d: str) -> DataFrame:
     w = scoring.clip_windows(clips_of(spark, d).select("clip_id", "duration_s", "motion", "audio"))
-    w = w.withColumns({"motion_mean": scoring._mean("motion"), "motion_max": F.array_max(scoring._part("motion")), "audio_mean": scoring._mean("audio")})
+    w = w.withColumns({"motion_mean": scoring.window_mean("motion"), "motion_max": scoring.window_max("motion"), "audio_mean": scoring.window_mean("audio")})
     return w.select("clip_id", "start_s", "end_s", *_round("motion_mean", "motion_max", "audio_mean"))
 
 

@@ -10,10 +10,48 @@ from lumenframe.functions.columns import base_name, extension, stem
 from lumenframe.operators import extract
 from lumenframe.plans.relations import _C, _K, _cands, _clips
 from lumenframe.session import table
-from lumenframe.sources import catalog, store
+from lumenframe.sources import catalog, media, store
 from lumenframe.streaming import progress
 
 
+def _be(value, digits: int):
+    """A number in big-endian hex."""
+    return F.lpad(F.hex(value), digits, "0")
+
+
+def telemetry_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Accelerations of the clips as telemetry blobs, in thousandths, parsed again."""
+    a = F.transform("accl", lambda v: F.floor(v * 1000))
+    whole = F.forall("accl", lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < 1e6))
+    c = _clips(spark, d).where(whole & (F.size("accl") > 0)).select("clip_id", a.alias("a"))
+    rows = F.array_join(F.transform("a", lambda v: F.concat(_be(v, 8), F.lit("0" * 16))), "")
+    blob = F.unhex(F.concat(F.lit(b"SCAL".hex() + "73020001" + "03e80000" + b"ACCL".hex() + "6c0c"), _be(F.size("a"), 4), rows))
+    return c.select("clip_id", blob.alias("blob")).lateralJoin(media.Telemetry(F.col("blob").outer())).select("clip_id", "stream", F.col("i").cast("bigint").alias("i"), F.round("value", 6).alias("value"))
+
+
+def tag_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The clips' tags as boxes of a file, parsed again."""
+    c = _clips(spark, d).where(F.forall("tags_ms", lambda t: t.isNotNull() & (t >= 0) & (t < 1 << 32)) & (F.size("tags_ms") > 0))
+    box = F.unhex(F.concat(F.lit("0000"), _be(F.size("tags_ms") * 4 + 12, 8), F.lit(b"HMMT".hex()), _be(F.size("tags_ms"), 8), F.array_join(F.transform("tags_ms", lambda t: _be(t, 8)), "")))
+    return c.select("clip_id", box.alias("box")).lateralJoin(media.HighlightTags(F.col("box").outer())).select("clip_id", "tag_ms")
+
+
+def config_values(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as lines of a settings file."""
+    k = F.col("c_custkey").cast("string")
+    line = F.element_at(F.array(F.lit("# note"), F.lit("  "), F.concat(F.lit("K"), k, F.lit("=v")), F.concat(F.lit(" K"), k, F.lit(" = 'x # y' ")), F.concat(F.lit("K"), k, F.lit("=a=b # note")), F.lit("no pair")), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return catalog.config_lines(table(spark, d, "customer").select(line.alias("value")))
+
+
+def probed(spark: SparkSession, d: str) -> DataFrame:
+    """What a container says of each clip: rates as fractions, some of them useless, and turned frames."""
+    k = F.col("clip_id")
+    rate = F.element_at(F.array(F.lit("30000/1001"), F.lit("60"), F.lit("0/0"), F.lit(None), F.lit("x/2")), (k % 5 + 1).cast("int"))
+    turn = F.element_at(F.array(F.lit(0), F.lit(90), F.lit(-90), F.lit(180), F.lit(None)), (k % 5 + 1).cast("int"))
+    p = store.probed(rate, F.col("width"), F.col("height"), turn, F.col("duration_s"))
+    return _clips(spark, d).select("clip_id", p.alias("p")).select("clip_id", F.round("p.fps", 6).alias("fps"), "p.width", "p.height", "p.usable")
+
+
 def json_entries(spark: SparkSession, d: str) -> DataFrame:
     """Order lines stored as JSON with fields left out by turns, one in eleven broken, read back with defaults."""
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
@@ -209,13 +247,17 @@ def thumbnails(spark: SparkSession, d: str) -> DataFrame:
     return x.select("cand_pos", "thumb", base_name(F.col("file")).alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (json_entries, sidecar_lists, latest_plan, requested_names, song_listing, capture_times, clip_at, stills_split, import_ranges, device_filter, device_pairs, best_detections, cache_after, cache_hits, import_preview, import_counters, import_tails, progress_fields, extracted, still_variants, frame_sizes, options_menu, themed_settings, labels, thumbnails)}
+QUERIES = {f.__name__: f for f in (telemetry_samples, tag_boxes, config_values, probed, json_entries, sidecar_lists, latest_plan, requested_names, song_listing, capture_times, clip_at, stills_split, import_ranges, device_filter, device_pairs, best_detections, cache_after, cache_hits, import_preview, import_counters, import_tails, progress_fields, extracted, still_variants, frame_sizes, options_menu, themed_settings, labels, thumbnails)}
 
 _LOG = """y as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as seq, cast(trunc(l_quantity) as int) as q from lineitem)"""
 _EXT = "lower(regexp_extract({p}, '[^/](\\.[^./]*)$', 1))"
 _DAY = "try_strptime(case when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then {c} end, '%Y-%m-%d')"
 
 SQL = {
+    "telemetry_samples": f"with {_C}, x as (select clip_id, accl from c where len(accl) > 0 and len(list_filter(accl, lambda v: v is not null and not isnan(v) and v >= 0 and v < 1e6)) = len(accl)), e as (select clip_id, unnest(accl) as v, unnest(range(0, len(accl))) as i from x) select clip_id, 'ACCL' as stream, i, round(floor(v * 1000) / 1000, 6) as value from e",
+    "tag_boxes": f"with {_C} select clip_id, unnest(tags_ms) as tag_ms from c where len(tags_ms) > 0 and len(list_filter(tags_ms, lambda t: t is not null and t >= 0 and t < 4294967296)) = len(tags_ms)",
+    "config_values": "select 'K' || c_custkey as key, case c_custkey % 6 when 2 then 'v' when 3 then 'x # y' else 'a=b' end as value from customer where c_custkey % 6 in (2, 3, 4)",
+    "probed": f"with {_C} select clip_id, case clip_id % 5 when 0 then round(30000.0::double / 1001, 6) else 30.0 end as fps, case when clip_id % 5 in (1, 2) then coalesce(height, 1080) else coalesce(width, 1920) end as width, case when clip_id % 5 in (1, 2) then coalesce(width, 1920) else coalesce(height, 1080) end as height, coalesce(duration_s >= 0.3 and not isnan(duration_s), false) as usable from c",
     "json_entries": """with x as (select *, l_partkey as n, l_partkey % 11 <> 0 and l_partkey % 7 <> 0 as ok from lineitem)
       select l_orderkey, l_linenumber, l_partkey, l_quantity, case when ok then 's' || n end as source, case when ok then 9.5::double end as end_s, case when ok then case when n % 2 <> 0 then 2.0::double else 8.0 end end as out_duration_s,
         case when ok then case when n % 3 <> 0 then 0.5::double else 1.0 end end as speed, case when ok then case when n % 5 <> 0 then 4.25::double else 0.0 end end as score, case when ok then case when n % 4 <> 0 then 2 else 0 end end::bigint as reasons from x""",

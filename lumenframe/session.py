@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes up to which a side may be broadcast; beyond them a shuffle join is used.
+#: Rows up to which a side may be broadcast; beyond them a shuffle join is used.
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 32 << 20
+#: Bytes that a scan puts into one task.
+SPLIT_BYTES = 128 << 20
 
 _own_dirs: dict[str, str] = {}
 _written: list[Written] = []
@@ -76,9 +77,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
-    """``df`` over enough tasks for heavy per-row work: unchanged when its source gives them already, else hashed by ``key``."""
+    """``df`` over enough tasks for heavy per-row work: unchanged when its size, as the optimizer estimates it, gives them already, else hashed by ``key``."""
     wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size >= wanted * SPLIT_BYTES else df.repartition(wanted, key)
 
 
 def tasks_for(df: DataFrame, rows: int) -> int:

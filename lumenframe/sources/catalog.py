@@ -14,6 +14,8 @@ AUDIO = [".mp3", ".wav", ".m4a", ".flac", ".aac", ".ogg"]
 LIVE_VIDEO = [".mov"]
 SKIPPED_DIRS = ["__pycache__", ".git", "node_modules", ".cache", "lumenframe_workdir"]
 OUTPUT_HINTS = ["lumenframe", "highlight_reel", "recap"]
+#: Ranges of ages that eviction totals at least.
+RANGES = 64
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,18 +93,20 @@ def split_by_cache(items: DataFrame, cache: DataFrame, key: str) -> tuple[DataFr
     return items.join(cache, key), items.join(cache.select(key), key, "left_anti")
 
 
-def evict(entries: DataFrame, cap_bytes: int, size: str, at: str, tie: str, protect_newest: bool = False, parts: int = 64) -> DataFrame:
+def evict(entries: DataFrame, cap_bytes: int, size: str, at: str, tie: str, protect_newest: bool = False) -> DataFrame:
     """``entries`` with ``kept``: the oldest go until the rest fits ``cap_bytes``; a cap of 0 or less keeps all.
 
-    The running total from the newest is a sum per range of ages plus the totals of the newer ranges, so no task orders all entries.
+    The running total from the newest is a sum per range of ages plus the totals of the newer ranges, so no task orders all entries. The ranges lie
+    between quantiles of the ages and hold about a million entries each (1,000 ranges at most); an unknown age is the oldest.
     """
     if cap_bytes <= 0:
         return entries.withColumn("kept", F.lit(True))
-    low, high = entries.agg(F.min(at), F.max(at)).first()
-    width = max((float(high) - float(low)) / parts, 1e-9) if low is not None else 1.0
-    x = entries.withColumn("__p", F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col(at).cast("double") - F.lit(float(low or 0))) / width))))
+    parts = min(1000, max(RANGES, entries.count() // 1_000_000))
+    bounds = sorted(set(entries.agg(F.percentile_approx(F.col(at).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
+    ends = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    x = entries.withColumn("__p", F.when(F.col(at).isNull(), -1).otherwise(F.size(F.filter(ends, lambda b: b < F.col(at).cast("double")))))
     total = x.groupBy("__p").agg(F.sum(size).alias("__t")).withColumn("__newer", F.coalesce(F.sum("__t").over(Window.orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("__p").orderBy(F.col(at).desc(), F.col(tie).desc())
+    w = Window.partitionBy("__p").orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc())
     x = x.withColumns({"__run": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "__r": F.row_number().over(w)}).join(F.broadcast(total.select("__p", "__newer")), "__p")
     keep = F.col("__run") + F.col("__newer") <= cap_bytes
     if protect_newest:

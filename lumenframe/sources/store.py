@@ -100,6 +100,17 @@ def captured_at(path: Column, exif: Column, container: Column, modified: Column)
     return F.coalesce(F.when(still, a), F.when(moving, b), a, b, named, modified)
 
 
+def probed(rate: Column, width: Column, height: Column, rotation: Column, duration: Column) -> Column:
+    """``(fps, width, height, usable)`` of a container: the rate ``30000/1001`` (30 when it can't be read), sides (1920 x 1080 when unknown) swapped when turned by a quarter, and whether it lasts 0.3 s or more."""
+    parts = F.split(rate, "/")
+    number = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("double")
+    fps = F.when(F.size(parts) == 2, F.try_divide(number(1), number(2)))
+    width, height = F.coalesce(width, F.lit(1920)), F.coalesce(height, F.lit(1080))
+    turned = F.pmod(F.coalesce(rotation, F.lit(0)), F.lit(180)) == 90
+    usable = F.coalesce((duration >= 0.3) & ~F.isnan(duration), F.lit(False))
+    return F.struct(F.coalesce(fps, F.lit(30.0)).alias("fps"), F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"), usable.alias("usable"))
+
+
 def device_takes(name: Column, kind: Column) -> Column:
     """Whether a device's file is imported: never proxies and the like, by its declared type, and by its extension when it declares none."""
     e = extension(name)
