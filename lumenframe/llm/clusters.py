@@ -20,8 +20,8 @@ FOLD_ROWS, FOLD_SHARE = 8, 0.25
 TINY = 1e-4
 #: Rows of a linked group that one task compares; larger groups are compared in pairs of blocks.
 GROUP_ROWS, BLOCK_ROWS = 20_000, 5_000
-#: Rows per block when all parts are linked.
-GRID_ROWS = 50_000
+#: Rows per block when all parts are linked, and of them compared at once: few, so that the products stay in the cache.
+GRID_ROWS, GRID_CHUNK = 50_000, 512
 #: Rows compared at once, and rounds of two-means per split.
 CHUNK, ROUNDS = 2_048, 4
 
@@ -257,15 +257,45 @@ def _assign(data: VectorSet, min_cos: float) -> DataFrame:
     return grouped(routed, "cell", "hash").applyInArrow(split, "id bigint, leaf bigint, part bigint, rows bigint, clean boolean, radius float, short binary")
 
 
+def link_blocks(x: np.ndarray, radius: np.ndarray, label: np.ndarray, p: np.ndarray, q: np.ndarray, same: bool, min_cos: float, doubt: float) -> np.ndarray:
+    """``label`` after joining the labels of all rows of ``p`` and ``q`` (the same rows with ``same``) that may be linked."""
+    reach = np.arccos(min_cos)
+    some = x[:, : x.shape[1] // 2]
+    less, one = -np.square(some).sum(1, keepdims=True) / 2, np.ones((len(x), 1), np.float32)
+    left, right = np.hstack([some, less, one])[p], np.hstack([some, one, less])[q]
+    for s in range(0, len(p), GRID_CHUNK):
+        a = p[s : s + GRID_CHUNK]
+        for o in range(s if same else 0, len(q), GRID_CHUNK):
+            b = q[o : o + GRID_CHUNK]
+            # half the squared distance in the first columns, turned round
+            near = np.flatnonzero(left[s : s + GRID_CHUNK] @ right[o : o + GRID_CHUNK].T >= min_cos - 1 - 2 * doubt)
+            if len(near) > len(a) * len(b) // 50:
+                label = merge_hits(label, a, b, x[a] @ x[b].T >= min_cos - doubt)
+                near = near[:0]
+            i, j = np.divmod(near, len(b))
+            i, j = a[i], b[j]
+            close = (label[i] != label[j]) & (np.einsum("ij,ij->i", x[i], x[j]) >= min_cos - doubt)
+            links = [(i[close], j[close])]
+            for u, v in ((a[radius[a] > 0], b), (b[radius[b] > 0], a)):  # tight parts reach farther than their centre
+                if len(u):
+                    k, m = np.nonzero(x[u] @ x[v].T >= np.cos(reach + radius[u, None] + radius[None, v]) - doubt)
+                    links.append((u[k], v[m]))
+            i, j = (label[np.concatenate(z)] for z in zip(*links, strict=True))
+            if (i != j).any():
+                label = labels_of_edges(len(label), i[i != j], j[i != j])[label]
+    return label
+
+
 def _links(nodes: DataFrame, total: int, dim: int, min_cos: float) -> DataFrame:
     """``(a, b)``: links that join all parts with a pair of rows of cosine ``min_cos`` or more.
 
     Every two ``nodes (id, part, radius, short)`` are compared, in pairs of blocks, so that no link depends on which cells lie
-    near each other. What the radii and the 16 bits leave open is allowed for: a link too many only has its parts compared exactly.
+    near each other. The vectors are rotated, so half of the columns already keep most pairs farther apart than the limit;
+    only the others are compared in all. What the radii and the 16 bits leave open is allowed for: a link too many only has its parts compared exactly.
     """
     tasks = 3 * nodes.sparkSession.sparkContext.defaultParallelism
     blocks = max(-(-total // GRID_ROWS), int(np.ceil(np.sqrt(2 * tasks + 0.25) - 0.5)))
-    reach, doubt = np.arccos(min_cos), np.sqrt(dim) / SHORT + 1e-6
+    doubt = np.sqrt(dim) / SHORT + 1e-6
     mine = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(blocks)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q")))
     spread = nodes.withColumn("block", mine).select("block", "part", "radius", "short", F.explode(pairs).alias("pq")).select("block", "part", "radius", "short", "pq.p", "pq.q")
@@ -276,23 +306,7 @@ def _links(nodes: DataFrame, total: int, dim: int, min_cos: float) -> DataFrame:
         radius = t["radius"].to_numpy().astype(np.float32)
         p, q = np.nonzero(block == t["p"][0].as_py())[0], np.nonzero(block == t["q"][0].as_py())[0]
         same = t["p"][0].as_py() == t["q"][0].as_py()
-        for s in range(0, len(p), CHUNK):
-            a = p[s : s + CHUNK]
-            for o in range(s if same else 0, len(q), CHUNK):
-                b = q[o : o + CHUNK]
-                cos = x[a] @ x[b].T
-                hit = cos >= min_cos - doubt
-                wide, high = np.nonzero(radius[a])[0], np.nonzero(radius[b])[0]
-                hit[wide] = cos[wide] >= np.cos(reach + radius[a[wide], None] + radius[None, b]) - doubt
-                hit[:, high] = cos[:, high] >= np.cos(reach + radius[a, None] + radius[None, b[high]]) - doubt
-                n = np.count_nonzero(hit)
-                if n > hit.size // 50:
-                    label = merge_hits(label, a, b, hit)
-                elif n:
-                    i, j = np.nonzero(hit)
-                    i, j = label[a[i]], label[b[j]]
-                    if (i != j).any():
-                        label = labels_of_edges(len(label), i, j)[label]
+        label = link_blocks(x, radius, label, p, q, same, min_cos, doubt)
         root = names[label[first]]
         return pa.table({"a": names[names != root], "b": root[names != root]})
 
@@ -382,7 +396,7 @@ def similar_clusters(df: DataFrame, id_col: str, vector_col: str, dim: int, min_
     what isn't mutually similar. No link is missed; its cost grows with the square of the nodes. Rows with bytewise equal vectors are represented by the smallest id. Records
     without an id or a usable vector, and records similar to none, are in no cluster; an empty input gives no rows.
     """
-    data = VectorSet(df, id_col, vector_col, dim)
+    data = VectorSet(df, id_col, vector_col, dim, True)
     table = Written(_assign(data, min_cos), "parts").df
     assigned, nodes = table.drop("short", "radius"), table.where("short is not null").select("id", "part", "radius", "short")
     links = _links(nodes if data.cells.parts.sum() > 1 else nodes.where("false"), nodes.count(), dim, min_cos)
@@ -406,7 +420,7 @@ def leaves(df: DataFrame, id_col: str, vector_col: str, dim: int, min_cos: float
     Every two rows of a leaf are similar; leaves may be similar to each other. Bytewise equal vectors are in one leaf.
     Every record with an id and a usable vector is in one leaf.
     """
-    data = VectorSet(df, id_col, vector_col, dim)
+    data = VectorSet(df, id_col, vector_col, dim, True)
     own = Written(_assign(data, min_cos).select("id", F.col("leaf").alias("cluster")), "leaves").df
     return own.unionByName(own.join(data.copies.withColumnRenamed("id", "copy").withColumnRenamed("rep", "id"), "id").select(F.col("copy").alias("id"), "cluster")), data
 
