@@ -154,12 +154,19 @@ def decide_speed(kind: Column, fps: Column, t: Column, drop_start: Column, on_do
     return F.when(kind == "build", pair(1.0, 1.15)).when(fps.isNull() | (fps < 90), pair(1.0, 1.0)).when((t - drop_start >= 0) & (t - drop_start < 1.0), pair(0.4, 1.0)).when(on_downbeat & action, pair(0.4, 1.0)).otherwise(pair(1.0, 1.0))
 
 
-def fit_transition(beats: Column | float, beat_gap: float, slot: Column) -> Column:
+def beat_gap(bpm: Column) -> Column:
+    """Seconds between beats; half a second when the tempo isn't usable."""
+    return F.when(bpm.isNotNull() & ~F.isnan(bpm) & (bpm > 0), 60.0 / bpm).otherwise(0.5)
+
+
+def fit_transition(beats: Column | float, beat_gap: Column | float, slot: Column) -> Column:
+    """Length of a transition of so many beats: from 0.12 to 0.9 s, and at most 0.4 of a slot of known length."""
     b = F.lit(beats) if isinstance(beats, float) else beats
-    return F.least(F.greatest(F.lit(0.12), F.least(F.lit(0.9), b * beat_gap)), slot * 0.4)
+    length = F.greatest(F.lit(0.12), F.least(F.lit(0.9), b * beat_gap))
+    return F.when(slot > 0, F.least(length, slot * 0.4)).otherwise(length)
 
 
-def auto_transitions(entries: DataFrame, plan: str, pos: str, score: str, slot: str, downbeat: str | None = None, beat_gap: float = 0.5) -> DataFrame:
+def auto_transitions(entries: DataFrame, plan: str, pos: str, score: str, slot: str, downbeat: str | None = None, beat_gap: Column | float = 0.5) -> DataFrame:
     """``entries`` with ``kind, duration_s, direction``: cuts; crossfades on marks; a whip on the best of each block of eight, three at most, never on the first.
 
     Marks are the rows on a downbeat at least four rows after the last mark (a fold over one plan's rows), without any every fourth row.
@@ -183,7 +190,7 @@ def auto_transitions(entries: DataFrame, plan: str, pos: str, score: str, slot:
     return x.withColumns({"kind": kind, "duration_s": length, "direction": direction}).drop("__mark", "__block", "__top", "__whip")
 
 
-def soft_transitions(entries: DataFrame, plan: str, pos: str, score: str, slot: str, reasons: str, energy: str, on_onset: str, on_downbeat: str, beat_gap: float = 0.5) -> DataFrame:
+def soft_transitions(entries: DataFrame, plan: str, pos: str, score: str, slot: str, reasons: str, energy: str, on_onset: str, on_downbeat: str, beat_gap: Column | float = 0.5) -> DataFrame:
     """``entries`` with ``kind, duration_s``: fades whose length follows the energy, cuts on onsets and on peaks that reach the plan's score cut-off."""
     n = Window.partitionBy(plan)
     x = entries.withColumns({"__n": F.count(F.lit(1)).over(n), "__r": F.row_number().over(n.orderBy(score, pos))})

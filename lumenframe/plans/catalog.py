@@ -36,6 +36,43 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     return catalog.listing(_files(spark, d), "path").select("folder_path", "stem", "label", "files")
 
 
+def picker_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The files as a picker lists them; clips with a low place are not selected."""
+    c = _clips(spark, d)
+    at = F.when(F.col("captured_at").between(1, 4e9), F.col("captured_at")).alias("at")
+    f = c.select(F.col("source").alias("path"), at).unionByName(c.where("origin is not null").select(F.col("origin").alias("path"), at)).where("path is not null").groupBy("path").agg(F.min("at").alias("at"))
+    out = c.where("clip_pos < 3").select(F.col("source").alias("path"))
+    return catalog.sources(f, "path", "at", out).select("path", "kind", "selected", F.col("pos").cast("bigint").alias("pos"))
+
+
+def sources_union(spark: SparkSession, d: str) -> DataFrame:
+    """Videos, then stills, then audio-like rest, each in path order."""
+    f = _files(spark, d).withColumn("kind", catalog.kind_of(F.col("path")))
+    return catalog.ordered_union([f.where("kind = 'video'"), f.where("kind = 'still'"), f.where("kind not in ('video', 'still')")], ["path"])
+
+
+def first_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the candidates in the order in which they first appear."""
+    return catalog.first_seen(_cands(spark, d).select("file", "cand_pos"), "file", "cand_pos")
+
+
+def cache_recombined(spark: SparkSession, d: str) -> DataFrame:
+    """Clips in their places with the cached number of candidates, or one computed from the length of the clip."""
+    items = _clips(spark, d).select("file", "folder", "clip_pos", "duration_s")
+    done = _cands(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    hit, miss = catalog.split_by_cache(items.select("file", "duration_s"), done, "file")
+    computed = miss.where("duration_s > 0 and not isnan(duration_s)").select("file", F.floor("duration_s").alias("n"))
+    return catalog.recombined(items, hit.select("file", "n"), computed, "file", "clip_pos").select("file", "clip_pos", "n")
+
+
+def content_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of the songs, stills, features and plans that the clips stand for."""
+    key = lambda n, *p: catalog.content_key(*p, length=n)
+    ns, sec = F.unix_micros(F.col("analyzed_at").cast("timestamp")) * 1000, F.floor(F.unix_micros(F.col("analyzed_at").cast("timestamp")) / 1_000_000)
+    plan = key(12, F.col("folder"), F.col("source"), F.lit("chill"), F.lit(""), F.lit("16:9"), F.lit(0))
+    return _clips(spark, d).where("source is not null and analyzed_at is not null").select("clip_id", F.sha1(F.concat(F.col("source"), F.lit("-"), ns.cast("string"))).alias("song"), key(16, F.col("source"), F.col("clip_pos"), sec, F.lit("2.5"), F.lit("1920x1080")).alias("still"), key(40, F.lit("v3"), F.col("source"), ns, F.col("clip_pos")).alias("feature"), plan.alias("plan"))
+
+
 def common_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Longest common folder of the clips of each recording folder, from distinct counts per depth."""
     x = _clips(spark, d).where("source is not null").select("folder", F.posexplode(F.split("source", "/")).alias("depth", "part"), F.size(F.split("source", "/")).alias("n"))
@@ -117,7 +154,7 @@ def layered_config(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, None if v is None else str(v)) for k, v in got.items()], "name string, value string")
 
 
-QUERIES = {f.__name__: f for f in (path_filters, discovered, anti_stem, listing, common_prefix, content_key, folder_key, variant_pick, filename_ts, cache_split, copy_classify, lru_evict, cache_stats, coverage_report, plan_summary, recents, layered_config)}
+QUERIES = {f.__name__: f for f in (path_filters, discovered, anti_stem, listing, picker_sources, sources_union, first_sources, cache_recombined, content_keys, common_prefix, content_key, folder_key, variant_pick, filename_ts, cache_split, copy_classify, lru_evict, cache_stats, coverage_report, plan_summary, recents, layered_config)}
 
 _F = f"{_C}, f as (select distinct path from (select source as path from c union all select origin from c where origin is not null) where path is not null), b as (select path, split_part(path, '/', -1) as name from f), x as (select *, lower(regexp_extract(name, '.(\\.[^.]*)$', 1)) as ext, regexp_replace(name, '(.)\\.[^.]*$', '\\1') as stem, regexp_replace(path, '/[^/]*$', '') as folder_path from b), k as (select *, case when ext in ('.mp4', '.mov', '.m4v', '.insv', '.lrv') then 'video' when ext in ('.heic', '.heif', '.jpg', '.jpeg', '.png') then 'still' when ext in ('.mp3', '.wav', '.m4a', '.flac', '.aac', '.ogg') then 'audio' else 'other' end as kind from x)"
 _SEEN = "not starts_with(name, '.') and not list_has_any(string_split(path, '/')[1:-2], ['__pycache__', '.git', 'node_modules', '.cache', 'lumenframe_workdir'])"
@@ -127,6 +164,15 @@ SQL = {
     "discovered": f"with {_F} select path, row_number() over (partition by folder_path order by path) - 1 as pos from k where kind = 'video' and {_SEEN} and not (ext in ('.mp4', '.mov') and (contains(lower(name), 'lumenframe') or contains(lower(name), 'highlight_reel') or contains(lower(name), 'recap')))",
     "anti_stem": f"with {_F} select path from k where kind = 'still' and {_SEEN} and stem not in (select stem from k where ext = '.mov' and {_SEEN})",
     "listing": f"with {_F} select folder_path, lower(stem) as stem, case when count(*) filter (where kind = 'video') > 0 and count(*) filter (where kind = 'still') > 0 then 'live' when count(*) filter (where kind = 'video') > 0 then 'video' else 'still' end as label, count(*) as files from k where kind in ('video', 'still') group by 1, 2",
+    "picker_sources": f"""with {_F}, t as (select path, min(at_) as at_ from (select source as path, case when captured_at between 1 and 4e9 then captured_at end as at_ from c union all select origin, case when captured_at between 1 and 4e9 then captured_at end from c where origin is not null) group by 1),
+      v as (select * from k where kind in ('video', 'still') and {_SEEN}), p as (select stem from v group by 1 having bool_or(ext = '.mov') and bool_or(kind = 'still')),
+      s as (select v.*, v.stem in (select stem from p) as pair from v where not (ext in ('.mp4', '.mov') and (contains(lower(name), 'lumenframe') or contains(lower(name), 'highlight_reel') or contains(lower(name), 'recap'))))
+      select path, case when pair and ext = '.mov' then 'live_photo' else kind end as kind, path not in (select source from c where clip_pos < 3 and source is not null) as selected, row_number() over (partition by folder_path order by at_ nulls last, name, path) - 1 as pos from s join t using (path) where not (pair and kind = 'still')""",
+    "sources_union": f"with {_F} select case kind when 'video' then 0 when 'still' then 1 else 2 end as part, kind, path from k",
+    "first_sources": f"with {_K} select file, min(cand_pos) as cand_pos from k where file is not null group by 1",
+    "cache_recombined": f"with {_K}, {_C}, n as (select file, count(*) as n from k group by 1) select c.file, clip_pos, coalesce(n.n, cast(floor(duration_s) as bigint)) as n from c left join n using (file) where n.n is not null or (duration_s > 0 and not isnan(duration_s))",
+    "content_keys": f"""with {_C}, x as (select *, epoch_us(analyzed_at) * 1000 as ns, epoch_us(analyzed_at) // 1000000 as sec from c where source is not null and analyzed_at is not null)
+      select clip_id, sha1(source || '-' || ns) as song, substr(sha1(concat_ws('|', source, coalesce(clip_pos::varchar, ''), sec, '2.5', '1920x1080')), 1, 16) as still, sha1(concat_ws('|', 'v3', source, ns, coalesce(clip_pos::varchar, ''))) as feature, substr(sha1(concat_ws('|', coalesce(folder, ''), source, 'chill', '', '16:9', '0')), 1, 12) as plan from x""",
     "common_prefix": f"with {_C}, p as (select distinct folder, regexp_replace(source, '/[^/]*$', '') as root from c where source is not null) select folder, min(root) as root from p group by 1",
     "content_key": f"with {_C} select clip_id, sha1(concat_ws('|', 'v3', coalesce(source, ''), coalesce(clip_pos::varchar, ''), coalesce(width::varchar, ''))) as key from c",
     "folder_key": f"with {_C} select folder, substr(sha1(string_agg(line, chr(10) order by line)), 1, 12) as key from (select folder, concat_ws('|', split_part(source, '/', -1), clip_pos::varchar) as line from c where folder is not null) group by 1",

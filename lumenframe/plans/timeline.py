@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.columns import array_mean, luma_offset as luma, present, upper_median
-from lumenframe.operators import edits, scoring, segments, signals, timeline
+from lumenframe.operators import edits, joins, scoring, segments, signals, timeline
 from lumenframe.plans.relations import _BEATS, _C, _K, _ON, _beats, _cands, _clips, _onsets
-from lumenframe.plans.series import ENERGY_SQL, energy
+from lumenframe.plans.series import ENERGY_SQL, SECTIONS_SQL, energy, song_lengths
 from lumenframe.session import table
 
 SLOTS, SLOT_S, PER_SOURCE = 240, 0.5, 3
@@ -47,6 +47,19 @@ def auto_cuts(spark: SparkSession, d: str) -> DataFrame:
     return timeline.auto_cuts(_cuts(spark, d), "song")
 
 
+def section_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Cuts whose distance follows the section a beat lies in."""
+    s = segments.sections(energy(spark, d), "song", song_lengths(spark, d))
+    b = joins.first_section(_beats(spark, d).where("t >= 8"), s, "song", "t")
+    return timeline.auto_cuts(b.select("song", "i", "t", timeline.section_factor(F.col("kind")).alias("factor")), "song")
+
+
+def transition_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of a dissolve when a clip's frame rate is the tempo and its duration the slot."""
+    slot = F.when(F.col("duration_s") > 0, F.col("duration_s") / 20)
+    return _clips(spark, d).select("clip_id", F.round(timeline.fit_transition(0.9, timeline.beat_gap(F.col("fps")), slot), 6).alias("length_s"))
+
+
 def snapped_cuts(spark: SparkSession, d: str) -> DataFrame:
     c = timeline.auto_cuts(_cuts(spark, d), "song").groupBy("song").agg(F.array_sort(F.collect_list("t")).alias("cuts"))
     o = _onsets(spark, d).groupBy("song").agg(F.array_sort(F.collect_list("onset")).alias("onsets"))
@@ -161,7 +174,7 @@ def title_times(spark: SparkSession, d: str) -> DataFrame:
     return x.select("l_orderkey", F.explode(edits.titles(F.col("total"))).alias("t")).select("l_orderkey", "t.kind", "t.at_s")
 
 
-QUERIES = {f.__name__: f for f in (plan_topk_per_source, topk_per_source, stride_cuts, auto_cuts, snapped_cuts, moment_budget, greedy_diverse_allocation, chronological_trailer, stretch_timeline, auto_transitions, soft_transitions, overlap_compensation, fade_segments, speed_decision, reanchor, luma_offsets, audio_interest, plan_edits, title_times)}
+QUERIES = {f.__name__: f for f in (plan_topk_per_source, topk_per_source, stride_cuts, auto_cuts, section_cuts, transition_lengths, snapped_cuts, moment_budget, greedy_diverse_allocation, chronological_trailer, stretch_timeline, auto_transitions, soft_transitions, overlap_compensation, fade_segments, speed_decision, reanchor, luma_offsets, audio_interest, plan_edits, title_times)}
 
 _CUT = f"""{ENERGY_SQL}, {_BEATS}, bf as (select be.song, be.i, be.t, case when en.e >= 0.8 then 2 when en.e >= 0.55 then 3 when en.e >= 0.3 then 4 else 6 end as f from be join en on en.song = be.song and en.sec = cast(floor(be.t) as bigint) where be.t >= 8),
 wk(song, i, li, lt, kept) as (select distinct song, 11::bigint, -1000000000::bigint, -1e9::double, false from bf union all
@@ -180,6 +193,9 @@ SQL = {
     "topk_per_source": "select o_orderkey, o_custkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3",
     "stride_cuts": f"with {_BEATS} select song, i, t from (select *, row_number() over (partition by song order by i) as r from be where t >= 8) where (r - 1) % 4 = 0",
     "auto_cuts": f"with recursive {_CUT} select song, i, lt as t from wk where kept",
+    "section_cuts": f"""with recursive {SECTIONS_SQL}, {_BEATS}, bf as (select be.song, be.i, be.t, case coalesce((select kind from se where se.song = be.song and se.start_s <= be.t and be.t < se.end_s order by section_pos limit 1), 'verse') when 'intro' then 4 when 'verse' then 2 when 'build' then 1 when 'drop' then 1 else 2 end as f from be where be.t >= 8),
+      {_CUT[_CUT.index('wk(song'):]} select song, i, lt as t from wk where kept""",
+    "transition_lengths": f"""with {_C}, x as (select clip_id, greatest(0.12, least(0.9, 0.9 * case when fps > 0 and not isnan(fps) then 60.0 / fps else 0.5 end)) as l, case when duration_s > 0 then duration_s / 20 end as s from c) select clip_id, round(case when s > 0 then least(l, s * 0.4) else l end, 6) as length_s from x""",
     "snapped_cuts": f"""with recursive {_CUT}, {_ON.replace(ENERGY_SQL + ", ", "")}, cu as (select song, lt as t, row_number() over (partition by song order by lt) - 1 as pos from wk where kept),
       nb as (select cu.song, cu.pos, cu.t, coalesce(arg_min(o.onset, abs(o.onset - cu.t) * 1e6 + case when o.onset >= cu.t then 1e-3 else 0 end), cu.t) as best from cu left join ons o on o.song = cu.song and abs(o.onset - cu.t) < 0.08 group by 1, 2, 3),
       sn(song, pos, got) as (select song, pos, best from nb where pos = 0 union all

@@ -71,6 +71,43 @@ def listing(files: DataFrame, path: str, selected: DataFrame | None = None) -> D
     return g.select("folder_path", "stem", F.coalesce("video", "still").alias("path"), F.when(F.col("video").isNotNull() & F.col("still").isNotNull(), "live").when(F.col("video").isNotNull(), "video").otherwise("still").alias("label"), "files")
 
 
+def sources(files: DataFrame, path: str, captured: str, excluded: DataFrame | None = None) -> DataFrame:
+    """The sources that a picker shows, with ``kind``, ``selected`` and ``pos`` per folder by time of capture (unknown last), then name.
+
+    Visible videos that are no earlier results, and visible stills; a still whose stem has a mov anywhere is hidden behind it, and the mov is a
+    ``live_photo``. Paths in ``excluded`` are shown but not selected.
+    """
+    x = files.where(visible(F.col(path))).withColumns({"__stem": stem(F.col(path)), "kind": kind_of(F.col(path)), "__mov": extension(F.col(path)).isin(LIVE_VIDEO)})
+    x = x.where((F.col("kind") == "still") | ((F.col("kind") == "video") & ~prior_output(F.col(path))) | F.col("__mov"))
+    pairs = x.groupBy("__stem").agg((F.max("__mov") & F.max(F.col("kind") == "still")).alias("__pair"))
+    x = x.join(pairs, "__stem").where(~(F.col("__pair") & (F.col("kind") == "still"))).where(~prior_output(F.col(path)))
+    x = x.withColumn("kind", F.when(F.col("__pair") & F.col("__mov"), "live_photo").otherwise(F.col("kind")))
+    if excluded is not None:
+        x = x.join(excluded.select(F.col(path).alias("__out")).distinct(), F.col(path) == F.col("__out"), "left").withColumn("selected", F.col("__out").isNull()).drop("__out")
+    else:
+        x = x.withColumn("selected", F.lit(True))
+    w = Window.partitionBy("folder_path").orderBy(F.col(captured).asc_nulls_last(), base_name(F.col(path)), path)
+    return x.withColumn("folder_path", F.regexp_replace(F.col(path), r"/[^/]*$", "")).withColumn("pos", F.row_number().over(w) - 1).drop("__stem", "__mov", "__pair")
+
+
+def ordered_union(parts: list[DataFrame], order: list[str]) -> DataFrame:
+    """The rows of all ``parts``, repeated ones too, with ``part``; sorting by part and ``order`` gives the parts one after the other."""
+    out = parts[0].withColumn("part", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("part", F.lit(i)))
+    return out.select("part", *[c for c in parts[0].columns if c not in order], *order)
+
+
+def first_seen(df: DataFrame, key: str, pos: str) -> DataFrame:
+    """Each key once, with the smallest place it has."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(pos).alias(pos))
+
+
+def recombined(items: DataFrame, cached: DataFrame, computed: DataFrame, key: str, pos: str) -> DataFrame:
+    """``items (key, pos)`` with their cached or newly computed columns, in the places they had; an item without either was lost and is left out."""
+    return items.select(key, pos).join(cached.unionByName(computed).dropDuplicates([key]), key)
+
+
 def content_key(*parts: Column, length: int = 40) -> Column:
     """sha1 of the parts joined by ``|`` (null as an empty string), cut to ``length`` hex digits."""
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, length)

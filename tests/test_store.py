@@ -112,3 +112,27 @@ def test_models_and_optional_modules(spark):
     df = extract.gated(extract.gated(spark.range(1), missing, "a", lambda m: F.lit(1.0), "double"), missing, "b", lambda m: F.lit(1.0), "double")
     assert tuple(df.first()) == (0, None, False, None, False) and len(told) == 1 and not missing
     assert tuple(extract.gated(spark.range(1), extract.Dependency("math"), "pi", lambda m: F.lit(m.pi), "double").first())[1:] == (pytest.approx(3.14159, abs=1e-4), True)
+
+
+def test_engine(spark, tmp_path):
+    from lumenframe.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "store"))
+    clips = spark.createDataFrame([(0, "/a.mp4", 3.0), (1, "/b.mp4", 4.0)], "pos int, source string, duration_s double")
+    c = e.analyze(clips, ["source", "duration_s"])
+    assert e.analyze(clips.orderBy("pos", ascending=False), ["source", "duration_s"]) == c and e.catalog(c).count() == 2
+    assert e.analyze(clips.where("pos = 0"), ["source", "duration_s"]) != c
+    assert e.inspect_clip(c, "pos", 1).first().source == "/b.mp4"
+    with pytest.raises(IndexError):
+        e.inspect_clip(c, "pos", 2)
+    with pytest.raises(KeyError):
+        e.plan("nothing") if (tmp_path / "store" / "plans").exists() else e.catalog("nothing")
+    entries = spark.createDataFrame([(i, s, float(i), i + 1.0, 1.0, 9.0 - i) for i, s in enumerate(["/a.mp4", "/b.mp4", "/a.mp4"])], "pos int, source string, start_s double, end_s double, out_duration_s double, score double")
+    p = e.propose(c, entries, 1.0, pace="slow")
+    q = e.tweak(p, [("exclude_source", {"source": "/b.mp4"}), ("set", {"pos": 1, "field": "score", "value": 1.5})], 2.0)
+    assert p != q and e.plan(p).count() == 3 and [r.score for r in e.plan(q).orderBy("pos").collect()] == [9.0, 1.5]
+    assert tuple(e.summary(q).first())[1:] == (2, 1, 2.0) and e.latest(c).first().plan_id == q and e.header(p).first().catalog_id == c
+    with pytest.raises(ValueError):
+        e.tweak(p, [("nothing", {})])
+    (tmp_path / "film.cube").write_text("x")
+    assert [r.name for r in e.colour_tables(str(tmp_path / "film.cube")).collect()] == ["film"] and len(e.themes()) == 4 and e.options().count() == 21
