@@ -67,12 +67,29 @@ def fill_slots(cands: DataFrame, slots: int, source: str, score: str, pos: str,
     return best.withColumn("slot", F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(pos))) - 1)
 
 
+def _can_win(cands: DataFrame, slots: DataFrame, plan: str, cap: int) -> DataFrame:
+    """The candidates that any slot of their plan may pick: those whose best adjusted score reaches the worst of the candidates that are surely left.
+
+    Of the ``slots * cap`` candidates with the best worst score, ``cap`` a source at most, one is still free at every slot, as a pick takes one
+    source with it. So a plan with many candidates comes down to few before it is one task, and no pick is lost.
+    """
+    n = (slots.groupBy(plan).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) * cap
+    values = F.coalesce(F.map_values("bias"), F.array().cast("array<double>"))
+    x = cands.where((F.col("length_s") >= MIN_SLOT) & F.col("score").isNotNull() & ~F.isnan("score"))
+    x = x.withColumns({"__low": F.col("score") + F.least(F.lit(0.0), F.array_min(values)) - DIVERSITY, "__high": F.col("score") + F.greatest(F.lit(0.0), F.array_max(values))})
+    own = F.row_number().over(Window.partitionBy(plan, "source").orderBy(F.col("__low").desc(), "cand_pos"))
+    best = F.row_number().over(Window.partitionBy(plan).orderBy(F.col("__low").desc(), "cand_pos"))
+    sure = x.select(plan, "source", "cand_pos", "__low").withColumn("__own", own).where(F.col("__own") <= cap).withColumn("__k", best).where(F.col("__k") <= n)
+    bar = sure.groupBy(plan).agg(F.when(F.count(F.lit(1)) == n, F.min("__low")).alias("__bar"))
+    return x.join(bar, plan).where(F.col("__bar").isNull() | (F.col("__high") >= F.col("__bar"))).select(*cands.columns)
+
+
 def greedy_allocation(cands: DataFrame, slots: DataFrame, plan: str, cap: int = 1) -> DataFrame:
     """``(plan, slot, cand_pos, adjusted)``: for each slot in order the unused candidate of the highest adjusted score whose source is under its cap.
 
     ``cands`` holds (plan, cand_pos, source, score, length_s, signature, bias map<string,double>), ``slots`` (plan, slot, gap_s,
     kind). A candidate loses 2 points when its signature is within 16 bits of one picked before; ``bias[kind]`` is added.
-    Truly sequential, so each plan is one task; give it the candidates left by the moment budget.
+    Truly sequential, so each plan is one task, over the candidates that can win a slot at all.
     """
     schema = f"{plan} string, slot int, cand_pos bigint, adjusted double"
 
@@ -109,7 +126,7 @@ def greedy_allocation(cands: DataFrame, slots: DataFrame, plan: str, cap: int =
         return pd.DataFrame(out, columns=[plan, "slot", "cand_pos", "adjusted"])
 
     slots = slots.select(*[F.col(c).alias(c) for c in slots.columns])  # own columns, also where both sides come from one table
-    return cands.groupBy(plan).cogroup(slots.groupBy(plan)).applyInPandas(run, schema)
+    return _can_win(cands, slots, plan, cap).groupBy(plan).cogroup(slots.groupBy(plan)).applyInPandas(run, schema)
 
 
 def chronological(df: DataFrame, plan: str, t: str, source: str, tie: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 import struct
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 from pyspark.sql.functions import udtf
 
@@ -104,6 +106,14 @@ class FolderSource(DataSource):
         return _FolderReader(self.options["path"])
 
 
+def device_listing(spark: SparkSession, folder: str, since: float, until: float) -> DataFrame:
+    """``(path, captured_at, bytes)`` of a folder's files taken from ``since`` to ``until`` (both included), in order of time, then path."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(FolderSource)
+    x = spark.read.format("folder").option("path", folder).load()
+    return x.where(F.col("captured_at").between(since, until)).orderBy("captured_at", "path")
+
+
 class _FolderReader(DataSourceReader):
     def __init__(self, path: str):
         self.path, self.low, self.high = path, float("-inf"), float("inf")

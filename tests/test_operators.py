@@ -1,5 +1,6 @@
 """Small vectors with known results, and seeded comparisons with naive models."""
 
+import os
 import random
 import struct
 
@@ -75,6 +76,33 @@ def test_greedy_allocation(spark):
     assert rows(timeline.greedy_allocation(c, s, "plan").select("slot", "cand_pos"), "slot") == [(0, 1), (1, 3), (3, 2)]
 
 
+@pytest.mark.parametrize("cap", [1, 2])
+def test_greedy_allocation_against_a_naive_walk(spark, cap):
+    rng = random.Random(14 + cap)
+    kinds = ["verse", "drop", "build"]
+    c = [(p, 100 * k + i, f"s{rng.randint(0, 25)}", float(rng.randint(0, 60)) / 2, rng.choice([0.2, 1.0, 2.0]), rng.choice([None, f"{rng.getrandbits(64):016x}", "0" * 16, "f" * 16]), {"drop": rng.choice([0.0, 3.0, -1.0]), "build": 0.5}) for k, p in enumerate("pq") for i in range(90)]
+    s = [(p, i, rng.choice([0.3, 0.5, 0.5]), rng.choice(kinds)) for p in "pq" for i in range(9)]
+    want = set()
+    for p in "pq":
+        pool = sorted((r for r in c if r[0] == p and r[4] >= 0.4), key=lambda r: (-r[3], r[1]))
+        used, sigs = {}, []
+        for _, slot, gap, kind in sorted(x for x in s if x[0] == p):
+            if gap < 0.4:
+                continue
+            free = [r for r in pool if used.get(r[2], 0) < cap]
+            value = lambda r: r[3] + r[6].get(kind, 0.0) - (2.0 if r[5] and any((int(r[5], 16) ^ int(o, 16)).bit_count() <= 16 for o in sigs) else 0.0)  # noqa: B023, E731
+            if free:
+                best = max(free, key=value)
+                pool.remove(best)
+                used[best[2]] = used.get(best[2], 0) + 1
+                sigs += [best[5]] if best[5] else []
+                want.add((p, slot, best[1]))
+    cands = spark.createDataFrame(c, "plan string, cand_pos bigint, source string, score double, length_s double, signature string, bias map<string,double>")
+    slots = spark.createDataFrame(s, "plan string, slot int, gap_s double, kind string")
+    assert {tuple(r) for r in timeline.greedy_allocation(cands, slots, "plan", cap).select("plan", "slot", "cand_pos").collect()} == want
+    assert timeline._can_win(cands, slots, "plan", cap).count() < 0.8 * len(c)
+
+
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, one_task):
     rng = random.Random(3)
@@ -218,6 +246,9 @@ def test_config_and_files(spark, tmp_path):
     spark.dataSource.register(media.FolderSource)
     d = spark.read.format("folder").option("path", str(tmp_path)).load()
     assert d.count() == 9 and d.where("captured_at <= 1").count() == 0
+    for i, name in enumerate(("e.jpg", "a.MP4", "b.jpg")):
+        os.utime(tmp_path / name, (100.0 + i // 2, 100.0 + i // 2))
+    assert [r.path.rsplit("/", 1)[1] for r in media.device_listing(spark, str(tmp_path), 100.0, 101.0).collect()] == ["a.MP4", "e.jpg", "b.jpg"]
 
 
 def test_snapshots(spark, tmp_path):
