@@ -43,7 +43,7 @@ def exact_budget(sizes: dict[str, int], targets: dict[str, tuple[float, float]])
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, budget: float | str = "exact", seed: int = 13) -> tuple[DataFrame, DataFrame]:
-    """The mix ``(id, source, copy, size)`` and its report, one row per target source.
+    """The mix ``(id, source, copy, size)`` and its report, one row per target source, with the standard ``deviation`` of its tokens.
 
     The budget is a number of tokens; "exact" takes the largest at which no limit binds, so that every source with documents
     reaches its share; "all" takes the size of all listed sources, at which scarce ones end below their share.
@@ -57,10 +57,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: st
     wanted = targets.where("source is not null and target_share > 0").groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("most"))
     goal = {r["source"]: (float(r["share"]), float(r["most"])) for r in wanted.collect()}
     named = clean.where(F.col("source").isin(list(goal))) if goal else clean.where("false")
-    sizes = {r[0]: int(r[1]) for r in named.groupBy("source").agg(F.sum("size")).collect()}
+    found = named.groupBy("source").agg(F.sum("size"), F.sum(F.col("size").cast("double") * F.col("size"))).collect()
+    sizes, squares = {r[0]: int(r[1]) for r in found}, {r[0]: float(r[2]) for r in found}
     rates = repetition_rates(sizes, goal, exact_budget(sizes, goal) if budget == "exact" else None if budget == "all" else budget)
-    rows = [(s, w, int(r), sizes.get(s, 0), rates.get(s, 0.0)) for s, (w, r) in sorted(goal.items())]
-    plan = spark.createDataFrame(rows, T.StructType([T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.LongType()), T.StructField("source_tokens", T.LongType()), T.StructField("rate", T.DoubleType())]))
+    chances = {s: rate % 1 for s, rate in rates.items()}
+    rows = [(s, w, int(r), sizes.get(s, 0), rates.get(s, 0.0), (squares.get(s, 0.0) * chances.get(s, 0.0) * (1 - chances.get(s, 0.0))) ** 0.5) for s, (w, r) in sorted(goal.items())]
+    plan = spark.createDataFrame(rows, T.StructType([T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.LongType()), T.StructField("source_tokens", T.LongType()), T.StructField("rate", T.DoubleType()), T.StructField("deviation", T.DoubleType())]))
     chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     times = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     mixed = named.join(F.broadcast(plan.select("source", "rate")), "source").withColumn("times", times.cast("int")).where("times > 0")
@@ -69,7 +71,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str, source_col: st
     report = plan.join(reached, "source", "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # one row per target
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     actual = F.coalesce(F.try_divide(F.col("tokens"), F.col("all_tokens")), F.lit(0.0)).alias("actual_share")
-    return mixed, report.select("source", "target_share", actual, "max_repeats", "rate", "source_tokens", zero("tokens"), zero("copies"), zero("most_copies"))
+    return mixed, report.select("source", "target_share", actual, "max_repeats", "rate", "source_tokens", "deviation", zero("tokens"), zero("copies"), zero("most_copies"))
 
 
 def violations(mixed: DataFrame, report: DataFrame) -> DataFrame:
@@ -80,14 +82,14 @@ def violations(mixed: DataFrame, report: DataFrame) -> DataFrame:
     the sources that have documents; off_plan: sources whose tokens are more than four standard deviations of the
     Bernoulli copies beside the plan.
     """
-    each = mixed.groupBy("id", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("top"), F.max("size").alias("size"))
+    each = mixed.groupBy("id", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("top"))
     x = each.join(F.broadcast(report.select("source", "max_repeats")), "source", "left").groupBy("source")
-    seen = x.agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("many"), F.count_if((F.col("n") != F.col("top")) | (F.col("n") != F.col("d"))).alias("odd"), F.count_if(F.col("max_repeats").isNull()).alias("unlisted"), F.sqrt(F.sum(F.col("size").cast("double") * F.col("size"))).alias("noise"))
+    seen = x.agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("many"), F.count_if((F.col("n") != F.col("top")) | (F.col("n") != F.col("d"))).alias("odd"), F.count_if(F.col("max_repeats").isNull()).alias("unlisted"))
     y = report.join(seen, "source", "full")
     every = Window.partitionBy()  # one row per source
     live = F.when(F.col("source_tokens") > 0, F.col("target_share"))
     planned = F.col("rate") * F.col("source_tokens")
     y = y.withColumns({"goal": live / F.sum(live).over(every), "part": F.try_divide(planned, F.sum(planned).over(every))})
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    one = y.agg(total("many").alias("too_many_copies"), total("odd").alias("misnumbered"), total("unlisted").alias("unlisted"), F.count_if(F.abs(F.col("part") - F.col("goal")) > 1e-6).alias("off_target"), F.count_if(F.abs(F.col("tokens") - planned) > 4 * F.coalesce("noise", F.lit(0.0)) + 1).alias("off_plan"))
+    one = y.agg(total("many").alias("too_many_copies"), total("odd").alias("misnumbered"), total("unlisted").alias("unlisted"), F.count_if(F.abs(F.col("part") - F.col("goal")) > 1e-6).alias("off_target"), F.count_if(F.abs(F.col("tokens") - planned) > 4 * F.col("deviation") + 1).alias("off_plan"))
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in one.columns])).alias("r")).select("r.what", "r.n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import base64
 import os
 from collections.abc import Iterator
@@ -16,26 +17,32 @@ from lumenframe.session import spread
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
-def encoder(folder: str = TOKENIZER_DIR, file: str = "byte_bpe_multi_50k.tiktoken"):
-    """The byte-level BPE of ``file`` with the split pattern of the folder's module."""
-    import importlib.util
+def vocabulary(folder: str = TOKENIZER_DIR, file: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, bytes]:
+    """The split pattern that the folder's module states (read, not run) and the content of the rank file."""
+    with open(os.path.join(folder, "__init__.py")) as source:
+        named = {t.id: node.value for node in ast.parse(source.read()).body if isinstance(node, ast.Assign) for t in node.targets if isinstance(t, ast.Name)}
+    with open(os.path.join(folder, file), "rb") as lines:
+        return ast.literal_eval(named["PATTERN"]), lines.read()
+
 
+def encoder(pattern: str | None = None, lines: bytes | None = None):
+    """The byte-level BPE of a ``vocabulary``, by default that of ``TOKENIZER_DIR``."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("public_tokenizers", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    with open(os.path.join(folder, file), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if pattern is None or lines is None:
+        pattern, lines = vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_token_counts(docs: DataFrame, text_col: str, out_col: str = "tokens", folder: str = TOKENIZER_DIR, file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """``docs`` without the text, with its size in tokens; a null or empty text has 0 tokens. The first other column spreads the rows over tasks. The vocabulary is loaded once per task."""
+    """``docs`` without the text, with its size in tokens; a null or empty text has 0 tokens. The first other column spreads the rows over tasks. The vocabulary
+    (under a megabyte) is read where the query is built and travels with it, so executors need no copy of its folder; it is loaded once per task."""
     kept = [c for c in docs.columns if c != text_col]
+    pattern, lines = vocabulary(folder, file)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, file)
+        enc = encoder(pattern, lines)
         for b in batches:
             texts = b.column(len(kept)).to_pylist()
             known: dict[str, int] = {}

@@ -195,7 +195,7 @@ def fit_cells(rows: DataFrame, total: int, dim: int, cell_rows: int = CELL_ROWS)
     def split(t: pa.Table) -> pa.Table:
         node = t["node"][0].as_py()
         v = np.unique(matrix(t["vec"]), axis=0)
-        here = t.num_rows / rate[node]
+        here = len(v) / rate[node]
         centres = bisecting_centres(v, int(max(1, min(len(v) // 8, round(here * cells / total)))))
         count = np.bincount((v @ centres.T).argmax(1), minlength=len(centres))
         return pa.table({"node": np.full(len(centres), node, np.int32), "place": np.arange(len(centres), dtype=np.int32), "centre": packed(centres), "rows": count * (here / len(v))})
@@ -248,6 +248,6 @@ class VectorSet:
         self.dim = dim
         self.rows = Written(usable(df, id_col, vector_col, dim, rotate), "vectors").df
         self.copies = Written(copies(self.rows), "copies").df
-        self.total = self.rows.count()
         self.distinct = without(self.rows, self.copies)
+        self.total = self.distinct.select("id").distinct().count()
         self.cells = fit_cells(self.distinct, max(1, self.total), dim, cell_rows)

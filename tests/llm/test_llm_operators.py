@@ -117,7 +117,7 @@ def test_repeated_rows_in_blocks(spark, monkeypatch):
     assert len(want) == 90 and {r.id: r.cluster for r in members.collect()} == want
 
 
-def test_crowd_of_near_copies(spark):
+def test_crowd_of_near_copies(spark, monkeypatch):
     """200,000 near copies among 2,000 other vectors: no part is large, the crowd is a handful of nodes, and it is one cluster."""
     rng = np.random.default_rng(21)
     centre = rng.standard_normal(24)
@@ -126,6 +126,7 @@ def test_crowd_of_near_copies(spark):
     df = spark.createDataFrame(table)
     data = vectors.VectorSet(df, "id", "v", 24)
     u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    monkeypatch.setattr(clusters, "VectorSet", lambda *a: data)
     home, _, _ = vectors.cells_of(u, data.cells, None)
     _, rows = np.unique(np.stack([home, data.cells.part_of(np.arange(len(x)), home)]), axis=1, return_counts=True)
     assert rows.max() <= 2 * vectors.PART_CELLS * vectors.CELL_ROWS and len(rows) < 400
