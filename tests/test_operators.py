@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe import plans
 from lumenframe.operators import anomalies, edits, graph, joins, planning, scoring, segments, signals, timeline
 from lumenframe.sources import catalog, media
 from lumenframe.streaming import progress
@@ -139,6 +140,17 @@ def test_signature_links(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("query", ["dup_components"])
+def test_band_lookups_are_no_broadcast(spark, sf, monkeypatch, query):
+    """Either side holds 67 rows a frame, which the optimizer takes for one: sent to the driver they would end it."""
+    seen, links = [], graph.signature_links
+    monkeypatch.setattr(graph, "signature_links", lambda *a, **k: seen.append(links(*a, **k)) or seen[-1])
+    plans.QUERIES[query](spark, sf)
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "[key#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_cosine_links(spark):
     rng = random.Random(6)
     v = {i: [rng.gauss(0, 1) for _ in range(8)] for i in range(60)}
