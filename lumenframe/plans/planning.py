@@ -53,7 +53,7 @@ def _survivors(spark: SparkSession, d: str) -> DataFrame:
     """The scored candidates with their clip, without those of clips that a burst or a better near-duplicate suppresses."""
     gone = _bursts(spark, d).where("suppressed").select("file")
     c = _cands(spark, d).where("score is not null and not isnan(score)").join(_clips(spark, d).select(*_CLIP), "file").join(gone, "file", "left_anti")
-    c = c.join(dup_components(spark, d).select("clip_id", "root"), "clip_id", "left")
+    c = c.join(Written(dup_components(spark, d).select("clip_id", "root"), "roots").df.hint("merge"), "clip_id", "left")
     return graph.keep_best(c, "root", "score", "cand_pos", "file")
 
 
@@ -69,9 +69,10 @@ def _assembled(spark: SparkSession, d: str) -> DataFrame:
     slots = Written(_slots(spark, d, plans), "slots").df
     picks = _picked(spark, d, plans, slots).withColumn("captured_at", F.when(F.col("captured_at").between(1, 4e9), F.col("captured_at")))
     x = planning.bound_to_beats(timeline.trailer_order(picks, "folder", "captured_at", "file", "score", "cand_pos").drop("duration_s"), slots, "folder")
+    x = Written(x, "placed").df  # a plan of all steps at once would fill much of the driver's memory
     clips = _clips(spark, d)
     luma = signals.upper_medians(clips.select("folder", array_mean(F.col("exposure")).alias("mean")), "folder", "mean").withColumnRenamed("median", "target_luma")
-    x = x.join(clips.select("file", "duration_s", "tags_ms", "voice", "gyro", "exposure", "width", "height"), "file").join(plans, "folder").join(sections, "song").join(luma, "folder", "left")
+    x = x.join(clips.select("file", "duration_s", "tags_ms", "voice", "gyro", "exposure", "width", "height").hint("merge"), "file").join(plans, "folder").join(sections, "song").join(luma, "folder", "left")
     at = lambda s: (s["start_s"] <= F.col("beat_s")) & (F.col("beat_s") < s["end_s"])
     opening = lambda s: (s["kind"] == "drop") & (s["start_s"] <= F.col("beat_s")) & (F.col("beat_s") - s["start_s"] < 1.0)
     beat = F.col("beat_s") / 2.8

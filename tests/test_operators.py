@@ -140,7 +140,7 @@ def test_signature_links(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("query", ["dup_components", "dup_keep_best", "hamming_pairs"])
+@pytest.mark.parametrize("query", ["dup_components", "dup_keep_best", "hamming_pairs", "plan_entries"])
 def test_band_lookups_are_no_broadcast(spark, sf, monkeypatch, query):
     """Either side holds 67 rows a frame, which the optimizer takes for one: sent to the driver they would end it."""
     seen, links = [], graph.signature_links
