@@ -13,8 +13,8 @@ from lumenframe.session import Written, broadcast_if_small, grouped, tasks_for
 
 #: Readings of a series handled together, and the overlap that lets a run be seen across the border.
 CHUNK_S = 1024
-#: The forest of a source is fitted on about this many of its readings, SUBSAMPLE of them per tree; all readings are scored.
-FIT_ROWS, TREES, SUBSAMPLE, DEPTH = 2048, 24, 256, 8
+#: The readings of a source are dealt to the trees of its forest: each to one, or to as many as give every tree about TREE_ROWS.
+TREES, TREE_ROWS, DEPTH = 24, 256, 8
 #: Phases of the seasonal profile.
 PHASES = 6
 #: Readings of a source that are scored together with its forest (about 60 KB), and rows scored at once.
@@ -73,56 +73,64 @@ def _path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def fit_forest(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature, threshold (TREES x 2^DEPTH - 1 inner nodes) and path length (TREES x 2^DEPTH leaves) of an isolation forest.
+def fit_tree(x: np.ndarray, seed: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, threshold (2^DEPTH - 1 inner nodes) and path length (2^DEPTH leaves) of an isolation tree over all rows, in whatever order.
 
-    All trees grow together, level by level. They are complete: a node that ends early keeps sending rows down, to leaves that
-    all have its path length.
+    It is complete: a node that ends early keeps sending rows down, to leaves that all have its path length.
     """
     rng = np.random.default_rng(seed)
     inner, k = 2**DEPTH - 1, x.shape[1]
-    feature, threshold = np.zeros((TREES, inner), np.int8), np.full((TREES, inner), np.inf, np.float32)
-    rows = np.concatenate([x[rng.permutation(len(x))[:SUBSAMPLE]] for _ in range(TREES)])
-    tree = np.repeat(np.arange(TREES), min(len(x), SUBSAMPLE))
-    node = np.zeros(len(rows), np.int64)
-    ended = np.full((TREES, 1), np.nan)
+    feature, threshold = np.zeros(inner, np.int8), np.full(inner, np.inf, np.float32)
+    node = np.zeros(len(x), np.uint8)
+    ended = np.full(1, np.nan)
     for depth in range(DEPTH + 1):
         width = 2**depth
-        at = tree * width + node
-        n = np.bincount(at, minlength=TREES * width)
-        low, high = np.full((TREES * width, k), np.inf, np.float32), np.full((TREES * width, k), -np.inf, np.float32)
-        np.minimum.at(low, at, rows)
-        np.maximum.at(high, at, rows)
+        order = np.argsort(node, kind="stable")
+        x, node = x[order], node[order]
+        n = np.bincount(node, minlength=width)
+        low, high = np.full((width, k), np.inf, np.float32), np.full((width, k), -np.inf, np.float32)
+        held = np.nonzero(n)[0]
+        if len(held):
+            at = (np.cumsum(n) - n)[held]
+            low[held], high[held] = np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)
         wide = high > low
         stop = (n <= 1) | ~wide.any(1) | (depth == DEPTH)
-        ended = np.where(np.isnan(ended), np.where(stop, depth + _path(n), np.nan).reshape(TREES, width), ended)
+        ended = np.where(np.isnan(ended), np.where(stop, depth + _path(n), np.nan), ended)
         if depth == DEPTH:
             break
         chosen = np.where(wide, rng.random(wide.shape), -1).argmax(1)
-        pick = np.arange(len(chosen)), chosen
+        pick = np.arange(width), chosen
         with np.errstate(invalid="ignore"):
-            cut = (low[pick] + rng.random(len(chosen)) * (high[pick] - low[pick])).astype(np.float32)
-        cut = np.where(np.isnan(ended).ravel(), cut, np.inf)
-        feature[:, width - 1 : 2 * width - 1], threshold[:, width - 1 : 2 * width - 1] = chosen.reshape(TREES, width), cut.reshape(TREES, width)
-        node = 2 * node + (rows[np.arange(len(rows)), chosen[at]] >= cut[at])
-        ended = np.repeat(ended, 2, axis=1)
+            cut = (low[pick] + rng.random(width) * (high[pick] - low[pick])).astype(np.float32)
+        cut = np.where(np.isnan(ended), cut, np.inf).astype(np.float32)
+        feature[width - 1 : 2 * width - 1], threshold[width - 1 : 2 * width - 1] = chosen, cut
+        node = (2 * node + (x[np.arange(len(x)), chosen[node]] >= cut[node])).astype(np.uint8)
+        ended = np.repeat(ended, 2)
     return feature, threshold, ended.astype(np.float32)
 
 
+def fit_forest(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trees of ``fit_tree`` over rows in one place, each row dealt to one tree or, of few rows, to more."""
+    copies = min(TREES, -(-TREES * TREE_ROWS // max(len(x), 1)))
+    first = np.random.default_rng(seed).permutation(len(x))
+    trees = [fit_tree(x[(t - first) % TREES < copies], (seed, t)) for t in range(TREES)]
+    return tuple(np.stack(part) for part in zip(*trees, strict=True))
+
+
 def forest_scores(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, length: np.ndarray, fitted: float) -> np.ndarray:
-    """Score in (0, 1) of each row by one forest. Around 0.5 is usual, near 1 isolated at once."""
+    """Score in (0, 1) of each row by one forest, whose trees have ``fitted`` rows each. Around 0.5 is usual, near 1 isolated at once."""
     inner = 2**DEPTH - 1
     out = np.empty(len(x))
     for s in range(0, len(x), BATCH):
         rows = x[s : s + BATCH]
         flat, at = rows.ravel(), np.arange(len(rows)) * x.shape[1]
         total = np.zeros(len(rows))
-        for t in range(TREES):
+        for t in range(len(feature)):
             node = np.zeros(len(rows), np.int64)
             for _ in range(DEPTH):
                 node = 2 * node + 1 + (flat[at + feature[t, node]] >= threshold[t, node])
             total += length[t, node - inner]
-        out[s : s + BATCH] = 2.0 ** (-total / TREES / max(float(_path(min(fitted, SUBSAMPLE))), 1e-9))
+        out[s : s + BATCH] = 2.0 ** (-total / len(feature) / max(float(_path(fitted)), 1e-9))
     return out
 
 
@@ -137,23 +145,54 @@ def _feature_matrix(value: np.ndarray, diff: np.ndarray, run: np.ndarray, level:
     return np.nan_to_num(x, nan=BEYOND, posinf=BEYOND, neginf=-BEYOND).astype(np.float32)
 
 
+def seasonal_profiles(features: DataFrame, levels: DataFrame) -> DataFrame:
+    """The levels with ``profile``: the median of each phase over all readings within ten spreads; the level for a phase without any."""
+    near = F.abs(F.col("value") - F.col("level")) <= 10 * F.greatest("spread", F.lit(1e-9))
+    x = features.where(plausible()).join(broadcast_if_small(levels.select("source", "name", "level", "spread")), ["source", "name"]).where(near)
+    x = x.groupBy("source", "name", "phase").agg(F.percentile_approx("value", 0.5, 10_000).alias("usual"))
+    x = x.groupBy("source", "name").agg(F.map_from_entries(F.collect_list(F.struct("phase", "usual"))).alias("__usual"))
+    of = F.transform(F.sequence(F.lit(0), F.lit(PHASES - 1)), lambda p: F.coalesce(F.try_element_at("__usual", p), F.col("level")))
+    return levels.join(x, ["source", "name"], "left").withColumn("profile", of).drop("__usual")
+
+
 def fit_sources(features: DataFrame, levels: DataFrame) -> DataFrame:
-    """One model row per source and name, fitted on a hash sample of about ``FIT_ROWS`` plausible readings of it."""
-    share = F.pmod(F.xxhash64("key", "name", "sec", F.lit(17)), F.lit(1 << 30)) < (F.lit(float(FIT_ROWS)) / F.col("n") * (1 << 30))
-    sample = features.where(plausible()).join(levels, ["source", "name"]).where(share)
+    """One model row per source and name, fitted on all plausible readings of it.
 
-    def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("sec", "ascending"), ("value", "ascending")])
+    Each reading is part of one tree, drawn by hash; of a source with few readings, of as many trees as give each about ``TREE_ROWS``.
+    A task fits a tree of a source at a time, and ``fitted`` is the mean number of readings of its trees.
+    """
+    levels = Written(levels.where("source is not null and name is not null"), "levels").df
+    levels = Written(seasonal_profiles(features, levels), "levels").df
+    copies = F.least(F.lit(TREES), F.ceil(F.lit(TREES * TREE_ROWS) / F.col("n"))).cast("int")
+    first = F.pmod(F.xxhash64("key", "name", "sec", F.lit(17)), F.lit(TREES)).cast("int")
+    tree = F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda i: (first + i) % TREES))
+    dealt = features.where(plausible()).join(broadcast_if_small(levels.select("source", "name", copies.alias("copies"))), ["source", "name"])
+    dealt = dealt.select("source", "name", tree.alias("tree"), "value", "diff", "run", "phase")
+    out = "source string, name string, n bigint, level double, spread double, fitted double, profile binary, feature binary, threshold binary, length binary"
+    bits = pa.binary()
+    none = pa.schema([("source", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("level", pa.float64()), ("spread", pa.float64()), ("fitted", pa.float64()), ("profile", bits), ("feature", bits), ("threshold", bits), ("length", bits), ("tree", pa.int32())])
+
+    def fit(t: pa.Table, level: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return none.empty_table()
         num = lambda c, kind=float: t[c].to_numpy().astype(kind)
-        level, spread, n = (t[c][0].as_py() for c in ("level", "spread", "n"))
-        value, phase = num("value"), num("phase", np.int64)
-        within = np.abs(value - level) <= 10 * max(spread, 1e-9)
-        profile = np.array([np.median(value[within & (phase == p)]) if (within & (phase == p)).any() else level for p in range(PHASES)])
-        x = _feature_matrix(value, num("diff"), num("run"), level, spread, profile[phase])
-        f, h, length = fit_forest(x, seed=len(x))
-        return pa.table({"source": t["source"][:1], "name": t["name"][:1], "n": [n], "level": [level], "spread": [spread], "fitted": [len(x)], "profile": [profile.tobytes()], "feature": [f.tobytes()], "threshold": [h.tobytes()], "length": [length.tobytes()]})
-
-    return grouped(sample, "source", "name").applyInArrow(fit, "source string, name string, n bigint, level double, spread double, fitted bigint, profile binary, feature binary, threshold binary, length binary")
+        usual, spread = level["level"][0].as_py(), level["spread"][0].as_py()
+        profile, no = np.array(level["profile"][0].as_py(), float), level["tree"][0].as_py()
+        x = _feature_matrix(num("value"), num("diff"), num("run"), usual, spread, profile[num("phase", np.int64)])
+        f, h, length = fit_tree(x, (len(x), no))
+        parts = {"fitted": [float(len(x))], "profile": [profile.tobytes()], "feature": [f.tobytes()], "threshold": [h.tobytes()], "length": [length.tobytes()]}
+        return pa.table({c: level[c] if c in level.column_names and c not in parts else parts[c] for c in none.names}, schema=none)
+
+    def grow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("tree")
+        whole = {c: [b"".join(t[c].to_pylist())] for c in ("feature", "threshold", "length")}
+        return pa.table({c: t[c][:1] for c in ("source", "name", "n", "level", "spread")} | {"fitted": [float(np.mean(t["fitted"].to_numpy()))], "profile": t["profile"][:1]} | whole)
+
+    keys = ["source", "name", "tree"]
+    tasks = tasks_for(features, TASK_ROWS)
+    each = levels.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).repartition(tasks, *keys)
+    trees = dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(fit, f"{out}, tree int")
+    return grouped(trees, "source", "name").applyInArrow(grow, out)
 
 
 def score_readings(features: DataFrame, models: DataFrame) -> DataFrame:
@@ -180,7 +219,7 @@ def score_readings(features: DataFrame, models: DataFrame) -> DataFrame:
         level, spread, fitted = (model[c][0].as_py() for c in ("level", "spread", "fitted"))
         profile = read("profile", np.float64, PHASES)
         m = _feature_matrix(num("value"), num("diff"), num("run"), level, spread, profile[num("phase", np.int64)])
-        result = forest_scores(m, read("feature", np.int8, TREES, inner), read("threshold", np.float32, TREES, inner), read("length", np.float32, TREES, inner + 1), fitted)
+        result = forest_scores(m, read("feature", np.int8, -1, inner), read("threshold", np.float32, -1, inner), read("length", np.float32, -1, inner + 1), fitted)
         return pa.table([*rows.columns, np.full(len(m), level), np.full(len(m), spread), result], names=[*names, "level", "spread", "score"])
 
     keys = ["source", "name", "part"]

@@ -344,6 +344,21 @@ def test_forest_ranks_what_no_rule_sees(spark, monkeypatch):
     assert not any(x.reason for x in got if (x.key, x.sec) in odd)
 
 
+def test_forest_is_fitted_on_all_readings(spark):
+    """Every plausible reading is part of a tree, once in a source of many, and the seasonal profile is the median of all of them."""
+    import numpy as np
+
+    rng = random.Random(12)
+    r = [(c, "accl", s, "cam", 10 + s % 60 // 10 + rng.gauss(0, 0.5)) for c in range(10) for s in range(1000)] + [(20, "accl", s, "few", float(s)) for s in range(100)] + [(21, "accl", 0, "cam", float("nan"))]
+    f = anomalies.series_features(spark.createDataFrame(r, "key bigint, name string, sec int, source string, value double"))
+    models = {m.source: m for m in anomalies.fit_sources(f, anomalies.usual_levels(f)).collect()}
+    assert models["cam"].n == 10_000 and models["cam"].fitted * anomalies.TREES == pytest.approx(10_000)
+    assert models["few"].n == models["few"].fitted == 100
+    for p, usual in enumerate(np.frombuffer(models["cam"].profile)):
+        values = sorted(v for c, _, s, cam, v in r if cam == "cam" and s % 60 // 10 == p and v == v)
+        assert values[len(values) // 2 - 1] <= usual <= values[len(values) // 2]
+
+
 def test_forest_lengths():
     import numpy as np
 
