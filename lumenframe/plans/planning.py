@@ -52,7 +52,7 @@ def plan_slots(spark: SparkSession, d: str) -> DataFrame:
 def _survivors(spark: SparkSession, d: str) -> DataFrame:
     """The scored candidates with their clip, without those of clips that a burst or a better near-duplicate suppresses."""
     gone = _bursts(spark, d).where("suppressed").select("file")
-    c = _cands(spark, d).where("score is not null and not isnan(score)").join(_clips(spark, d).select(*_CLIP), "file").join(gone, "file", "left_anti")
+    c = _cands(spark, d).where("score is not null and not isnan(score)").join(_clips(spark, d).select(*_CLIP).hint("merge"), "file").join(gone.hint("merge"), "file", "left_anti")
     c = c.join(Written(dup_components(spark, d).select("clip_id", "root"), "roots").df.hint("merge"), "clip_id", "left")
     return graph.keep_best(c, "root", "score", "cand_pos", "file")
 
