@@ -151,6 +151,21 @@ def test_band_lookups_are_no_broadcast(spark, sf, monkeypatch, query):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
+def test_dup_keep_best_is_without_broadcasts(spark, sf, monkeypatch):
+    """Roots, best scores and groups grow with the clips, and the optimizer takes them for smaller than they are."""
+    seen, written = [], graph.Written
+    monkeypatch.setattr(graph, "Written", lambda df, name="t": seen.append(df) or written(df, name))
+    seen.append(plans.QUERIES["dup_keep_best"](spark, sf))
+    joins = [x for df in seen for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) >= 4 and all("SortMergeJoin" in x for x in joins)
+
+
+def test_keep_best(spark):
+    data = [(1, "a", 5, 1.0), (2, "b", 5, 3.0), (3, "c", 5, 3.0), (4, "b", 5, 0.0), (5, "d", None, 0.5), (6, "d", None, None), (7, "e", 9, 2.0), (8, "b", 9, 1.0)]
+    got = graph.keep_best(spark.createDataFrame(data, "pos int, file string, root int, score double"), "root", "score", "pos", "file")
+    assert got.columns == ["pos", "file", "root", "score"] and {r.pos for r in got.collect()} == {2, 4, 5, 6, 7}
+
+
 def test_cosine_links(spark):
     rng = random.Random(6)
     v = {i: [rng.gauss(0, 1) for _ in range(8)] for i in range(60)}
